@@ -21,7 +21,7 @@ ANONYMOUS, COMPLEX, UNKNOWN_TYPE = "<anonymous>", "<complex type>", "<unknown_ty
 
 # -- tokens ------------------------------------------------------------------
 
-def _with_tokens(df: DataFrame, text: Column, name: str) -> DataFrame:
+def with_tokens(df: DataFrame, text: Column, name: str) -> DataFrame:
     tok = F.regexp_extract_all(text, F.lit(lexis.TOKEN), F.lit(1))
     df = df.withColumn("_tok", tok)
     step = F.transform("_tok", lambda t: F.when(t.isin("(", "[", "{"), 1)
@@ -104,6 +104,11 @@ def _declarator(z: Column, base: Column) -> Column:
     return let(marks, with_marks)
 
 
+def first_name(z: Column) -> Column:
+    """The name that the declaration or function head ``z`` declares."""
+    return _declarator(z, F.lit(0))["name"]
+
+
 def _parts(z: Column, base: Column) -> Column:
     """Declarators of one statement: array of tokens per comma-separated part."""
     return split_where(z, lambda x: (x["t"] == ",") & (x["d"] == base))
@@ -159,7 +164,7 @@ def _span_columns() -> list:
     return ["path", "unit", "n_units", "start_line", "end_line", "snippet", "cover_text", "calls"]
 
 
-def _each(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+def each_entry(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
     """One row per entry.  The filter stays above the generator, so that the
     expression behind ``items`` is not evaluated a second time for it."""
     return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
@@ -167,10 +172,10 @@ def _each(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
 
 def definitions(u: DataFrame) -> DataFrame:
     """Function definitions with their calls."""
-    fns = _with_tokens(u.where("is_function").select(*_span_columns(), "text"), F.col("text"), "z")
+    fns = with_tokens(u.where("is_function").select(*_span_columns(), "text"), F.col("text"), "z")
     fns = fns.withColumn("d", _declarator(F.col("z"), F.lit(0)))
     found = F.filter(F.array(_signature(F.col("d"), F.col("z"))), lambda s: s["name"].isNotNull())
-    return _each(fns, found, "sig", *_span_columns()).select(
+    return each_entry(fns, found, "sig", *_span_columns()).select(
         *_span_columns(), F.col("unit").alias("ordinal"), "sig.name", "sig.return_type",
         "sig.parameters")
 
@@ -178,14 +183,14 @@ def definitions(u: DataFrame) -> DataFrame:
 def prototypes(u: DataFrame) -> DataFrame:
     """Function declarations of header files (E5)."""
     decl = _declarations(u).where(F.col("path").endswith(".h"))
-    decl = _with_tokens(decl.select(*_span_columns(), "text"), F.col("text"), "z")
+    decl = with_tokens(decl.select(*_span_columns(), "text"), F.col("text"), "z")
     # a bare NAME(...); is a macro use, unless it follows another part
     found = let(F.struct(_parts(F.col("z"), F.lit(0)).alias("p"),
                          _declared(F.col("z"), F.lit(0)).alias("d")),
                 lambda s: F.filter(
                     F.transform(s["p"], lambda p, i: F.struct(p.alias("p"), F.get(s["d"], i).alias("d"), i.alias("i"))),
                     lambda x: x["d"]["is_function"] & ((x["d"]["at"] > 0) | (x["i"] > 0))))
-    rows = _each(decl, F.transform(found, lambda x: _signature(x["d"], x["p"])), "sig", *_span_columns())
+    rows = each_entry(decl, F.transform(found, lambda x: _signature(x["d"], x["p"])), "sig", *_span_columns())
     return rows.select(
         *_span_columns(), (F.col("n_units") + F.col("unit")).alias("ordinal"), "sig.name",
         "sig.return_type", "sig.parameters")
@@ -219,7 +224,7 @@ def _whole_units(u: DataFrame, pattern: str, name: str) -> DataFrame:
     """Units whose whole text (with the body) matches, tokenised."""
     text = F.concat(F.col("text"), F.coalesce("body", F.lit("")))
     picked = u.select("path", "unit", "is_function", text.alias("whole"))
-    return _with_tokens(picked.where(F.col("whole").rlike(pattern)), F.col("whole"), name)
+    return with_tokens(picked.where(F.col("whole").rlike(pattern)), F.col("whole"), name)
 
 
 def structs(u: DataFrame) -> DataFrame:
@@ -245,7 +250,7 @@ def structs(u: DataFrame) -> DataFrame:
                     # what follows the struct in a typedef names an untagged one
                     F.when((s["d"] == 0) & (F.get(z, F.lit(0))["t"] == "typedef"),
                            F.slice(z, e + 2, F.size(z) - e - 2)).alias("after"))).alias("x"))))
-    return _struct_columns(_each(df, bodies, "s", "path", "unit"))
+    return _struct_columns(each_entry(df, bodies, "s", "path", "unit"))
 
 
 def _struct_columns(df: DataFrame) -> DataFrame:
@@ -278,10 +283,10 @@ def typedefs(u: DataFrame) -> DataFrame:
     found = F.filter(F.transform(z, lambda x, i: F.when(x["t"] == "typedef", F.struct(
         i.alias("i"), x["d"].alias("d"), F.slice(z, i + 1, end(i) - i + 1).alias("all")))),
         lambda s: s.isNotNull() & (F.size(s["all"]) > 2))
-    df = _each(df, found, "s", "path", "unit")
+    df = each_entry(df, found, "s", "path", "unit")
     statement = F.slice(F.col("s.all"), 2, F.size("s.all") - 2)
     first = F.get(_declared(statement, F.col("s.d")), F.lit(0))
-    df = _each(df, F.filter(F.array(first), lambda d: d["name"].isNotNull()), "d", "path", "unit", "s")
+    df = each_entry(df, F.filter(F.array(first), lambda d: d["name"].isNotNull()), "d", "path", "unit", "s")
     body = F.exists("s.all", lambda x: x["t"] == "{")
     return df.select(
         "path", F.col("unit").alias("ordinal"), F.col("s.i").alias("pos"), F.col("d.name").alias("alias"),
@@ -291,7 +296,7 @@ def typedefs(u: DataFrame) -> DataFrame:
 
 def globals_(u: DataFrame) -> DataFrame:
     """Variables declared at file scope: name and type words."""
-    decl = _with_tokens(_declarations(u).select("path", "unit", "text"), F.col("text"), "z")
+    decl = with_tokens(_declarations(u).select("path", "unit", "text"), F.col("text"), "z")
     statement = F.filter("z", lambda x: (x["t"] != ";") | (x["d"] > 0))
     decl = decl.select("path", "unit", _declared(statement, F.lit(0)).alias("ds"))
     decl = decl.select("path", "unit", F.posexplode_outer("ds").alias("pos", "d"))
@@ -304,7 +309,7 @@ def globals_(u: DataFrame) -> DataFrame:
 
 def calls(u: DataFrame) -> DataFrame:
     """One row per call site: path, caller_line, callee_name."""
-    return _each(u.where("is_function"), F.col("calls"), "c", "path").select(
+    return each_entry(u.where("is_function"), F.col("calls"), "c", "path").select(
         "path", F.col("c.line").alias("caller_line"), F.col("c.name").alias("callee_name"))
 
 
