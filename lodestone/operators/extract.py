@@ -330,6 +330,18 @@ def file_symbols(u: DataFrame) -> DataFrame:
     return both.select(F.md5(F.col("path").cast("binary")).alias("file_key"), *both.columns)
 
 
+def file_info(files: DataFrame, functions: DataFrame, symbols: DataFrame, call_rows: DataFrame) -> DataFrame:
+    """Number of records of each kind per file (E10), zero where a file has none."""
+    def part(rows: DataFrame, kind: Column) -> DataFrame:
+        return rows.select("path", kind.alias("kind"))
+
+    rows = (part(functions, F.when(F.col("is_prototype"), "prototypes").otherwise("definitions"))
+            .unionByName(part(symbols, F.concat("symbol_type", F.lit("s"))))
+            .unionByName(part(call_rows, F.lit("calls"))).unionByName(part(files, F.lit("file"))))
+    kinds = ["definitions", "prototypes", "structs", "typedefs", "globals", "calls"]
+    return rows.groupBy("path").agg(*[F.count_if(F.col("kind") == k).alias("n_" + k) for k in kinds])
+
+
 def file_quality(files: DataFrame) -> DataFrame:
     """Files whose braces do not balance, where units may be cut wrongly."""
     return parsed_files(files).select("path", "n_units", "final_depth").where("final_depth <> 0")

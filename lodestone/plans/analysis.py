@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import settled
 from lodestone.operators import codemap, extract, graph, snapshots, status, summarize
 from lodestone.sources.store import Store, upsert
 
@@ -17,9 +20,9 @@ def edges_of(sites: DataFrame, names: DataFrame) -> DataFrame:
         "path", "line", "caller_key", "caller_name", "callee", "callee_key", "callee_name")
 
 
-def structure(files: DataFrame) -> dict[str, DataFrame]:
-    """All structure tables of a corpus, as lazy DataFrames over one parsed table."""
-    u = extract.units(files)
+def structure(files: DataFrame, keep: Callable[[DataFrame], DataFrame] = settled) -> dict[str, DataFrame]:
+    """All structure tables of a corpus, derived from one parsed table that ``keep`` stores."""
+    u = keep(extract.units(files))
     fns = extract.functions(u)
     sites = graph.call_sites(u)
     return {"file_symbols": extract.file_symbols(u), "functions": fns, "call_sites": sites,
@@ -55,19 +58,24 @@ def _record(store: Store, marks: DataFrame) -> None:
     store.replace("status_commits", commits)
 
 
-def summarize_new(store: Store, commit_sha: str, now: Column, with_functions: bool = True, **how) -> None:
-    """Summaries of files and functions that have none at the commit; failures stay
-    unprocessed and are listed in ``rejects``."""
+def summarize_new(store: Store, commit_sha: str, now: Column, with_functions: bool = True,
+                  paths: DataFrame | None = None, **how) -> None:
+    """Summaries of files and functions that have none at the commit, of all files or
+    those in ``paths``; failures stay unprocessed and are listed in ``rejects``."""
+    def chosen(table: str) -> DataFrame:
+        rows = store.read(table)
+        return rows if paths is None else rows.join(paths, "path", "left_semi")
+
     def settle(rows: DataFrame) -> DataFrame:
         return store.replace("first_pass", rows)
 
-    files = status.unprocessed(store.read("files"), "file_key", store.read("status_commits"), "file",
+    files = status.unprocessed(chosen("files"), "file_key", store.read("status_commits"), "file",
                                commit_sha, status.SUMMARIZED)
     done = store.replace("second_pass", summarize.summarize_files(
         files, store.read("file_symbols"), commit_sha, settle, **how))
     _accept(store, done, "file", "file_key", "file_summaries", commit_sha, now)
     if with_functions:
-        fns = status.unprocessed(store.read("functions"), "function_key", store.read("status_commits"),
+        fns = status.unprocessed(chosen("functions"), "function_key", store.read("status_commits"),
                                  "function", commit_sha, status.SUMMARIZED)
         done = store.replace("second_pass", summarize.summarize_functions(
             fns.dropDuplicates(["function_key"]), commit_sha, settle, **how))
@@ -94,7 +102,8 @@ def view(store: Store, commit_sha: str) -> DataFrame:
                             store.read("function_calls"), file_text, fn_text)
 
 
-def refreshed(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFrame) -> dict[str, DataFrame]:
+def refreshed(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFrame,
+              keep: Callable[[DataFrame], DataFrame] = settled) -> dict[str, DataFrame]:
     """Structure tables of the new snapshot from those of the old one.
 
     Only changed files are parsed.  Call sites are looked up again when their
@@ -104,7 +113,7 @@ def refreshed(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFr
     changes = snapshots.changed_files(old_files, new_files)
     touched = changes.select("path")
     parse = new_files.join(snapshots.files_to_refresh(changes).select("path"), "path", "left_semi")
-    u = extract.units(parse)
+    u = keep(extract.units(parse))
 
     def replaced(table: str, fresh: DataFrame) -> DataFrame:
         return old[table].join(touched, "path", "left_anti").unionByName(fresh.select(*old[table].columns))
@@ -132,14 +141,16 @@ def refresh(store: Store, new_files: DataFrame, commit_sha: str, now: Column,
             with_functions: bool = True, **how) -> DataFrame:
     """Bring the stored tables to a new snapshot and summarise what changed."""
     old = {t: store.read(t) for t in REFRESHED}
-    tables = refreshed(old, old["files"], new_files)
+    changed = store.replace("changed_paths", snapshots.files_to_refresh(
+        snapshots.changed_files(old["files"], new_files)).select("path"))
+    tables = refreshed(old, old["files"], new_files, lambda u: store.replace("units_changed", u))
     for name, rows in tables.items():
         store.replace(name, rows)
     store.replace("files", new_files)
     parsed = status.marks(store.read("files"), "file", "file_key", status.PARSED, commit_sha, now).unionByName(
         status.marks(store.read("functions"), "function", "function_key", status.PARSED, commit_sha, now))
     _record(store, parsed)
-    summarize_new(store, commit_sha, now, with_functions, **how)
+    summarize_new(store, commit_sha, now, with_functions, changed, **how)
     return view(store, commit_sha)
 
 

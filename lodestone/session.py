@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +64,15 @@ def checkpointed(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def settled(df):
+    """Write ``df`` as a table to the shared folder and read it back.
+
+    The stage boundary for results that several branches use: a branch reads
+    only its columns, and a lost executor repeats nothing before it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/lodestone/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

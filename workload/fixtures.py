@@ -135,10 +135,14 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a file; the extension follows from the id."""
+    return as_docfiles(table(spark, sf_dir, "documents"))
+
+
+def as_docfiles(documents: DataFrame) -> DataFrame:
     ext = F.element_at(F.array(*[F.lit(e) for e in (".c", ".h", ".txt", ".C")]),
                        (F.col("doc_id") % 4 + 1).cast("int"))
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), ext))
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         "doc_id", F.md5(path.cast("binary")).alias("file_key"), path.alias("path"),
         F.col("text").alias("content"))
 
@@ -265,3 +269,156 @@ docfiles AS (
     SELECT *, concat_ws('/', source, lang, doc_id ||
            CASE doc_id % 4 WHEN 0 THEN '.c' WHEN 1 THEN '.h' WHEN 2 THEN '.txt' ELSE '.C' END) AS path
     FROM documents))"""
+
+
+# --------------------------------------------------------------------------
+# State tables
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Old and new snapshot of docfiles: French files are new, Spanish ones are gone,
+    German ones have changed."""
+    docs = docfiles(spark, sf_dir).withColumn("lang", F.split("path", "/")[1])
+    changed = F.when(F.col("lang") == "de", F.concat("content", F.lit("\n// changed"))).otherwise(F.col("content"))
+    old = docs.where("lang <> 'fr'").select("path", F.md5(F.col("content").cast("binary")).alias("content_hash"))
+    new = docs.where("lang <> 'es'").select("path", F.md5(changed.cast("binary")).alias("content_hash"))
+    return old, new
+
+
+SQL_SNAPSHOTS = SQL_DOCFILES + """,
+snaps AS (SELECT *, string_split(path, '/')[2] AS lang FROM docfiles),
+changes AS (
+  SELECT path, CASE lang WHEN 'fr' THEN 'added' WHEN 'es' THEN 'deleted' ELSE 'modified' END AS change
+  FROM snaps WHERE lang IN ('fr', 'es', 'de'))"""
+
+
+def old_sources(new: DataFrame) -> DataFrame:
+    """The snapshot before ``sources``: brand7 is missing, brand8 differs, an extra folder
+    with copies of brand9 exists."""
+    is_brand = lambda b: F.split("path", "/")[1] == b
+    edited = F.replace("content", F.lit("    return;\n"), F.lit("    return ;\n    old_call(1);\n"))
+    kept = new.where(~is_brand("brand7")).withColumn(
+        "content", F.when(is_brand("brand8"), edited).otherwise(F.col("content")))
+    gone = new.where(is_brand("brand9")).withColumn("path", F.concat(F.lit("a_legacy/"), "path"))
+    return kept.unionByName(gone)
+
+
+def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of processed items: item_type, item_key, stage, commit_sha, ts."""
+    kind = F.when(F.col("user_id") % 2 == 0, "file").otherwise("function")
+    return table(spark, sf_dir, "events").select(
+        kind.alias("item_type"), F.col("user_id").cast("string").alias("item_key"),
+        F.lit("summarized").alias("stage"), F.col("event_type").alias("commit_sha"),
+        F.date_trunc("second", "ts").alias("ts"))
+
+
+SQL_STATUS = """
+status_log AS (
+  SELECT CASE WHEN user_id % 2 = 0 THEN 'file' ELSE 'function' END AS item_type,
+         CAST(user_id AS VARCHAR) AS item_key, 'summarized' AS stage, event_type AS commit_sha,
+         date_trunc('second', ts) AS ts FROM events)"""
+
+
+def status_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are done: commit c1 for labels of quality 1, c0 for the others."""
+    doc = docfiles(spark, sf_dir).select("doc_id", "file_key")
+    label = table(spark, sf_dir, "labels").select(
+        "doc_id", F.when(F.col("quality") == 1, "c1").otherwise("c0").alias("commit_sha"))
+    return label.join(doc, "doc_id").select(
+        F.lit("file").alias("item_type"), F.col("file_key").alias("item_key"),
+        F.lit("summarized").alias("stage"), "commit_sha").distinct()
+
+
+SQL_PROCESSED = SQL_DOCFILES + """,
+processed AS (
+  SELECT DISTINCT file_key, CASE WHEN quality = 1 THEN 'c1' ELSE 'c0' END AS commit_sha
+  FROM labels JOIN docfiles USING (doc_id))"""
+
+
+def summaries(spark: SparkSession, sf_dir: str, key: str = "file_key") -> tuple[DataFrame, DataFrame]:
+    """Stored summaries, and updates for English documents and for new keys; every
+    update comes twice and the second one counts."""
+    doc = docfiles(spark, sf_dir)
+    lang = F.split("path", "/")[1]
+    refined = F.when(lang == "fr", "").when(lang == "es", None).otherwise(F.substring("content", 41, 40))
+    commit = F.concat(F.lit("c"), F.col("doc_id") % 2)
+    old = doc.select(F.col("file_key").alias(key), commit.alias("commit_sha"),
+                     F.substring("content", 1, 40).alias("summary"), refined.alias("summary_refined"))
+    keys = F.explode(F.when(lang == "en", F.array("file_key", F.md5(F.concat("file_key", F.lit("new")).cast("binary"))))
+                     .otherwise(F.array(F.md5(F.concat("file_key", F.lit("new")).cast("binary")))))
+    updates = doc.select(keys.alias(key), commit.alias("commit_sha"), "content").select(
+        key, "commit_sha", "content", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select(
+        key, "commit_sha", F.concat(F.lit("v"), "seq", F.lit(" "), F.substring("content", 1, 20)).alias("summary"),
+        F.lit("").alias("summary_refined"), "seq")
+    return old, updates
+
+
+SQL_SUMMARIES = SQL_DOCFILES + """,
+summaries_old AS (
+  SELECT file_key, 'c' || (doc_id % 2) AS commit_sha, substring(content, 1, 40) AS summary,
+         CASE string_split(path, '/')[2] WHEN 'fr' THEN '' WHEN 'es' THEN NULL
+              ELSE substring(content, 41, 40) END AS summary_refined
+  FROM docfiles),
+summaries_new AS (
+  SELECT k AS file_key, 'c' || (doc_id % 2) AS commit_sha, 'v2 ' || substring(content, 1, 20) AS summary,
+         '' AS summary_refined
+  FROM (SELECT *, unnest(CASE WHEN string_split(path, '/')[2] = 'en'
+                              THEN [file_key, md5(file_key || 'new')] ELSE [md5(file_key || 'new')] END) AS k
+        FROM docfiles))"""
+
+
+def repo_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(F.lit(""), F.lit(".git"), F.lit("/")), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.concat("url", ending).alias("git_url"))
+
+
+SQL_URLS = """
+repo_urls AS (
+  SELECT page_id AS seq, url || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '.git' ELSE '/' END AS git_url
+  FROM pages),
+named AS (SELECT *, replace(string_split(rtrim(git_url, '/'), '/')[-1], '.git', '') AS repo_name FROM repo_urls),
+safe AS (
+  SELECT *, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(repo_name),
+         '\\s+', '_', 'g'), '[^a-z0-9_-]+', '_', 'g'), '_+', '_', 'g'), '_'), ''), 'project') AS safe_name
+  FROM named),
+registered AS (
+  SELECT *, safe_name || CASE WHEN rn = 0 THEN '' ELSE '_' || rn END AS name
+  FROM (SELECT *, row_number() OVER (PARTITION BY safe_name ORDER BY seq) - 1 AS rn FROM safe))"""
+
+
+def params_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('["int a'), F.col("p_size"), F.lit('", "char *'), F.replace("p_name", F.lit(" "), F.lit("_")),
+                    F.when(F.col("p_partkey") % 7 == 0, '"').otherwise('"]'))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("parameters"))
+
+
+SQL_PARAMS = """
+params_text AS (
+  SELECT p_partkey AS id, 'int a' || p_size || '|char *' || replace(p_name, ' ', '_') AS decoded,
+         p_partkey % 7 = 0 AS broken FROM part)"""
+
+
+def py_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Python modules in nested folders; some do not parse, one per folder is left out."""
+    part = _part(spark, sf_dir)
+    k = F.col("p_partkey")
+    file = F.when(k % 11 == 0, F.lit("scan.py")).otherwise(F.concat(F.lit("m"), k, F.lit(".py")))
+    folder = F.concat(F.when(k % 13 == 0, "build/").otherwise("lib/"), "folder", F.lit("/d"), F.floor(k / PARTS_PER_FILE),
+                      F.when(k % 11 == 0, F.concat(F.lit("/s"), k)).otherwise(""))
+    body = F.concat(
+        F.lit("import os\n\nclass C_"), "name", F.lit(":\n    def inner(self):\n        pass\n\nasync def a_"), "name",
+        F.lit("():\n    pass\n\ndef Main():\n    def nested(): pass\n\nif os:\n    def hidden(): pass\n"),
+        F.when(k % 50 == 49, "def broken(:\n").otherwise(""))
+    return part.select(F.concat(folder, F.lit("/"), file).alias("path"), body.alias("content"))
+
+
+SQL_PY = SQL_PART + f""",
+py AS (
+  SELECT *, CASE WHEN p_partkey % 13 = 0 THEN 'build/' ELSE 'lib/' END || folder || '/d' || (p_partkey // {PARTS_PER_FILE})
+         || CASE WHEN p_partkey % 11 = 0 THEN '/s' || p_partkey ELSE '' END AS dir,
+         CASE WHEN p_partkey % 11 = 0 THEN 'scan' ELSE 'm' || p_partkey END AS module,
+         p_partkey % 50 = 49 AS broken
+  FROM nm),
+py_symbols AS (
+  SELECT dir || '/' || module || '.py' AS path, dir, module, kind, prefix || CASE prefix WHEN 'Main' THEN '' ELSE name END AS symbol
+  FROM py CROSS JOIN (VALUES ('class', 'C_'), ('function', 'a_'), ('function', 'Main')) v(kind, prefix)
+  WHERE NOT broken)"""
