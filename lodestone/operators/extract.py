@@ -12,322 +12,283 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexis
-from lodestone.functions.arrays import first_index, last_index, let, split_where
+from lodestone.functions.arrays import (
+    each, first_index, last_index, let, picked, quoted, split_where, struct, those, word_list,
+)
 from lodestone.functions.segments import running_total
 from lodestone.operators.segment import parsed_files, units
 
 ANONYMOUS, COMPLEX, UNKNOWN_TYPE = "<anonymous>", "<complex type>", "<unknown_type>"
 
+_ATTRIBUTES = word_list(lexis.ATTRIBUTE_WORDS)
+_TAGS = word_list(lexis.TAG_WORDS)
+
 
 # -- tokens ------------------------------------------------------------------
 
-def with_tokens(df: DataFrame, text: Column, name: str) -> DataFrame:
-    tok = F.regexp_extract_all(text, F.lit(lexis.TOKEN), F.lit(1))
-    df = df.withColumn("_tok", tok)
-    step = F.transform("_tok", lambda t: F.when(t.isin("(", "[", "{"), 1)
-                       .when(t.isin(")", "]", "}"), -1).otherwise(0))
-    df = df.withColumn("_raw", F.regexp_extract_all(text, F.lit(lexis.TOKEN), F.lit(0)))
-    df = df.withColumn("_depth", running_total(step))
-    zipped = F.transform("_tok", lambda t, i: F.struct(
-        i.alias("i"), t.alias("t"), F.get(F.col("_depth"), i).alias("d"),
-        F.get(F.col("_raw"), i).alias("raw")))
-    return df.withColumn(name, zipped).drop("_tok", "_raw", "_depth")
+def with_tokens(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the tokens of the SQL expression ``text`` as the column ``name``."""
+    pattern = quoted(lexis.TOKEN)
+    df = df.withColumns({
+        "_tok": F.expr(f"regexp_extract_all({text}, {pattern}, 1)"),
+        "_raw": F.expr(f"regexp_extract_all({text}, {pattern}, 0)")})
+    step = each("_tok", lambda t: f"CASE WHEN {t} IN ('(', '[', '{{') THEN 1 "
+                                  f"WHEN {t} IN (')', ']', '}}') THEN -1 ELSE 0 END")
+    df = df.withColumn("_depth", running_total(F.expr(step)))
+    zipped = each("_tok", lambda t, i: struct(i=i, t=t, d=f"get(_depth, {i})", raw=f"get(_raw, {i})"))
+    return df.withColumn(name, F.expr(zipped)).drop("_tok", "_raw", "_depth")
 
 
-def _source_text(tokens: Column) -> Column:
+def _source_text(tokens: str) -> str:
     """Text of the tokens without what stands in front of the first one."""
-    return F.concat(
-        F.get(tokens, F.lit(0))["t"],
-        F.array_join(F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))),
-                                 lambda x: x["raw"]), ""))
+    rest = each(f"slice({tokens}, 2, greatest(size({tokens}), 1))", lambda x: f"{x}.raw")
+    return f"concat(get({tokens}, 0).t, array_join({rest}, ''))"
 
 
-def _is_word(x: Column) -> Column:
-    return x["t"].rlike(lexis.WORD) & ~x["t"].isin(lexis.ATTRIBUTE_WORDS)
+def _is_word(x: str) -> str:
+    return f"({x}.t RLIKE {quoted(lexis.WORD)} AND {x}.t NOT IN ({_ATTRIBUTES}))"
 
 
-def _is_name(x: Column) -> Column:
-    return _is_word(x) & ~x["t"].isin(lexis.TAG_WORDS)
+def _is_name(x: str) -> str:
+    return f"({_is_word(x)} AND {x}.t NOT IN ({_TAGS}))"
 
 
-def _token(z: Column, i: Column) -> Column:
-    return F.when(i >= 0, F.get(z, i)["t"])
+def _token(z: str, i: str) -> str:
+    """Text of the token at a position, empty outside of the tokens."""
+    return f"coalesce(get({z}, {i}).t, '')"
 
 
 # -- declarators -------------------------------------------------------------
 
-def _declarator(z: Column, base: Column) -> Column:
+def _declarator(z: str, base: str) -> str:
     """``int (*f)(void)`` and the like -> struct<name, at, type, is_function, is_variable>.
 
     ``base`` is the bracket depth of the declaration, ``at`` the position of the
     name in ``z``; both are null when nothing is declared.
     """
-    marks = F.struct(
-        first_index(z, lambda x, i: (x["t"] == "(") & (x["d"] == base)
-                    & ~F.coalesce(_token(z, i - 1), F.lit("")).isin(lexis.ATTRIBUTE_WORDS)).alias("paren"),
-        first_index(z, lambda x, i: (x["d"] == base) & x["t"].isin("=", "[", ":")).alias("cut"),
-        first_index(z, lambda x, i: (x["d"] == base) & (x["t"] == "*")).alias("star"),
-    )
-
-    def with_marks(m: Column) -> Column:
-        has_paren = m["paren"].isNotNull() & (m["cut"].isNull() | (m["paren"] < m["cut"]))
-        closing = F.when(has_paren, first_index(
-            z, lambda x, i: (i > m["paren"]) & (x["t"] == ")") & (x["d"] == base + 1)))
-
-        def with_close(c: Column) -> Column:
-            after = F.coalesce(_token(z, c + 1), F.lit(""))
-            grouped = has_paren & (after.isin("(", "[") | (_token(z, m["paren"] + 1) == "*"))
-            at = (
-                F.when(grouped, first_index(z, lambda x, i: (i > m["paren"]) & _is_name(x)))
-                .when(has_paren, m["paren"] - 1)
-                .otherwise(last_index(z, lambda x, i: (i < F.coalesce(m["cut"], F.size(z)))
-                                      & (x["d"] == base) & _is_name(x)))
-            )
-
-            def with_at(a: Column) -> Column:
-                tag = F.coalesce(_token(z, a - 1).isin(lexis.TAG_WORDS), F.lit(False))
-                ok = a.isNotNull() & ~tag & _is_name(F.get(z, a))
-                end = F.least(a, m["star"], F.when(grouped, m["paren"]))
-                words = F.transform(
-                    F.filter(F.slice(z, 1, F.greatest(end, F.lit(0))),
-                             lambda x: (x["d"] == base) & _is_word(x)), lambda x: x["t"])
-                return F.struct(
-                    F.when(ok, F.get(z, a)["t"]).alias("name"), F.when(ok, a).alias("at"),
-                    F.array_join(words, " ").alias("type"),
-                    (ok & has_paren & (~grouped | (after == "("))).alias("is_function"),
-                    (ok & (F.coalesce(_token(z, a + 1), F.lit("")) != "(")).alias("is_variable"))
-
-            return let(at, with_at)
-
-        return let(closing, with_close)
+    def flat(x: str) -> str:
+        return f"{x}.d = {base}"
+
+    marks = struct(
+        paren=first_index(z, lambda x, i: f"{x}.t = '(' AND {flat(x)} AND {_token(z, f'{i} - 1')} NOT IN ({_ATTRIBUTES})"),
+        cut=first_index(z, lambda x, i: f"{flat(x)} AND {x}.t IN ('=', '[', ':')"),
+        star=first_index(z, lambda x, i: f"{flat(x)} AND {x}.t = '*'"))
+
+    def with_marks(m: str) -> str:
+        has_paren = f"({m}.paren IS NOT NULL AND ({m}.cut IS NULL OR {m}.paren < {m}.cut))"
+        close = first_index(z, lambda x, i: f"{i} > {m}.paren AND {x}.t = ')' AND {x}.d = {base} + 1")
+        closing = f"CASE WHEN {has_paren} THEN {close} END"
+        return let(struct(after=f"coalesce(get({z}, {closing} + 1).t, '')", has=has_paren), lambda c: with_close(m, c))
+
+    def with_close(m: str, c: str) -> str:
+        grouped = f"({c}.has AND ({c}.after IN ('(', '[') OR {_token(z, f'{m}.paren + 1')} = '*'))"
+        inner = first_index(z, lambda x, i: f"{i} > {m}.paren AND {_is_name(x)}")
+        plain = last_index(z, lambda x, i: f"{i} < coalesce({m}.cut, size({z})) AND {flat(x)} AND {_is_name(x)}")
+        at = f"CASE WHEN {grouped} THEN {inner} WHEN {c}.has THEN {m}.paren - 1 ELSE {plain} END"
+        return let(struct(at=at, grouped=grouped), lambda g: with_name(m, c, g))
+
+    def with_name(m: str, c: str, g: str) -> str:
+        a = f"{g}.at"
+        ok = (f"({a} IS NOT NULL AND {_token(z, f'{a} - 1')} NOT IN ({_TAGS}) "
+              f"AND coalesce({_is_name(f'get({z}, {a})')}, false))")
+        end = f"least({a}, {m}.star, CASE WHEN {g}.grouped THEN {m}.paren END)"
+        words = each(those(f"slice({z}, 1, greatest(coalesce({end}, 0), 0))", lambda x: f"{flat(x)} AND {_is_word(x)}"),
+                     lambda x: f"{x}.t")
+        return struct(
+            name=f"CASE WHEN {ok} THEN get({z}, {a}).t END", at=f"CASE WHEN {ok} THEN {a} END",
+            type=f"array_join({words}, ' ')",
+            is_function=f"({ok} AND {c}.has AND (NOT {g}.grouped OR {c}.after = '('))",
+            is_variable=f"({ok} AND {_token(z, f'{a} + 1')} <> '(')")
 
     return let(marks, with_marks)
 
 
-def first_name(z: Column) -> Column:
+def first_name(z: str) -> str:
     """The name that the declaration or function head ``z`` declares."""
-    return _declarator(z, F.lit(0))["name"]
+    return f"{_declarator(z, '0')}.name"
 
 
-def _parts(z: Column, base: Column) -> Column:
+def _parts(z: str, base: str) -> str:
     """Declarators of one statement: array of tokens per comma-separated part."""
-    return split_where(z, lambda x: (x["t"] == ",") & (x["d"] == base))
-
+    return split_where(z, lambda x: f"{x}.t = ',' AND {x}.d = {base}")
 
-def _declared(z: Column, base: Column) -> Column:
-    """Every declarator of a statement; all carry the type words of the first part."""
-    def typed(ds: Column) -> Column:
-        return F.transform(ds, lambda d: d.withField("type", F.get(ds, F.lit(0))["type"]))
 
-    return let(F.transform(_parts(z, base), lambda p: _declarator(p, base)), typed)
+def _declared(z: str, base: str) -> str:
+    """Every declarator of a statement with its tokens; all carry the type words of
+    the first part."""
+    found = each(_parts(z, base), lambda p: struct(p=p, d=_declarator(p, base)))
+    return let(found, lambda ds: each(ds, lambda x: struct(
+        name=f"{x}.d.name", at=f"{x}.d.at", type=f"get({ds}, 0).d.type",
+        is_function=f"{x}.d.is_function", is_variable=f"{x}.d.is_variable", tokens=f"{x}.p")))
 
 
-def _parameters(z: Column) -> Column:
+def _parameters(z: str) -> str:
     """Source text of each parameter; those of function-pointer parameters follow their parent."""
-    def closing(i: Column) -> Column:
-        return first_index(z, lambda x, j: (j > i) & (x["t"] == ")") & (x["d"] == F.get(z, i)["d"] + 1))
+    def opens(x: str, i: str) -> str:
+        before = f"get({z}, {i} - 1)"
+        return (f"{x}.t = '(' AND {i} > 0 AND ({_is_word(before)} OR {before}.t = ')') "
+                f"AND {_token(z, f'{i} + 1')} <> '*'")
 
-    def opens(x: Column, i: Column) -> Column:
-        before = F.get(z, F.greatest(i - 1, F.lit(0)))
-        return ((x["t"] == "(") & (i > 0) & (_is_word(before) | (before["t"] == ")"))
-                & (F.coalesce(_token(z, i + 1), F.lit("")) != "*"))
+    def closing(x: str, i: str) -> str:
+        return first_index(z, lambda y, j: f"{j} > {i} AND {y}.t = ')' AND {y}.d = {x}.d + 1")
 
-    lists = F.filter(F.transform(z, lambda x, i: F.when(opens(x, i), F.struct(
-        i.alias("open"), closing(i).alias("close"), (x["d"] + 1).alias("d")))),
-        lambda r: r.isNotNull() & (F.coalesce(_token(z, r["close"] + 1), F.lit("")) != "("))
+    lists = those(
+        picked(z, opens, lambda x, i: struct(open=i, close=closing(x, i), d=f"{x}.d + 1")),
+        # a bracket before another argument list groups the declarator
+        lambda r: f"{_token(z, f'{r}.close + 1')} <> '('")
 
-    def of_list(r: Column) -> Column:
-        inner = F.slice(z, r["open"] + 2, F.greatest(r["close"] - r["open"] - 1, F.lit(0)))
-        return F.filter(split_where(inner, lambda x: (x["t"] == ",") & (x["d"] == r["d"])),
-                        lambda p: (F.size(p) > 0) & (F.get(p, F.lit(0))["t"] != "..."))
+    def of_list(r: str) -> str:
+        inner = f"slice({z}, {r}.open + 2, greatest({r}.close - {r}.open - 1, 0))"
+        return those(split_where(inner, lambda x: f"{x}.t = ',' AND {x}.d = {r}.d"),
+                     lambda p: f"size({p}) > 0 AND get({p}, 0).t <> '...'")
 
-    found = F.flatten(F.transform(lists, of_list))
-    ordered = F.array_sort(F.transform(found, lambda p: F.struct(
-        F.get(p, F.lit(0))["i"].alias("i"), _source_text(p).alias("text"))))
-    return ordered["text"]
+    found = f"flatten({each(lists, of_list)})"
+    return f"array_sort({each(found, lambda p: struct(i=f'get({p}, 0).i', text=_source_text(p)))}).text"
 
 
-def _signature(d: Column, z: Column) -> Column:
-    return F.struct(
-        d["name"].alias("name"),
-        F.coalesce(F.nullif(d["type"], F.lit("")), F.lit("int")).alias("return_type"),
-        _parameters(z).alias("parameters"))
+def _signature(d: str, z: str) -> str:
+    return struct(name=f"{d}.name", return_type=f"coalesce(nullif({d}.type, ''), 'int')",
+                  parameters=_parameters(z))
 
 
 # -- tables ------------------------------------------------------------------
 
-def function_key(path: Column, name: Column, start: Column, end: Column, proto: Column) -> Column:
-    return F.md5(F.concat_ws("|", path, name, start, end, proto).cast("binary"))
+def function_key(path: str, name: str, start: str, end: str, proto: str) -> str:
+    return f"md5(concat_ws('|', {path}, {name}, {start}, {end}, {proto}))"
 
 
-def _span_columns() -> list:
-    return ["path", "unit", "n_units", "start_line", "end_line", "snippet", "cover_text", "calls"]
+_SPAN = ["path", "unit", "n_units", "start_line", "end_line", "snippet", "cover_text", "calls"]
 
 
-def each_entry(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+def each_entry(df: DataFrame, items: str, name: str, *keep: str) -> DataFrame:
     """One row per entry.  The filter stays above the generator, so that the
     expression behind ``items`` is not evaluated a second time for it."""
-    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+    return df.selectExpr(*keep, f"explode_outer({items}) AS {name}").where(f"{name} IS NOT NULL")
 
 
 def definitions(u: DataFrame) -> DataFrame:
     """Function definitions with their calls."""
-    fns = with_tokens(u.where("is_function").select(*_span_columns(), "text"), F.col("text"), "z")
-    fns = fns.withColumn("d", _declarator(F.col("z"), F.lit(0)))
-    found = F.filter(F.array(_signature(F.col("d"), F.col("z"))), lambda s: s["name"].isNotNull())
-    return each_entry(fns, found, "sig", *_span_columns()).select(
-        *_span_columns(), F.col("unit").alias("ordinal"), "sig.name", "sig.return_type",
-        "sig.parameters")
+    fns = with_tokens(u.where("is_function").select(*_SPAN, "text"), "text", "z")
+    fns = fns.withColumn("d", F.expr(_declarator("z", "0")))
+    found = those(f"array({_signature('d', 'z')})", lambda s: f"{s}.name IS NOT NULL")
+    return each_entry(fns, found, "sig", *_SPAN).selectExpr(*_SPAN, "unit AS ordinal", "sig.*")
+
+
+def _declarations(u: DataFrame) -> DataFrame:
+    """Units that are neither function definitions nor typedefs."""
+    pattern = quoted(lexis.TRIVIA_AT_START + r"typedef\b")
+    return u.where(f"NOT is_function AND NOT text RLIKE {pattern}")
 
 
 def prototypes(u: DataFrame) -> DataFrame:
     """Function declarations of header files (E5)."""
-    decl = _declarations(u).where(F.col("path").endswith(".h"))
-    decl = with_tokens(decl.select(*_span_columns(), "text"), F.col("text"), "z")
+    decl = _declarations(u).where("endswith(path, '.h')")
+    decl = with_tokens(decl.select(*_SPAN, "text"), "text", "z")
     # a bare NAME(...); is a macro use, unless it follows another part
-    found = let(F.struct(_parts(F.col("z"), F.lit(0)).alias("p"),
-                         _declared(F.col("z"), F.lit(0)).alias("d")),
-                lambda s: F.filter(
-                    F.transform(s["p"], lambda p, i: F.struct(p.alias("p"), F.get(s["d"], i).alias("d"), i.alias("i"))),
-                    lambda x: x["d"]["is_function"] & ((x["d"]["at"] > 0) | (x["i"] > 0))))
-    rows = each_entry(decl, F.transform(found, lambda x: _signature(x["d"], x["p"])), "sig", *_span_columns())
-    return rows.select(
-        *_span_columns(), (F.col("n_units") + F.col("unit")).alias("ordinal"), "sig.name",
-        "sig.return_type", "sig.parameters")
-
-
-def _declarations(u: DataFrame) -> DataFrame:
-    """Units that are neither function definitions nor typedefs."""
-    return u.where("not is_function").where(~F.col("text").rlike(lexis.TRIVIA_AT_START + r"typedef\b"))
+    found = those(_declared("z", "0"), lambda d: f"{d}.is_function AND ({d}.at > 0 OR get({d}.tokens, 0).i > 0)")
+    rows = each_entry(decl, each(found, lambda d: _signature(d, f"{d}.tokens")), "sig", *_SPAN)
+    return rows.selectExpr(*_SPAN, "n_units + unit AS ordinal", "sig.*")
 
 
 def functions(u: DataFrame) -> DataFrame:
     """Definitions, then prototypes: the functions table."""
     both = definitions(u).withColumn("is_prototype", F.lit(False)).unionByName(
         prototypes(u).withColumn("is_prototype", F.lit(True)))
-    return _function_columns(both)
-
-
-def _function_columns(df: DataFrame) -> DataFrame:
-    return df.select(
-        function_key(F.col("path"), F.coalesce("name", F.lit("")), F.col("start_line"),
-                     F.col("end_line"), F.col("is_prototype")).alias("function_key"),
-        F.md5(F.col("path").cast("binary")).alias("file_key"), "path",
-        F.coalesce("name", F.lit("")).alias("name"),
-        F.coalesce("return_type", F.lit("")).alias("return_type"), "parameters",
-        "start_line", "end_line", "is_prototype",
-        F.md5(F.col("snippet").cast("binary")).alias("code_hash"),
-        F.col("snippet").alias("code_snippet"), "ordinal")
+    return both.selectExpr(
+        f"{function_key('path', 'name', 'start_line', 'end_line', 'is_prototype')} AS function_key",
+        "md5(path) AS file_key", "path", "coalesce(name, '') AS name",
+        "coalesce(return_type, '') AS return_type", "parameters", "start_line", "end_line",
+        "is_prototype", "md5(snippet) AS code_hash", "snippet AS code_snippet", "ordinal")
 
 
-def _whole_units(u: DataFrame, pattern: str, name: str) -> DataFrame:
-    """Units whose whole text (with the body) matches, tokenised."""
-    text = F.concat(F.col("text"), F.coalesce("body", F.lit("")))
-    picked = u.select("path", "unit", "is_function", text.alias("whole"))
-    return with_tokens(picked.where(F.col("whole").rlike(pattern)), F.col("whole"), name)
+def _whole_units(u: DataFrame, pattern: str) -> DataFrame:
+    """Units whose whole text (with the body) matches, tokenised as ``z``."""
+    picked_ = u.selectExpr("path", "unit", "concat(text, coalesce(body, '')) AS whole")
+    return with_tokens(picked_.where(f"whole RLIKE {quoted(pattern)}"), "whole", "z")
 
 
 def structs(u: DataFrame) -> DataFrame:
     """Struct specifiers with a body, nested ones included, in text order."""
-    df = _whole_units(u, r"\bstruct\b[^;{}]*+\{", "z")
-    z = F.col("z")
-
-    def stop(i: Column) -> Column:
-        return first_index(z, lambda x, j: (j > i) & (x["d"] == F.get(z, i)["d"]) & (
-            x["t"].isin("{", ";", ")", ",", "=", "*")
-            | ((x["t"] == "(") & ~F.get(z, j - 1)["t"].isin(lexis.ATTRIBUTE_WORDS))))
-
-    starts = F.filter(F.transform(z, lambda x, i: F.when(x["t"] == "struct", F.struct(
-        i.alias("i"), x["d"].alias("d"), stop(i).alias("k")))), lambda s: s.isNotNull())
-    bodies = (
-        F.transform(F.filter(starts, lambda s: _token(z, s["k"]) == "{"), lambda s: F.struct(
-            s["i"].alias("i"), s["d"].alias("d"),
-            F.slice(z, s["i"] + 2, s["k"] - s["i"] - 1).alias("before"),
-            let(first_index(z, lambda x, j: (j > s["k"]) & (x["t"] == "}") & (x["d"] == s["d"] + 1)),
-                lambda e: F.struct(
-                    F.slice(z, s["i"] + 1, e - s["i"] + 1).alias("all"),
-                    F.slice(z, s["k"] + 2, e - s["k"] - 1).alias("inner"),
-                    # what follows the struct in a typedef names an untagged one
-                    F.when((s["d"] == 0) & (F.get(z, F.lit(0))["t"] == "typedef"),
-                           F.slice(z, e + 2, F.size(z) - e - 2)).alias("after"))).alias("x"))))
-    return _struct_columns(each_entry(df, bodies, "s", "path", "unit"))
-
-
-def _struct_columns(df: DataFrame) -> DataFrame:
-    base = F.col("s.d")
-    tag = F.get(F.reverse(F.filter("s.before", lambda x: (x["d"] == base) & _is_word(x))), F.lit(0))["t"]
-    alias = F.get(_declared(F.col("s.x.after"), base), F.lit(0))["name"]
-
-    def fields_of(statement: Column) -> Column:
-        return F.transform(
-            F.filter(_declared(statement, base + 1), lambda d: d["name"].isNotNull()),
-            lambda d: F.concat_ws(" ", F.coalesce(F.nullif(d["type"], F.lit("")), F.lit("int")), d["name"]))
-
-    fields = F.flatten(F.transform(
-        F.filter(split_where(F.col("s.x.inner"), lambda x: (x["t"] == ";") & (x["d"] == base + 1)),
-                 lambda st: F.size(st) > 0), fields_of))
-    return df.select(
-        "path", F.col("unit").alias("ordinal"), F.col("s.i").alias("pos"),
-        F.coalesce(tag, alias, F.lit(ANONYMOUS)).alias("name"),
-        _source_text(F.col("s.x.all")).alias("code"), fields.alias("fields"))
+    df = _whole_units(u, r"\bstruct\b[^;{}]*+\{")
+
+    def stop(x: str, i: str) -> str:
+        """What ends the words after ``struct``."""
+        return first_index("z", lambda y, j: (
+            f"{j} > {i} AND {y}.d = {x}.d AND ({y}.t IN ('{{', ';', ')', ',', '=', '*') "
+            f"OR ({y}.t = '(' AND {_token('z', f'{j} - 1')} NOT IN ({_ATTRIBUTES})))"))
+
+    def texts(s: str) -> str:
+        end = first_index("z", lambda y, j: f"{j} > {s}.k AND {y}.t = '}}' AND {y}.d = {s}.d + 1")
+        return let(end, lambda e: struct(
+            i=f"{s}.i", d=f"{s}.d", before=f"slice(z, {s}.i + 2, {s}.k - {s}.i - 1)",
+            all=f"slice(z, {s}.i + 1, {e} - {s}.i + 1)", inner=f"slice(z, {s}.k + 2, {e} - {s}.k - 1)",
+            # what follows the struct in a typedef names an untagged one
+            after=f"CASE WHEN {s}.d = 0 AND get(z, 0).t = 'typedef' THEN slice(z, {e} + 2, size(z) - {e} - 2) END"))
+
+    starts = picked("z", lambda x, i: f"{x}.t = 'struct'", lambda x, i: struct(i=i, d=f"{x}.d", k=stop(x, i)))
+    bodies = each(those(starts, lambda s: f"{_token('z', f'{s}.k')} = '{{'"), texts)
+    rows = each_entry(df, bodies, "s", "path", "unit")
+
+    tags = those("s.before", lambda x: f"{x}.d = s.d AND {_is_word(x)}")
+    alias = f"get({_declared('s.after', 's.d')}, 0).name"
+    statements = those(split_where("s.inner", lambda x: f"{x}.t = ';' AND {x}.d = s.d + 1"), lambda st: f"size({st}) > 0")
+    fields = each(statements, lambda st: each(
+        those(_declared(st, "s.d + 1"), lambda d: f"{d}.name IS NOT NULL"),
+        lambda d: f"concat_ws(' ', coalesce(nullif({d}.type, ''), 'int'), {d}.name)"))
+    return rows.selectExpr(
+        "path", "unit AS ordinal", "s.i AS pos",
+        f"coalesce(get(reverse({tags}), 0).t, {alias}, {quoted(ANONYMOUS)}) AS name",
+        f"{_source_text('s.all')} AS code", f"flatten({fields}) AS fields")
 
 
 def typedefs(u: DataFrame) -> DataFrame:
     """Type aliases: alias, original type words, source text."""
-    df = _whole_units(u, r"\btypedef\b", "z")
-    z = F.col("z")
-
-    def end(i: Column) -> Column:
-        return first_index(z, lambda x, j: (j > i) & (x["t"] == ";") & (x["d"] == F.get(z, i)["d"]))
-
-    found = F.filter(F.transform(z, lambda x, i: F.when(x["t"] == "typedef", F.struct(
-        i.alias("i"), x["d"].alias("d"), F.slice(z, i + 1, end(i) - i + 1).alias("all")))),
-        lambda s: s.isNotNull() & (F.size(s["all"]) > 2))
-    df = each_entry(df, found, "s", "path", "unit")
-    statement = F.slice(F.col("s.all"), 2, F.size("s.all") - 2)
-    first = F.get(_declared(statement, F.col("s.d")), F.lit(0))
-    df = each_entry(df, F.filter(F.array(first), lambda d: d["name"].isNotNull()), "d", "path", "unit", "s")
-    body = F.exists("s.all", lambda x: x["t"] == "{")
-    return df.select(
-        "path", F.col("unit").alias("ordinal"), F.col("s.i").alias("pos"), F.col("d.name").alias("alias"),
-        F.when(body | (F.col("d.type") == ""), F.lit(COMPLEX)).otherwise(F.col("d.type")).alias("original"),
-        _source_text(F.col("s.all")).alias("code"))
+    df = _whole_units(u, r"\btypedef\b")
+
+    def statement(x: str, i: str) -> str:
+        end = first_index("z", lambda y, j: f"{j} > {i} AND {y}.t = ';' AND {y}.d = {x}.d")
+        return struct(i=i, d=f"{x}.d", all=f"slice(z, {i} + 1, {end} - {i} + 1)")
+
+    found = those(picked("z", lambda x, i: f"{x}.t = 'typedef'", statement), lambda s: f"size({s}.all) > 2")
+    rows = each_entry(df, found, "s", "path", "unit")
+    first = f"get({_declared('slice(s.all, 2, size(s.all) - 2)', 's.d')}, 0)"
+    rows = each_entry(rows, those(f"array({first})", lambda d: f"{d}.name IS NOT NULL"), "d", "path", "unit", "s")
+    return rows.selectExpr(
+        "path", "unit AS ordinal", "s.i AS pos", "d.name AS alias",
+        f"CASE WHEN exists(s.all, x -> x.t = '{{') OR d.type = '' THEN {quoted(COMPLEX)} ELSE d.type END AS original",
+        f"{_source_text('s.all')} AS code")
 
 
 def globals_(u: DataFrame) -> DataFrame:
     """Variables declared at file scope: name and type words."""
-    decl = with_tokens(_declarations(u).select("path", "unit", "text"), F.col("text"), "z")
-    statement = F.filter("z", lambda x: (x["t"] != ";") | (x["d"] > 0))
-    decl = decl.select("path", "unit", _declared(statement, F.lit(0)).alias("ds"))
-    decl = decl.select("path", "unit", F.posexplode_outer("ds").alias("pos", "d"))
+    decl = with_tokens(_declarations(u).select("path", "unit", "text"), "text", "z")
+    statement = those("z", lambda x: f"{x}.t <> ';' OR {x}.d > 0")
+    decl = decl.selectExpr("path", "unit", f"posexplode_outer({_declared(statement, '0')}) AS (pos, d)")
     # a lone word is a macro use, not a variable
-    named = decl.where("d.is_variable and (d.at > 0 or pos > 0)")
-    return named.select(
-        "path", F.col("unit").alias("ordinal"), "pos", F.col("d.name").alias("name"),
-        F.coalesce(F.nullif(F.col("d.type"), F.lit("")), F.lit(UNKNOWN_TYPE)).alias("type"))
+    return decl.where("d.is_variable AND (d.at > 0 OR pos > 0)").selectExpr(
+        "path", "unit AS ordinal", "pos", "d.name AS name",
+        f"coalesce(nullif(d.type, ''), {quoted(UNKNOWN_TYPE)}) AS type")
 
 
 def calls(u: DataFrame) -> DataFrame:
     """One row per call site: path, caller_line, callee_name."""
-    return each_entry(u.where("is_function"), F.col("calls"), "c", "path").select(
-        "path", F.col("c.line").alias("caller_line"), F.col("c.name").alias("callee_name"))
+    return each_entry(u.where("is_function"), "calls", "c", "path").selectExpr(
+        "path", "c.line AS caller_line", "c.name AS callee_name")
 
 
 def file_symbols(u: DataFrame) -> DataFrame:
     """Structs, typedefs and globals in one table."""
-    none_list = F.lit(None).cast("array<string>")
-    none = F.lit(None).cast("string")
-    s = structs(u).select("path", F.lit("struct").alias("symbol_type"), F.col("name").alias("symbol_name"),
-                          F.col("code").alias("code_snippet"), "fields", none.alias("original"),
-                          "ordinal", "pos")
-    t = typedefs(u).select("path", F.lit("typedef").alias("symbol_type"), F.col("alias").alias("symbol_name"),
-                           F.col("code").alias("code_snippet"), none_list.alias("fields"), "original",
-                           "ordinal", "pos")
-    g = globals_(u).select("path", F.lit("global").alias("symbol_type"), F.col("name").alias("symbol_name"),
-                           F.col("type").alias("code_snippet"), none_list.alias("fields"),
-                           none.alias("original"), "ordinal", "pos")
-    both = s.unionByName(t).unionByName(g)
-    return both.select(F.md5(F.col("path").cast("binary")).alias("file_key"), *both.columns)
+    columns = ("md5(path) AS file_key", "path", "'{}' AS symbol_type", "{} AS symbol_name", "{} AS code_snippet",
+               "{} AS fields", "{} AS original", "ordinal", "pos")
+
+    def rows(df: DataFrame, *values: str) -> DataFrame:
+        given = iter(values)
+        return df.selectExpr(*[c.format(next(given)) if "{}" in c else c for c in columns])
+
+    no_list, no_text = "CAST(NULL AS array<string>)", "CAST(NULL AS string)"
+    return (rows(structs(u), "struct", "name", "code", "fields", no_text)
+            .unionByName(rows(typedefs(u), "typedef", "alias", "code", no_list, "original"))
+            .unionByName(rows(globals_(u), "global", "name", "type", no_list, no_text)))
 
 
 def file_info(files: DataFrame, functions: DataFrame, symbols: DataFrame, call_rows: DataFrame) -> DataFrame:

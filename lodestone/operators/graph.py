@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import struct, those
 from lodestone.operators.extract import definitions, each_entry, first_name, function_key, with_tokens
 from lodestone.operators.skew import paged_lists, salted_join
 
@@ -29,25 +30,21 @@ def call_sites(u: DataFrame) -> DataFrame:
     first function of its file with the same name.  Both only concern rows of
     one file.  Columns: path, caller, caller_key, caller_name, line, callee.
     """
-    fns = definitions(u)
     # Functions that share a line: the calls there go to the first of them.
-    fns = with_tokens(fns, F.col("cover_text"), "zc")
-    fns = fns.withColumn("cover", first_name(F.col("zc")))
-    key = function_key(F.col("path"), F.col("name"), F.col("start_line"), F.col("end_line"), F.lit(False))
-    own = F.struct(F.col("name").alias("caller"), F.struct("ordinal", key.alias("key")).alias("me"),
-                   F.filter("calls", lambda c: ~c["shared"]).alias("calls"))
-    other = F.struct(F.col("cover").alias("caller"),
-                     F.lit(None).cast("struct<ordinal:int,key:string>").alias("me"),
-                     F.filter("calls", lambda c: c["shared"]).alias("calls"))
-    rows = each_entry(fns, F.filter(F.array(own, other), lambda r: r["caller"].isNotNull()), "r", "path")
+    fns = with_tokens(definitions(u), "cover_text", "zc")
+    key = function_key("path", "name", "start_line", "end_line", "false")
+    me = struct(ordinal="ordinal", key=key)
+    own = struct(caller="name", me=me, calls=those("calls", lambda c: f"NOT {c}.shared"))
+    other = struct(caller=first_name("zc"), me="CAST(NULL AS struct<ordinal:int,key:string>)",
+                   calls=those("calls", lambda c: f"{c}.shared"))
+    rows = each_entry(fns, those(f"array({own}, {other})", lambda r: f"{r}.caller IS NOT NULL"), "r", "path")
+    rows = rows.selectExpr("path", "r.caller AS caller", "r.me AS me", "r.calls AS calls")
     # min over the struct: the lowest position wins
-    first = F.min("r.me").over(Window.partitionBy("path", "r.caller"))
-    rows = rows.select("path", F.col("r.caller").alias("caller"), first["key"].alias("caller_key"),
-                       F.col("r.calls").alias("calls"))
-    sites = each_entry(rows, F.col("calls"), "c", "path", "caller", "caller_key")
-    return sites.select("path", "caller", "caller_key",
-                        F.concat("path", F.lit("::"), "caller").alias("caller_name"),
-                        F.col("c.line").alias("line"), F.col("c.name").alias("callee"))
+    first = F.min("me").over(Window.partitionBy("path", "caller"))
+    rows = rows.select("path", "caller", first["key"].alias("caller_key"), "calls")
+    return each_entry(rows, "calls", "c", "path", "caller", "caller_key").selectExpr(
+        "path", "caller", "caller_key", "concat(path, '::', caller) AS caller_name", "c.line AS line",
+        "c.name AS callee")
 
 
 def resolve(sites: DataFrame, names: DataFrame) -> DataFrame:

@@ -10,39 +10,64 @@ from one parsed table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import lexis
+from lodestone.functions.arrays import each, quoted, struct, those, word_list
 from lodestone.functions.segments import (
     ARROW, BARE, CLOSE, IDENT, KINDS, LITERAL, LPAR, MEMBER, OPEN, RPAR, SEMI, TEXT, TRIVIA,
     unit_spans,
 )
 
 
-def _piece_code(p: Column) -> Column:
+def _piece_code(p: str) -> str:
     """Kind of a piece plus 16 times the number of line ends in it."""
-    has_newline = F.contains(p, F.lit("\n"))
-    lines = F.when(has_newline, F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))).otherwise(0)
-    bare = p.rlike(r"^[ \t]*[A-Za-z_]\w*[ \t]*$")
-    kind = (
-        F.when(p == "(", LPAR).when(p == ")", RPAR).when(p == ";", SEMI)
-        .when(p == "{", OPEN).when(p == "}", CLOSE)
-        .when(F.startswith(p, F.lit("/*")) | F.startswith(p, F.lit("//")), TRIVIA)
-        .when(F.startswith(p, F.lit('"')) | F.startswith(p, F.lit("'")), LITERAL)
-        .when(has_newline & p.rlike(r"^\s*$"), TRIVIA)
-        .when(p.rlike(r"^[ \t]*(?:#|$)"), TRIVIA)
-        .when(bare, BARE)
-        .when(p.rlike(r"(?:\.|->)[ \t]*[A-Za-z_]\w*[ \t]*$"), MEMBER)
-        .when(p.rlike(r"(?:\.|->)[ \t]*$"), ARROW)
-        .when(p.rlike(r"[A-Za-z_]\w*[ \t]*$"), IDENT)
-        .otherwise(TEXT)
-    )
-    return (kind + lines * F.lit(KINDS)).cast("int")
-
-
-def _joined(pieces: Column, first: Column, size: Column) -> Column:
-    return F.array_join(F.slice(pieces, first, size), "")
+    def matches(pattern: str) -> str:
+        return f"rlike({p}, {quoted(pattern)})"
+
+    newline = quoted("\n")
+    return f"""CASE
+        WHEN {p} = '(' THEN {LPAR} WHEN {p} = ')' THEN {RPAR} WHEN {p} = ';' THEN {SEMI}
+        WHEN {p} = '{{' THEN {OPEN} WHEN {p} = '}}' THEN {CLOSE}
+        WHEN contains({p}, {newline}) THEN {KINDS} * (length({p}) - length(replace({p}, {newline}, '')))
+            + CASE WHEN startswith({p}, '"') OR startswith({p}, "'") THEN {LITERAL} ELSE {TRIVIA} END
+        WHEN startswith({p}, '/*') OR startswith({p}, '//') THEN {TRIVIA}
+        WHEN startswith({p}, '"') OR startswith({p}, "'") THEN {LITERAL}
+        WHEN startswith(ltrim({p}), '#') THEN {TRIVIA}
+        WHEN {matches(r"[A-Za-z0-9_][ \t]*$")} THEN CASE
+            WHEN {matches(r"^[ \t]*[A-Za-z_]\w*[ \t]*$")} THEN {BARE}
+            WHEN {matches(r"(?:\.|->)[ \t]*[A-Za-z_]\w*[ \t]*$")} THEN {MEMBER}
+            WHEN {matches(r"(?<!\w)[A-Za-z_]\w*[ \t]*$")} THEN {IDENT} ELSE {TEXT} END
+        WHEN {matches(r"^[ \t\r\f\x0B]*$")} THEN {TRIVIA}
+        WHEN {matches(r"(?:\.|->)[ \t]*$")} THEN {ARROW}
+        ELSE {TEXT} END"""
+
+
+def _joined(first: str, size: str) -> str:
+    return f"array_join(slice(pieces, {first}, {size}), '')"
+
+
+def _head(u: str) -> str:
+    return _joined(f"{u}.first", f"{u}.brace - {u}.first")
+
+
+def _unit(u: str) -> str:
+    """Unit record with its texts; a function has head and body, others one text."""
+    fn = f"{u}.is_function"
+    callee = each(f"{u}.calls", lambda c: struct(
+        line=f"{c}.line",
+        name=rf"regexp_extract(get(pieces, {c}.piece - 1), {quoted(r'([A-Za-z_]\w*)[ \t]*$')}, 1)",
+        shared=f"{c}.shared"))
+    return struct(
+        unit=f"{u}.unit", is_function=fn, start_line=f"{u}.start_line", end_line=f"{u}.end_line",
+        text=f"CASE WHEN {fn} THEN {_head(u)} ELSE {_joined(f'{u}.first', f'{u}.size')} END",
+        body=f"CASE WHEN {fn} THEN {_joined(f'{u}.brace', f'{u}.first + {u}.size - {u}.brace')} END",
+        snippet=f"array_join(slice(lines, {u}.start_line, {u}.end_line - {u}.start_line + 1), '')",
+        # head of the earlier function that holds the first line of this one
+        cover_text=f"CASE WHEN {fn} AND {u}.cover <> {u}.unit THEN {_head(f'get(fold.units, {u}.cover)')} END",
+        # words like "if" before "(" are no calls
+        calls=those(callee, lambda c: f"{c}.name NOT IN ({word_list(lexis.NOT_CALLED)})"))
 
 
 def parsed_files(files: DataFrame) -> DataFrame:
@@ -51,55 +76,21 @@ def parsed_files(files: DataFrame) -> DataFrame:
     ``units`` is an array of unit records, ``final_depth`` is not 0 when the
     braces of the file do not balance.
     """
-    pieced = files.select(
-        "path",
-        F.split("content", r"(?<=\n)").alias("lines"),
-        F.regexp_extract_all("content", F.lit(lexis.PIECE), F.lit(0)).alias("pieces"),
-    )
+    pieced = files.selectExpr(
+        "path", rf"split(content, {quoted(r'(?<=\n)')}) AS lines",
+        f"regexp_extract_all(content, {quoted(lexis.PIECE)}, 0) AS pieces")
     folded = pieced.select(
-        "path", "lines", "pieces", unit_spans(F.transform("pieces", _piece_code)).alias("fold"))
-
-    def head(u: Column) -> Column:
-        return _joined(F.col("pieces"), u["first"], u["brace"] - u["first"])
-
-    def unit(u: Column) -> Column:
-        fn = u["is_function"]
-        snippet = F.array_join(F.slice(
-            "lines", u["start_line"], u["end_line"] - u["start_line"] + 1), "")
-        covering = F.get(F.col("fold")["units"], u["cover"])
-        return F.struct(
-            u["unit"].alias("unit"), fn.alias("is_function"),
-            u["start_line"].alias("start_line"), u["end_line"].alias("end_line"),
-            # head of a function, whole text of a declaration
-            F.when(fn, head(u)).otherwise(_joined(F.col("pieces"), u["first"], u["size"])).alias("text"),
-            F.when(fn, _joined(F.col("pieces"), u["brace"], u["first"] + u["size"] - u["brace"]))
-             .alias("body"),
-            snippet.alias("snippet"),
-            F.when(fn & (u["cover"] != u["unit"]), head(covering)).alias("cover_text"),
-            F.transform(u["calls"], lambda c: F.struct(
-                c["line"].alias("line"),
-                F.regexp_extract(F.get(F.col("pieces"), c["piece"] - 1),
-                                 r"([A-Za-z_]\w*)[ \t]*$", 1).alias("name"),
-                c["shared"].alias("shared"))).alias("calls"),
-        )
-
-    return folded.select(
-        "path", F.transform(F.col("fold")["units"], unit).alias("units"),
-        F.col("fold")["depth"].alias("final_depth"),
-        F.size(F.col("fold")["units"]).alias("n_units"))
+        "path", "lines", "pieces", unit_spans(F.expr(each("pieces", _piece_code))).alias("fold"))
+    return folded.selectExpr(
+        "path", f"{each('fold.units', _unit)} AS units", "fold.depth AS final_depth",
+        "size(fold.units) AS n_units")
 
 
 def units(files: DataFrame) -> DataFrame:
     """One row per top-level unit of every file (see :func:`parsed_files`).
 
     Columns: path, n_units, unit, is_function, start_line, end_line, text, body,
-    snippet, cover_text, calls.  Calls of words that are no call (``if (`` and
-    the like) are already dropped.
+    snippet, cover_text, calls.
     """
-    keyword = F.array(*[F.lit(w) for w in lexis.NOT_CALLED])
-    exploded = parsed_files(files).select(
-        "path", "n_units", F.explode_outer("units").alias("u")).where("u is not null")
-    return exploded.select(
-        "path", "n_units", "u.unit", "u.is_function", "u.start_line", "u.end_line",
-        "u.text", "u.body", "u.snippet", "u.cover_text",
-        F.filter("u.calls", lambda c: ~F.array_contains(keyword, c["name"])).alias("calls"))
+    exploded = parsed_files(files).selectExpr("path", "n_units", "explode_outer(units) AS u")
+    return exploded.where("u IS NOT NULL").select("path", "n_units", "u.*")
