@@ -9,9 +9,11 @@ tables grow; repeated calls of one callee are aggregated before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.arrays import quoted
+
 ORDERS_PER_BLOCK = 50_000
 PARTS_PER_FILE = 1_000
 
@@ -37,26 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _folder() -> Column:
-    return F.concat(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"), F.lower("p_type"))
-
-
-def _return_text() -> Column:
-    k = F.col("p_partkey") % 4
-    return (F.when(k == 0, "int ").when(k == 1, "static void ").when(k == 2, "char *")
-            .otherwise("unsigned long "))
-
-
 def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey") % 100)
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", "p_size", _folder().alias("folder"), name.alias("name"),
-        _return_text().alias("ret"))
-
-
-def _called_name() -> Column:
-    k = F.col("p_partkey") % 10
-    return F.concat(F.when(k == 5, "ext_").when(k == 7, "lib_").otherwise(""), F.col("name"))
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_size", "concat(lower(replace(p_brand, '#', '')), '/', lower(p_type)) AS folder",
+        "concat(replace(p_name, ' ', '_'), '_', p_partkey % 100) AS name",
+        "CASE p_partkey % 4 WHEN 0 THEN 'int ' WHEN 1 THEN 'static void ' WHEN 2 THEN 'char *' "
+        "ELSE 'unsigned long ' END AS ret")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,68 +53,48 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_parts = table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
     sites = (
         table(spark, sf_dir, "lineitem")
-        .select("l_partkey", "l_suppkey",
-                F.floor(F.col("l_orderkey") / ORDERS_PER_BLOCK).alias("block"))
+        .selectExpr("l_partkey", "l_suppkey", f"l_orderkey div {ORDERS_PER_BLOCK} AS block")
         .groupBy("l_partkey", "block", "l_suppkey").agg(F.count("*").alias("sites"))
         .join(F.broadcast(n_parts))  # one row, one number
-        .select("l_partkey", "block", "sites",
-                ((F.col("l_partkey") + F.col("l_suppkey")) % F.col("n_parts")).alias("callee_part"))
+        .selectExpr("l_partkey", "block", "sites", "(l_partkey + l_suppkey) % n_parts AS callee_part")
         .groupBy("l_partkey", "block", "callee_part").agg(F.sum("sites").alias("sites"))
     )
-    callee = part.select(F.col("p_partkey").alias("callee_part"), _called_name().alias("callee"))
+    callee = part.selectExpr(
+        "p_partkey AS callee_part",
+        "concat(CASE p_partkey % 10 WHEN 5 THEN 'ext_' WHEN 7 THEN 'lib_' ELSE '' END, name) AS callee")
     bodies = (
         sites.join(callee, "callee_part")
-        .select("l_partkey", "block", F.struct(
-            "callee_part",
-            F.repeat(F.concat(F.lit("    "), "callee", F.lit("(1);\n")),
-                     F.least(F.col("sites"), F.lit(2)).cast("int")).alias("text")).alias("call"))
-        .groupBy("l_partkey", "block")
-        .agg(F.array_join(F.array_sort(F.collect_list("call"))["text"], "").alias("calls"))
-    )
-    params = (F.when(F.col("p_size") % 3 == 0, "void").when(F.col("p_size") % 3 == 1, "int a")
-              .otherwise("int a, char *b"))
-    functions = (
-        part.join(bodies, F.col("p_partkey") == F.col("l_partkey"), "left")
-        .select(
-            F.concat(F.lit("src/"), "folder", F.lit("/u"),
-                     F.floor(F.col("p_partkey") / PARTS_PER_FILE), F.lit("_b"),
-                     F.coalesce("block", F.lit(0)), F.lit(".c")).alias("path"),
-            F.struct("p_partkey", F.concat(
-                "ret", "name", F.lit("("), params, F.lit(")\n" + BODY_TOP),
-                F.coalesce("calls", F.lit("")), F.lit(BODY_END + "\n")).alias("text")).alias("item"))
+        .selectExpr("l_partkey", "block", "struct(callee_part, repeat(concat('    ', callee, '(1);\\n'), "
+                    "CAST(least(sites, 2) AS int)) AS text) AS call")
+        .groupBy("l_partkey", "block").agg(F.expr("array_join(array_sort(collect_list(call)).text, '')").alias("calls"))
     )
+    functions = part.join(bodies, F.expr("p_partkey = l_partkey"), "left").selectExpr(
+        f"concat('src/', folder, '/u', p_partkey div {PARTS_PER_FILE}, '_b', coalesce(block, 0), '.c') AS path",
+        "struct(p_partkey, concat(ret, name, '(', CASE p_size % 3 WHEN 0 THEN 'void' WHEN 1 THEN 'int a' "
+        f"ELSE 'int a, char *b' END, ')\\n', {quoted(BODY_TOP)}, coalesce(calls, ''), {quoted(BODY_END)}, '\\n') "
+        "AS text) AS item")
     return _rendered(functions, PROLOGUE)
 
 
 def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``.h`` files: path, content; one item per part."""
-    part = _part(spark, sf_dir)
-    kind = F.col("p_partkey") % 5
-    params = (F.when(F.col("p_size") % 4 == 0, "void").when(F.col("p_size") % 4 == 1, "int a")
-              .when(F.col("p_size") % 4 == 2, "int a, char *b")
-              .otherwise("int a, int (*cb)(int x, char y)"))
-    declared = F.concat(F.when(F.col("p_partkey") % 10 == 5, "ext_").otherwise(""), F.col("name"))
-    item = (
-        F.when(kind == 0, F.concat("ret", declared, F.lit("("), params, F.lit(");\n")))
-        .when(kind == 1, F.concat(
-            F.lit("struct s_"), "name",
-            F.lit(" {\n    int id;\n    char *tag[16];\n    struct s_other *next;\n};\n")))
-        .when(kind == 2, F.concat(F.lit("typedef unsigned int t_"), "name", F.lit(";\n")))
-        .when(kind == 3, F.concat(F.lit("extern unsigned int g_"), "name", F.lit(", *h_"),
-                                  "name", F.lit("[4];\n")))
-        .otherwise(F.concat(F.lit("typedef struct {\n    long x, y;\n} a_"), "name", F.lit(";\n")))
-    )
-    items = part.select(
-        F.concat(F.lit("include/"), "folder", F.lit("/h"),
-                 F.floor(F.col("p_partkey") / PARTS_PER_FILE), F.lit(".h")).alias("path"),
-        F.struct("p_partkey", item.alias("text")).alias("item"))
+    items = _part(spark, sf_dir).selectExpr(
+        f"concat('include/', folder, '/h', p_partkey div {PARTS_PER_FILE}, '.h') AS path",
+        """struct(p_partkey, CASE p_partkey % 5
+             WHEN 0 THEN concat(ret, CASE WHEN p_partkey % 10 = 5 THEN 'ext_' ELSE '' END, name, '(',
+               CASE p_size % 4 WHEN 0 THEN 'void' WHEN 1 THEN 'int a' WHEN 2 THEN 'int a, char *b'
+                    ELSE 'int a, int (*cb)(int x, char y)' END, ');\\n')
+             WHEN 1 THEN concat('struct s_', name,
+               ' {\\n    int id;\\n    char *tag[16];\\n    struct s_other *next;\\n};\\n')
+             WHEN 2 THEN concat('typedef unsigned int t_', name, ';\\n')
+             WHEN 3 THEN concat('extern unsigned int g_', name, ', *h_', name, '[4];\\n')
+             ELSE concat('typedef struct {\\n    long x, y;\\n} a_', name, ';\\n') END AS text) AS item""")
     return _rendered(items, HEADER_PROLOGUE)
 
 
 def _rendered(items: DataFrame, prologue: str) -> DataFrame:
-    return items.groupBy("path").agg(F.concat(
-        F.lit(prologue),
-        F.array_join(F.array_sort(F.collect_list("item"))["text"], "")).alias("content"))
+    return items.groupBy("path").agg(F.expr(
+        f"concat({quoted(prologue)}, array_join(array_sort(collect_list(item)).text, ''))").alias("content"))
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:

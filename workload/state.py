@@ -168,12 +168,7 @@ sections AS (
                chr(10) ORDER BY k) FILTER (symbol_type = 'typedef') AS typedefs,
     string_agg('- ' || code_snippet || ' ' || symbol_name, chr(10) ORDER BY k, symbol_name)
                FILTER (symbol_type = 'global') AS globals
-  FROM (SELECT s.*, coalesce(i.unit, 0) AS k FROM symbols s LEFT JOIN item i
-        ON i.path = s.path AND i.p_partkey % 5 <> 0 AND contains(i.text, s.symbol_name)
-        AND regexp_matches(i.text, '(^|[^a-z0-9_])' || s.symbol_name || '($|[^a-z0-9_])')
-        AND (i.p_partkey % 5 IN (1, 4)) >= (s.symbol_type = 'struct')
-        AND (i.p_partkey % 5 IN (2, 4)) >= (s.symbol_type = 'typedef')
-        AND (i.p_partkey % 5 = 3) >= (s.symbol_type = 'global'))
+  FROM symbols
   GROUP BY path),
 prompts AS (
   SELECT f.path, f.content, 'This is a C ' || CASE WHEN f.path LIKE '%.h' THEN 'header file' ELSE 'source file' END

@@ -107,31 +107,31 @@ def extract_prototypes(spark, d):
 
 _SQL_STRUCTS = """
 structs AS (
-  SELECT path, 'node' AS name, 'struct node { int id; char name[16]; }' AS code, 'int id|char name' AS fields
+  SELECT path, 'node' AS name, 'struct node { int id; char name[16]; }' AS code, 'int id|char name' AS fields, 0 AS k
   FROM corpus
   UNION ALL
   SELECT path, CASE p_partkey % 5 WHEN 1 THEN 's_' ELSE 'a_' END || name,
          CASE p_partkey % 5 WHEN 1 THEN left(text, length(text) - 1)
               ELSE 'struct {' || chr(10) || '    long x, y;' || chr(10) || '}' END,
-         CASE p_partkey % 5 WHEN 1 THEN 'int id|char tag|struct s_other next' ELSE 'long x|long y' END
+         CASE p_partkey % 5 WHEN 1 THEN 'int id|char tag|struct s_other next' ELSE 'long x|long y' END, unit
   FROM item WHERE p_partkey % 5 IN (1, 4))"""
 _SQL_TYPEDEFS = """
 typedefs AS (
   SELECT path, CASE p_partkey % 5 WHEN 2 THEN 't_' ELSE 'a_' END || name AS alias,
-         CASE p_partkey % 5 WHEN 2 THEN 'unsigned int' ELSE '<complex type>' END AS original, text AS code
+         CASE p_partkey % 5 WHEN 2 THEN 'unsigned int' ELSE '<complex type>' END AS original, text AS code, unit AS k
   FROM item WHERE p_partkey % 5 IN (2, 4))"""
 _SQL_GLOBALS = """
 globals AS (
-  SELECT path, 'g_count' AS name, 'static int' AS type FROM corpus
+  SELECT path, 'g_count' AS name, 'static int' AS type, 1 AS k FROM corpus
   UNION ALL
-  SELECT path, v.prefix || item.name, 'extern unsigned int' FROM item CROSS JOIN (VALUES ('g_'), ('h_')) v(prefix)
-  WHERE p_partkey % 5 = 3)"""
+  SELECT path, v.prefix || item.name, 'extern unsigned int', unit
+  FROM item CROSS JOIN (VALUES ('g_'), ('h_')) v(prefix) WHERE p_partkey % 5 = 3)"""
 _SQL_SYMBOLS = _SQL_STRUCTS + "," + _SQL_TYPEDEFS + "," + _SQL_GLOBALS + """,
 symbols AS (
   SELECT md5(path) AS file_key, path, 'struct' AS symbol_type, name AS symbol_name, code AS code_snippet,
-         fields, NULL AS original FROM structs
-  UNION ALL SELECT md5(path), path, 'typedef', alias, code, NULL, original FROM typedefs
-  UNION ALL SELECT md5(path), path, 'global', name, type, NULL, NULL FROM globals)"""
+         fields, NULL AS original, k FROM structs
+  UNION ALL SELECT md5(path), path, 'typedef', alias, code, NULL, original, k FROM typedefs
+  UNION ALL SELECT md5(path), path, 'global', name, type, NULL, NULL, k FROM globals)"""
 
 
 @query("extract_structs", f"""WITH {fx.SQL_SOURCES}, {_SQL_STRUCTS} SELECT path, name, code FROM structs""")
@@ -162,7 +162,7 @@ def extract_calls(spark, d):
     return extract.calls(extract.units(fx.corpus(spark, d)))
 
 
-@query("file_symbols", f"""WITH {fx.SQL_SOURCES}, {_SQL_SYMBOLS} SELECT * FROM symbols""")
+@query("file_symbols", f"""WITH {fx.SQL_SOURCES}, {_SQL_SYMBOLS} SELECT * EXCLUDE (k) FROM symbols""")
 def file_symbols(spark, d):
     u = settled(_units(spark, d))
     return extract.file_symbols(u).drop("ordinal", "pos")
