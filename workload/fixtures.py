@@ -50,14 +50,12 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``.c`` files: path, content."""
     part = _part(spark, sf_dir)
-    n_parts = table(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
+    n_parts = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
     sites = (
         table(spark, sf_dir, "lineitem")
-        .selectExpr("l_partkey", "l_suppkey", f"l_orderkey div {ORDERS_PER_BLOCK} AS block")
-        .groupBy("l_partkey", "block", "l_suppkey").agg(F.count("*").alias("sites"))
-        .join(F.broadcast(n_parts))  # one row, one number
-        .selectExpr("l_partkey", "block", "sites", "(l_partkey + l_suppkey) % n_parts AS callee_part")
-        .groupBy("l_partkey", "block", "callee_part").agg(F.sum("sites").alias("sites"))
+        .select("l_partkey", F.expr(f"l_orderkey div {ORDERS_PER_BLOCK}").alias("block"),
+                ((F.col("l_partkey") + F.col("l_suppkey")) % n_parts).alias("callee_part"))
+        .groupBy("l_partkey", "block", "callee_part").agg(F.count("*").alias("sites"))
     )
     callee = part.selectExpr(
         "p_partkey AS callee_part",
