@@ -20,8 +20,10 @@ PIECE = "|".join([
 
 # Fine tokens of one declaration or function head.  Group 1 is the token, the
 # whole match also holds the blanks, comments and directives before it.
-TRIVIA = rf"(?:{BLOCK_COMMENT}|{LINE_COMMENT}|{DIRECTIVE}|\s)*+"
-TOKEN = rf"{TRIVIA}({STRING}|{CHAR}|[A-Za-z_]\w*+|\d[\w.]*+|\.\.\.|->|[^\s])"
+# (In such text "#" outside of literals only starts a directive.)
+TRIVIA = (rf"(?:\s++|{BLOCK_COMMENT}|{LINE_COMMENT}|"
+          + DIRECTIVE.removeprefix(r"(?m:^)[ \t]*+") + ")*+")
+TOKEN = rf"{TRIVIA}([A-Za-z_]\w*+|\d[\w.]*+|{STRING}|{CHAR}|\.\.\.|->|[^\s])"
 TRIVIA_AT_START = rf"^{TRIVIA}"
 
 WORD = r"^[A-Za-z_]"

@@ -1,9 +1,9 @@
 """Records of C source files: functions, prototypes, structs, typedefs, globals, calls.
 
 All steps are per unit (see :mod:`lodestone.operators.segment`), hence map-only.
-Tokens of a unit are an array of ``struct<i, t, d, raw>``: position, text,
-bracket depth before the token, and the text with the blanks and comments in
-front of it.
+Tokens of a unit are an array ``z`` of ``struct<i, t, d>``: position, text and
+bracket depth before the token.  ``z_raw`` holds for each position the text with
+the blanks and comments in front of it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from lodestone.functions.arrays import (
     each, first_index, last_index, let, picked, quoted, split_where, struct, those, word_list,
 )
 from lodestone.functions.segments import running_total
-from lodestone.operators.segment import parsed_files, units
+from lodestone.operators import segment
+from lodestone.operators.segment import parsed_files
 
 ANONYMOUS, COMPLEX, UNKNOWN_TYPE = "<anonymous>", "<complex type>", "<unknown_type>"
 
@@ -26,25 +27,35 @@ _TAGS = word_list(lexis.TAG_WORDS)
 
 # -- tokens ------------------------------------------------------------------
 
-def with_tokens(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Adds the tokens of the SQL expression ``text`` as the column ``name``."""
+def with_tokens(df: DataFrame, **texts: str) -> DataFrame:
+    """Adds the tokens of each SQL expression as the columns ``name`` and ``name``_raw.
+    The latter is apart, so that it is only made where it is read."""
     pattern = quoted(lexis.TOKEN)
-    df = df.withColumns({
-        "_tok": F.expr(f"regexp_extract_all({text}, {pattern}, 1)"),
-        "_raw": F.expr(f"regexp_extract_all({text}, {pattern}, 0)")})
-    step = each("_tok", lambda t: f"CASE WHEN {t} IN ('(', '[', '{{') THEN 1 "
-                                  f"WHEN {t} IN (')', ']', '}}') THEN -1 ELSE 0 END")
-    df = df.withColumn("_depth", running_total(F.expr(step)))
-    zipped = each("_tok", lambda t, i: struct(i=i, t=t, d=f"get(_depth, {i})", raw=f"get(_raw, {i})"))
-    return df.withColumn(name, F.expr(zipped)).drop("_tok", "_raw", "_depth")
+    kept = df.columns
+    df = df.withColumns({f"{n}_tok": F.expr(f"regexp_extract_all({t}, {pattern}, 1)") for n, t in texts.items()})
+    df = df.withColumns({f"{n}_raw": F.expr(f"regexp_extract_all({t}, {pattern}, 0)") for n, t in texts.items()})
 
+    def step(n: str) -> str:
+        return each(f"{n}_tok", lambda t: f"CASE WHEN {t} IN ('(', '[', '{{') THEN 1 "
+                                          f"WHEN {t} IN (')', ']', '}}') THEN -1 ELSE 0 END")
 
-def _source_text(tokens: str) -> str:
+    # one pass through Python for all of them
+    df = df.withColumns({f"{n}_depth": running_total(F.expr(step(n))) for n in texts})
+    zipped = [F.expr(each(f"{n}_tok", lambda t, i: struct(i=i, t=t, d=f"get({n}_depth, {i})"))).alias(n) for n in texts]
+    return df.select(*kept, *[f"{n}_raw" for n in texts], *zipped)
+
+
+def _source_text(tokens: str, raw: str = "z_raw") -> str:
     """Text of the tokens without what stands in front of the first one."""
-    rest = each(f"slice({tokens}, 2, greatest(size({tokens}), 1))", lambda x: f"{x}.raw")
+    rest = each(f"slice({tokens}, 2, greatest(size({tokens}), 1))", lambda x: f"get({raw}, {x}.i)")
     return f"concat(get({tokens}, 0).t, array_join({rest}, ''))"
 
 
+def _token(z: str, i: str) -> str:
+    """Text of the token at a position, empty outside of the tokens."""
+    return f"coalesce(get({z}, {i}).t, '')"
+
+
 def _is_word(x: str) -> str:
     return f"({x}.t RLIKE {quoted(lexis.WORD)} AND {x}.t NOT IN ({_ATTRIBUTES}))"
 
@@ -53,11 +64,6 @@ def _is_name(x: str) -> str:
     return f"({_is_word(x)} AND {x}.t NOT IN ({_TAGS}))"
 
 
-def _token(z: str, i: str) -> str:
-    """Text of the token at a position, empty outside of the tokens."""
-    return f"coalesce(get({z}, {i}).t, '')"
-
-
 # -- declarators -------------------------------------------------------------
 
 def _declarator(z: str, base: str) -> str:
@@ -146,18 +152,31 @@ def _parameters(z: str) -> str:
     return f"array_sort({each(found, lambda p: struct(i=f'get({p}, 0).i', text=_source_text(p)))}).text"
 
 
-def _signature(d: str, z: str) -> str:
-    return struct(name=f"{d}.name", return_type=f"coalesce(nullif({d}.type, ''), 'int')",
-                  parameters=_parameters(z))
-
-
 # -- tables ------------------------------------------------------------------
 
 def function_key(path: str, name: str, start: str, end: str, proto: str) -> str:
     return f"md5(concat_ws('|', {path}, {name}, {start}, {end}, {proto}))"
 
 
-_SPAN = ["path", "unit", "n_units", "start_line", "end_line", "snippet", "cover_text", "calls"]
+_SPAN = ["path", "unit", "n_units", "start_line", "end_line", "snippet"]
+_RAW_UNIT = ["path", "n_units", "unit", "is_function", "start_line", "end_line", "text", "body", "snippet", "calls"]
+
+
+def units(files: DataFrame) -> DataFrame:
+    """The parsed table: one row per top-level unit of each ``(path, content)`` row.
+
+    Adds to :func:`lodestone.operators.segment.units` what the head of a function
+    declares (name, return_type, parameters) and ``cover_name``, the earlier
+    function that holds its first line.  Columns that are not read are not made.
+    """
+    raw = segment.units(files)
+    heads = with_tokens(raw, z="CASE WHEN is_function THEN text END", zc="cover_text")
+    heads = heads.withColumn("d", F.expr(_declarator("z", "0")))
+    return heads.selectExpr(
+        *_RAW_UNIT, "CASE WHEN is_function THEN d.name END AS name",
+        "CASE WHEN is_function THEN coalesce(nullif(d.type, ''), 'int') END AS return_type",
+        f"CASE WHEN is_function THEN {_parameters('z')} END AS parameters",
+        f"{first_name('zc')} AS cover_name")
 
 
 def each_entry(df: DataFrame, items: str, name: str, *keep: str) -> DataFrame:
@@ -167,11 +186,10 @@ def each_entry(df: DataFrame, items: str, name: str, *keep: str) -> DataFrame:
 
 
 def definitions(u: DataFrame) -> DataFrame:
-    """Function definitions with their calls."""
-    fns = with_tokens(u.where("is_function").select(*_SPAN, "text"), "text", "z")
-    fns = fns.withColumn("d", F.expr(_declarator("z", "0")))
-    found = those(f"array({_signature('d', 'z')})", lambda s: f"{s}.name IS NOT NULL")
-    return each_entry(fns, found, "sig", *_SPAN).selectExpr(*_SPAN, "unit AS ordinal", "sig.*")
+    """Function definitions."""
+    fns = each_entry(u.where("is_function"), those("array(name)", lambda n: f"{n} IS NOT NULL"), "declared",
+                     *_SPAN, "return_type", "parameters")
+    return fns.selectExpr(*_SPAN, "unit AS ordinal", "declared AS name", "return_type", "parameters")
 
 
 def _declarations(u: DataFrame) -> DataFrame:
@@ -183,11 +201,13 @@ def _declarations(u: DataFrame) -> DataFrame:
 def prototypes(u: DataFrame) -> DataFrame:
     """Function declarations of header files (E5)."""
     decl = _declarations(u).where("endswith(path, '.h')")
-    decl = with_tokens(decl.select(*_SPAN, "text"), "text", "z")
+    decl = with_tokens(decl.select(*_SPAN, "text"), z="text")
     # a bare NAME(...); is a macro use, unless it follows another part
     found = those(_declared("z", "0"), lambda d: f"{d}.is_function AND ({d}.at > 0 OR get({d}.tokens, 0).i > 0)")
-    rows = each_entry(decl, each(found, lambda d: _signature(d, f"{d}.tokens")), "sig", *_SPAN)
-    return rows.selectExpr(*_SPAN, "n_units + unit AS ordinal", "sig.*")
+    rows = each_entry(decl, found, "d", *_SPAN, "z_raw")
+    return rows.selectExpr(*_SPAN, "n_units + unit AS ordinal", "d.name AS name",
+                           "coalesce(nullif(d.type, ''), 'int') AS return_type",
+                           f"{_parameters('d.tokens')} AS parameters")
 
 
 def functions(u: DataFrame) -> DataFrame:
@@ -204,7 +224,7 @@ def functions(u: DataFrame) -> DataFrame:
 def _whole_units(u: DataFrame, pattern: str) -> DataFrame:
     """Units whose whole text (with the body) matches, tokenised as ``z``."""
     picked_ = u.selectExpr("path", "unit", "concat(text, coalesce(body, '')) AS whole")
-    return with_tokens(picked_.where(f"whole RLIKE {quoted(pattern)}"), "whole", "z")
+    return with_tokens(picked_.where(f"whole RLIKE {quoted(pattern)}"), z="whole")
 
 
 def structs(u: DataFrame) -> DataFrame:
@@ -227,7 +247,7 @@ def structs(u: DataFrame) -> DataFrame:
 
     starts = picked("z", lambda x, i: f"{x}.t = 'struct'", lambda x, i: struct(i=i, d=f"{x}.d", k=stop(x, i)))
     bodies = each(those(starts, lambda s: f"{_token('z', f'{s}.k')} = '{{'"), texts)
-    rows = each_entry(df, bodies, "s", "path", "unit")
+    rows = each_entry(df, bodies, "s", "path", "unit", "z_raw")
 
     tags = those("s.before", lambda x: f"{x}.d = s.d AND {_is_word(x)}")
     alias = f"get({_declared('s.after', 's.d')}, 0).name"
@@ -250,9 +270,9 @@ def typedefs(u: DataFrame) -> DataFrame:
         return struct(i=i, d=f"{x}.d", all=f"slice(z, {i} + 1, {end} - {i} + 1)")
 
     found = those(picked("z", lambda x, i: f"{x}.t = 'typedef'", statement), lambda s: f"size({s}.all) > 2")
-    rows = each_entry(df, found, "s", "path", "unit")
+    rows = each_entry(df, found, "s", "path", "unit", "z_raw")
     first = f"get({_declared('slice(s.all, 2, size(s.all) - 2)', 's.d')}, 0)"
-    rows = each_entry(rows, those(f"array({first})", lambda d: f"{d}.name IS NOT NULL"), "d", "path", "unit", "s")
+    rows = each_entry(rows, those(f"array({first})", lambda d: f"{d}.name IS NOT NULL"), "d", "path", "unit", "s", "z_raw")
     return rows.selectExpr(
         "path", "unit AS ordinal", "s.i AS pos", "d.name AS alias",
         f"CASE WHEN exists(s.all, x -> x.t = '{{') OR d.type = '' THEN {quoted(COMPLEX)} ELSE d.type END AS original",
@@ -261,7 +281,7 @@ def typedefs(u: DataFrame) -> DataFrame:
 
 def globals_(u: DataFrame) -> DataFrame:
     """Variables declared at file scope: name and type words."""
-    decl = with_tokens(_declarations(u).select("path", "unit", "text"), "text", "z")
+    decl = with_tokens(_declarations(u).select("path", "unit", "text"), z="text")
     statement = those("z", lambda x: f"{x}.t <> ';' OR {x}.d > 0")
     decl = decl.selectExpr("path", "unit", f"posexplode_outer({_declared(statement, '0')}) AS (pos, d)")
     # a lone word is a macro use, not a variable

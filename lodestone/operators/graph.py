@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import struct, those
-from lodestone.operators.extract import each_entry, first_name, function_key, with_tokens
+from lodestone.operators.extract import each_entry, function_key
 from lodestone.operators.skew import paged_lists, salted_join
 
 # Callers listed in one row of the code map; more go on to further pages.
@@ -30,16 +30,12 @@ def call_sites(u: DataFrame) -> DataFrame:
     first function of its file with the same name.  Both only concern rows of
     one file.  Columns: path, caller, caller_key, caller_name, line, callee.
     """
-    heads = u.where("is_function").select(
-        "path", "unit", "start_line", "end_line", "text", "cover_text", "calls")
-    # Functions that share a line: the calls there go to the first of them.
-    fns = with_tokens(with_tokens(heads, "text", "z"), "cover_text", "zc")
-    fns = fns.select("*", F.expr(first_name("z")).alias("name"), F.expr(first_name("zc")).alias("cover"))
     key = function_key("path", "name", "start_line", "end_line", "false")
-    me = struct(ordinal="unit", key=key)
-    own = struct(caller="name", me=me, calls=those("calls", lambda c: f"NOT {c}.shared"))
-    other = struct(caller="cover", me="CAST(NULL AS struct<ordinal:int,key:string>)",
+    own = struct(caller="name", me=struct(ordinal="unit", key=key), calls=those("calls", lambda c: f"NOT {c}.shared"))
+    # Functions that share a line: the calls there go to the first of them.
+    other = struct(caller="cover_name", me="CAST(NULL AS struct<ordinal:int,key:string>)",
                    calls=those("calls", lambda c: f"{c}.shared"))
+    fns = u.where("is_function")
     rows = each_entry(fns, those(f"array({own}, {other})", lambda r: f"{r}.caller IS NOT NULL"), "r", "path")
     rows = rows.selectExpr("path", "r.caller AS caller", "r.me AS me", "r.calls AS calls")
     # min over the struct: the lowest position wins

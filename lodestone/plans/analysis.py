@@ -23,7 +23,7 @@ def edges_of(sites: DataFrame, names: DataFrame) -> DataFrame:
 def structure(files: DataFrame, keep: Callable[[DataFrame], DataFrame] = settled) -> dict[str, DataFrame]:
     """All structure tables of a corpus, derived from one parsed table that ``keep`` stores."""
     u = keep(extract.units(files))
-    fns = extract.functions(u)
+    fns = keep(extract.functions(u))
     sites = graph.call_sites(u)
     return {"file_symbols": extract.file_symbols(u), "functions": fns, "call_sites": sites,
             "function_calls": edges_of(sites, graph.directory(fns))}

@@ -25,8 +25,9 @@ def _graph(spark, d):
 
 
 def _edges(spark, d):
+    """Functions and the stored edge table."""
     fns, resolved = _graph(spark, d)
-    return fns, graph.call_edges(resolved)
+    return fns, settled(graph.call_edges(resolved))
 
 
 # -- scan ---------------------------------------------------------------------
@@ -231,7 +232,7 @@ def unresolved_calls(spark, d):
 
 @query("call_edges", f"""WITH {fx.SQL_SOURCES} SELECT caller_key, callee_key, caller_name, callee_name FROM edges""")
 def call_edges(spark, d):
-    return _edges(spark, d)[1]
+    return graph.call_edges(_graph(spark, d)[1])
 
 
 @query("distinct_edges", f"""WITH {fx.SQL_SOURCES}
