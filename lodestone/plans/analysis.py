@@ -154,7 +154,7 @@ def refresh(store: Store, new_files: DataFrame, commit_sha: str, now: Column,
     return view(store, commit_sha)
 
 
-def pipeline_stats(files: DataFrame, functions: DataFrame, sites: DataFrame, edges: DataFrame,
+def stage_counts(files: DataFrame, functions: DataFrame, sites: DataFrame, edges: DataFrame,
                    commits: DataFrame, commit_sha: str) -> DataFrame:
     """Counts per stage (A8): stage, n."""
     def count(stage: str, rows: DataFrame) -> DataFrame:

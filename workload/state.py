@@ -100,7 +100,7 @@ def item_status(spark, d):
     return status.history(items, commits)
 
 
-@query("pipeline_stats", f"""WITH {fx.SQL_SOURCES}
+@query("stage_counts", f"""WITH {fx.SQL_SOURCES}
 SELECT 'files' AS stage, count(*) AS n FROM files
 UNION ALL SELECT 'definitions', count(*) FROM functions WHERE NOT is_prototype
 UNION ALL SELECT 'prototypes', count(*) FROM functions WHERE is_prototype
@@ -108,11 +108,11 @@ UNION ALL SELECT 'call_sites', count(*) FROM call_site
 UNION ALL SELECT 'edges', count(*) FROM edges
 UNION ALL SELECT 'unprocessed_files', count(*) FROM files
 UNION ALL SELECT 'unprocessed_functions', count(*) FROM functions WHERE NOT md5(snippet) < 'a'""")
-def pipeline_stats(spark, d):
+def stage_counts(spark, d):
     files = fx.sources(spark, d)
     t = analysis.structure(files)
     keyed = files.select(F.md5(F.col("path").cast("binary")).alias("file_key"))
-    return analysis.pipeline_stats(keyed, t["functions"], t["call_sites"], t["function_calls"],
+    return analysis.stage_counts(keyed, t["functions"], t["call_sites"], t["function_calls"],
                                    _function_status(t["functions"]), "c1")
 
 
