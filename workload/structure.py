@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import codemap, extract, graph, quality
+from lodestone.operators import codemap, extract, graph, quality, snapshots
 from lodestone.plans import analysis
 from lodestone.session import settled
 from lodestone.sources import corpus as scan
@@ -473,6 +473,5 @@ WHERE brand = 'brand7' OR (brand = 'brand8' AND NOT is_prototype)
 UNION ALL SELECT 'a_legacy/' || path, name, occurrence, 'deleted' FROM keyed WHERE brand = 'brand9'""")
 def changed_functions(spark, d):
     new = settled(fx.sources(spark, d))
-    from lodestone.operators import snapshots
     return snapshots.changed_functions(extract.functions(extract.units(fx.old_sources(new))),
                                        extract.functions(extract.units(new)))
