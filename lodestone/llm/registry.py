@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, mixing, simhash
+from lodestone.llm import decontaminate, exact_dedup, language, mixing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op10_language": language.op10_language,
 }
 
 ORACLES = {
