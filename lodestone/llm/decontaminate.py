@@ -103,8 +103,10 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity:
     first = F.least(last, F.greatest(F.lit(0), F.col("p") - (F.col("n") - shingle)))
     windows = settled(hits.select("key", "n", F.explode(F.sequence(first, last)).alias("start")).distinct())
 
-    # their fingerprints
-    matched = (read.withColumn("key", key_of(F.col("t"))).join(windows.select("key").distinct(), "key", "left_semi")
+    # their fingerprints; the texts are picked by a short key, so that the list stays small
+    short = F.xxhash64(F.col("key"))
+    picked = settled(windows.select(short.alias("short")).distinct())
+    matched = (read.withColumn("key", key_of(F.col("t"))).withColumn("short", short).join(picked, "short", "left_semi")
                .dropDuplicates(["key"]).select("key", _words(F.col("t")).alias("w")).select("key", _hashes("w", shingle).alias("all")))
     seen = (windows.join(matched, "key")
             .select("key", "n", "start", F.expr(f"slice(all, start + 1, n - {shingle - 1})").alias("hashes")))

@@ -285,11 +285,19 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = groups(docs, id_col, text_col, keep, normal, held_bytes)
     own = column(id_col).cast("bigint")
     members = docs.select(own.alias("_id"), F.sha2(text.cast("binary"), 256).alias("_sha"))
-    dropped = settled(members.join(found.select(F.col("sha").alias("_sha"), "owner"), "_sha")
-                      .where(~F.col("_id").eqNullSafe(F.col("owner"))).select("_id", "_sha").distinct())
-    rows = packed(docs, own.alias("_id"), F.sha2(text.cast("binary"), 256).alias("_sha"))
-    same = [F.col("r._sha") == F.col("d._sha"), F.col("r._id").eqNullSafe(F.col("d._id"))]
-    rest = rows.alias("r").join(dropped.alias("d"), same, "left_anti")
+    marked = members.join(found.select(F.col("sha").alias("_sha"), "owner", "owner_rows"), "_sha", "left").withColumn(
+        "_gone", F.col("owner_rows").isNotNull() & ~F.col("_id").eqNullSafe(F.col("owner")))
+    # identifiers of which every row goes are dropped by number alone; the texts need no shuffle
+    # while Spark finds that list small enough to send to all tasks
+    ids = settled(marked.groupBy("_id").agg(F.min("_gone").alias("_all"), F.max("_gone").alias("_some")).where("_some"))
+    plain = settled(ids.where("_all AND _id IS NOT NULL").select("_id"))
+    rest = packed(docs, own.alias("_id"), F.sha2(text.cast("binary"), 256).alias("_sha")).join(plain, "_id", "left_anti")
+    unclear = ids.where("NOT _all OR _id IS NULL").select("_id")
+    if not unclear.isEmpty():
+        pairs = marked.where("_gone").join(unclear.alias("x"), F.col("x._id").eqNullSafe(marked["_id"]), "left_semi")
+        pairs = settled(pairs.select("_id", "_sha").distinct())
+        same = [F.col("r._sha") == F.col("d._sha"), F.col("r._id").eqNullSafe(F.col("d._id"))]
+        rest = rest.alias("r").join(pairs.alias("d"), same, "left_anti")
     again = found.where("owner_rows > 1").select(F.col("sha").alias("_sha"))
     if again.isEmpty():
         return unpacked(rest)
