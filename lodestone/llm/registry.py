@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, exact_dedup, language, mixing, simhash
+from lodestone.llm import chat, decontaminate, exact_dedup, language, mixing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_chat_format": chat.op5_chat_format,
     "op8_mixing": mixing.op8_mixing,
     "op10_language": language.op10_language,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op5_chat_format": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
