@@ -7,10 +7,10 @@
    over the texts; its result is written.
 2. Equal paragraphs are one from here on (a row per distinct paragraph after a partial
    aggregation), so a line that a third of all documents hold costs one row per task.
-3. Bands are tuned for recall: as few as give ``RECALL`` at the wanted similarity.  In each
-   bucket the paragraphs meet the smallest of them, so no pairs within a bucket are made;
-   exact Jaccard similarity of the shingle sets verifies.  Those that are not similar to it
-   meet the smallest of the rest, and so on until a bucket is used up.
+3. Bands are tuned for recall: as few as give ``RECALL`` at the wanted similarity.  A bucket
+   is read in order; exact Jaccard similarity of the shingle sets links a paragraph with every
+   leader of the bucket that it is similar to, and one that is like none of them leads from
+   then on.  So near copies meet few leaders, not each other, and only leaders are held.
 4. Components of the links are the clusters.  A cluster is a repeat when several documents
    hold it; neighbouring repeated paragraphs of a document that have ``PASSAGE`` or more
    words together are repeated passages.
@@ -110,15 +110,28 @@ def _packed(places, hashes, ends, a, b, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
 
 
-def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        one, two = batch.column("one").to_pylist(), batch.column("two").to_pylist()
-        out = []
-        for x, y in zip(one, two):
-            x, y = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(out, pa.float64())], ["u", "v", "similarity"])
+def _linker(similarity: float):
+    """Rows sorted by bucket: each meets the bucket's leaders, and leads itself if like none of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, leaders = None, []
+        for batch in batches:
+            out = []
+            for b, key, h, sent in zip(*(batch.column(n).to_pylist() for n in ("b", "key", "h", "shingles"))):
+                if (b, key) != bucket:
+                    bucket, leaders = (b, key), []
+                own, alone = set(np.frombuffer(sent, dtype=np.uint32).tolist()), True
+                for leader, other in leaders:
+                    both = len(own & other)
+                    if both and both >= similarity * (len(own) + len(other) - both):
+                        out.append((h, leader))
+                        alone = False
+                if alone:
+                    leaders.append((h, own))
+            u, v = zip(*out) if out else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
 
 
 def found(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, recall: float = RECALL, least: int = LEAST,
@@ -139,23 +152,9 @@ def links(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # what is alone in all of its buckets goes no further
     left = settled(entries.join(shared, ["b", "key"]))
     needed = settled(left.select("h").distinct())
-    sets = settled(paragraphs.select("h", "shingles").join(needed, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles")))
-    out = []
-    while True:
-        leaders = left.groupBy("b", "key").agg(F.min("h").alias("v"))
-        pairs = left.join(leaders, ["b", "key"]).where("h <> v")
-        wanted = pairs.select(F.col("h").alias("u"), "v").distinct()
-        checked = settled(wanted.join(sets.select(F.col("h").alias("u"), F.col("shingles").alias("one")), "u")
-                          .join(sets.select(F.col("h").alias("v"), F.col("shingles").alias("two")), "v")
-                          .mapInArrow(_jaccard, "u long, v long, similarity double"))
-        out.append(checked.where(F.col("similarity") >= similarity).select("u", "v"))
-        unlike = checked.where(F.col("similarity") < similarity).select(F.col("u").alias("h"), "v")
-        if unlike.isEmpty():
-            break
-        left = settled(pairs.join(unlike, ["h", "v"], "left_semi").select("b", "key", "h"))
-    for more in out[1:]:
-        out[0] = out[0].union(more)
-    return out[0]
+    sets = paragraphs.select("h", "shingles").join(needed, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
+    return (left.join(sets, "h").repartition("b", "key").sortWithinPartitions("b", "key", "h")
+            .mapInArrow(_linker(similarity), "u long, v long").distinct())
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, passage: int = PASSAGE, id_col: str = "doc_id",
