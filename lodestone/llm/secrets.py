@@ -99,8 +99,9 @@ def _grow(x, y, rng, depth=0):
         return float(p)
     best = None
     for f in rng.choice(x.shape[1], size=max(1, int(math.sqrt(x.shape[1]))), replace=False):
-        cuts = np.unique(np.quantile(x[:, f], np.linspace(0, 1, SPLITS + 2)[1:-1]))
-        for cut in cuts:
+        values = np.unique(x[:, f])
+        between = (values[1:] + values[:-1]) / 2  # half-way, so that unseen values fall to the nearer side
+        for cut in between[np.unique(np.linspace(0, len(between) - 1, SPLITS).astype(int))] if len(between) else ():
             side = x[:, f] <= cut
             k = side.sum()
             if LEAF <= k <= len(y) - LEAF:
