@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -293,7 +294,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """One row per document: id, held_out, lang_pred, score."""
     rows = docs.select(column(id_col).alias(id_col), held_out(id_col).alias("held_out"), column(text_col).cast("string").alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_predictor(pickle.dumps(model)), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predictor(cloudpickle.dumps(model)), f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def in_languages(docs: DataFrame, model: Model | None, wanted: tuple[str, ...] | None = None, least: float = 0.4,
@@ -304,7 +305,7 @@ def in_languages(docs: DataFrame, model: Model | None, wanted: tuple[str, ...] |
     texts whose main language has less than the share ``least`` of their words.
     """
     rows = packed(docs, column(text_col).cast("string").alias("text"))
-    named = rows.mapInArrow(_predictor(pickle.dumps(model)), rows.select("_row").schema.add("lang_pred", "string").add("score", "double"))
+    named = rows.mapInArrow(_predictor(cloudpickle.dumps(model)), rows.select("_row").schema.add("lang_pred", "string").add("score", "double"))
     held = (F.col("lang_pred") != UND) & (F.col("score") >= least)
     if wanted is not None:
         held = held & F.col("lang_pred").isin(*wanted)

@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,7 +196,7 @@ def fit(findings: DataFrame, limit: int = FINDINGS) -> Model:
 def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
          path_col: str = "source") -> DataFrame:
     """One row per secret: id, start (character, from 0), length, probability."""
-    sent = pickle.dumps(model)
+    sent = cloudpickle.dumps(model)
 
     def run(batches):
         model = pickle.loads(sent)

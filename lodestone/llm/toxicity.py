@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,7 +222,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col:
     """One row per document: id, held_out, score, predicted."""
     rows = docs.select(column(id_col).alias(id_col), held_out(id_col).alias("held_out"), column(text_col).cast("string").alias("text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_scorer(pickle.dumps(model)), f"`{id_col}` {kind}, held_out boolean, score double").withColumn(
+    return rows.mapInArrow(_scorer(cloudpickle.dumps(model)), f"`{id_col}` {kind}, held_out boolean, score double").withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))
 
 
