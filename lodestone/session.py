@@ -44,12 +44,15 @@ def build_session(app: str = "lodestone", cores: str | int = "*", partitions: in
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a fresh
-    temporary folder chosen and recorded on the session.
+    Only when the session names none and runs in one process (tests) is a fresh
+    temporary folder chosen; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     current = getattr(shared_folder, "_fallback", None)
     if current is None or not os.path.isdir(current):
         current = tempfile.mkdtemp(prefix="lodestone-")
