@@ -63,7 +63,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = (
         sites.join(callee, "callee_part")
         .selectExpr("l_partkey", "block", "struct(callee_part, repeat(concat('    ', callee, '(1);\\n'), "
-                    "CAST(least(sites, 2) AS int)) AS text) AS call")
+                    "CAST(sites AS int)) AS text) AS call")
         .groupBy("l_partkey", "block").agg(F.expr("array_join(array_sort(collect_list(call)).text, '')").alias("calls"))
     )
     functions = part.join(bodies, F.expr("p_partkey = l_partkey"), "left").selectExpr(
@@ -137,13 +137,13 @@ sites AS (
   SELECT l_partkey, l_orderkey // {ORDERS_PER_BLOCK} AS block,
          (l_partkey + l_suppkey) % (SELECT count(*) FROM part) AS callee_part, count(*) AS sites
   FROM lineitem GROUP BY ALL),
+site_copies AS (
+  SELECT l_partkey, block, callee_part, unnest(range(1, sites + 1)) AS copy FROM sites),
 site_lines AS (
   SELECT s.l_partkey, s.block, s.callee_part, copy,
          CASE s.callee_part % 10 WHEN 5 THEN 'ext_' WHEN 7 THEN 'lib_' ELSE '' END || n.name AS callee,
          row_number() OVER (PARTITION BY s.l_partkey, s.block ORDER BY s.callee_part, copy) AS k
-  FROM sites s JOIN nm n ON n.p_partkey = s.callee_part
-  CROSS JOIN (VALUES (1), (2)) v(copy)
-  WHERE copy <= sites),
+  FROM site_copies s JOIN nm n ON n.p_partkey = s.callee_part),
 bodies AS (
   SELECT l_partkey, block, count(*) AS n_calls,
          string_agg('    ' || callee || '(1);' || chr(10), '' ORDER BY k) AS calls
@@ -305,27 +305,27 @@ def summaries(spark: SparkSession, sf_dir: str, key: str = "file_key") -> tuple[
     update comes twice and the second one counts."""
     doc = docfiles(spark, sf_dir)
     lang = F.split("path", "/")[1]
-    refined = F.when(lang == "fr", "").when(lang == "es", None).otherwise(F.substring("content", 41, 40))
+    refined = F.when(lang == "fr", "").when(lang == "es", None).otherwise(F.concat(F.lit("refined "), "content"))
     commit = F.concat(F.lit("c"), F.col("doc_id") % 2)
     old = doc.select(F.col("file_key").alias(key), commit.alias("commit_sha"),
-                     F.substring("content", 1, 40).alias("summary"), refined.alias("summary_refined"))
+                     F.col("content").alias("summary"), refined.alias("summary_refined"))
     keys = F.explode(F.when(lang == "en", F.array("file_key", F.md5(F.concat("file_key", F.lit("new")).cast("binary"))))
                      .otherwise(F.array(F.md5(F.concat("file_key", F.lit("new")).cast("binary")))))
     updates = doc.select(keys.alias(key), commit.alias("commit_sha"), "content").select(
         key, "commit_sha", "content", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq")).select(
-        key, "commit_sha", F.concat(F.lit("v"), "seq", F.lit(" "), F.substring("content", 1, 20)).alias("summary"),
+        key, "commit_sha", F.concat(F.lit("v"), "seq", F.lit(" "), "content").alias("summary"),
         F.lit("").alias("summary_refined"), "seq")
     return old, updates
 
 
 SQL_SUMMARIES = SQL_DOCFILES + """,
 summaries_old AS (
-  SELECT file_key, 'c' || (doc_id % 2) AS commit_sha, substring(content, 1, 40) AS summary,
+  SELECT file_key, 'c' || (doc_id % 2) AS commit_sha, content AS summary,
          CASE string_split(path, '/')[2] WHEN 'fr' THEN '' WHEN 'es' THEN NULL
-              ELSE substring(content, 41, 40) END AS summary_refined
+              ELSE 'refined ' || content END AS summary_refined
   FROM docfiles),
 summaries_new AS (
-  SELECT k AS file_key, 'c' || (doc_id % 2) AS commit_sha, 'v2 ' || substring(content, 1, 20) AS summary,
+  SELECT k AS file_key, 'c' || (doc_id % 2) AS commit_sha, 'v2 ' || content AS summary,
          '' AS summary_refined
   FROM (SELECT *, unnest(CASE WHEN string_split(path, '/')[2] = 'en'
                               THEN [file_key, md5(file_key || 'new')] ELSE [md5(file_key || 'new')] END) AS k

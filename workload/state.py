@@ -198,6 +198,10 @@ def _fn_refine_sql(summary: str) -> str:
     || 'Refine or improve it, focusing on correctness and brevity.' || chr(10)"""
 
 
+def _digest_sql(text: str) -> str:
+    return f"(length({text}) || ' characters, ' || md5({text}))"
+
+
 def _files_and_symbols(spark, d):
     files = scan.with_hash(settled(fx.sources(spark, d)))
     return files, extract.file_symbols(settled(extract.units(files)))
@@ -211,9 +215,9 @@ def file_prompt(spark, d):
 
 
 @query("refine_prompt", f"""WITH {fx.SQL_DOCFILES}
-SELECT path, md5({_refine_sql("substring(content, 1, 30)")}) AS prompt_hash FROM docfiles""")
+SELECT path, md5({_refine_sql("content")}) AS prompt_hash FROM docfiles""")
 def refine_prompt(spark, d):
-    p = prompts.file_refine_prompt(F.col("path"), F.substring("content", 1, 30), F.col("content"))
+    p = prompts.file_refine_prompt(F.col("path"), F.col("content"), F.col("content"))
     return fx.docfiles(spark, d).select("path", F.md5(p.cast("binary")).alias("prompt_hash"))
 
 
@@ -235,41 +239,39 @@ def summarizable_functions(spark, d):
 
 
 @query("summarize_files", f"""WITH {fx.SQL_SOURCES}, {_SQL_SYMBOLS}, {_SQL_FILE_PROMPT},
-one AS (SELECT path, content, left(prompt, 768) AS s FROM prompts)
-SELECT md5(path) AS file_key, 'c9' AS commit_sha, md5(s) AS summary, md5(left({_refine_sql("s")}, 768)) AS summary_refined,
+one AS (SELECT path, content, {_digest_sql("prompt")} AS s FROM prompts)
+SELECT md5(path) AS file_key, 'c9' AS commit_sha, s AS summary, {_digest_sql(_refine_sql("s"))} AS summary_refined,
        CAST(NULL AS VARCHAR) AS error FROM one""")
 def summarize_files(spark, d):
     done = summarize.summarize_files(*_files_and_symbols(spark, d), "c9", settle=settled)
-    return done.select("file_key", "commit_sha", F.md5(F.col("summary").cast("binary")).alias("summary"),
-                       F.md5(F.col("summary_refined").cast("binary")).alias("summary_refined"), "error")
+    return done.select("file_key", "commit_sha", "summary", "summary_refined", "error")
 
 
 @query("summarize_functions", f"""WITH {fx.SQL_SOURCES},
-one AS (SELECT function_key, left({_SQL_FN_PROMPT}, 768) AS s FROM functions)
-SELECT function_key, 'c9' AS commit_sha, md5(s) AS summary, md5(left({_fn_refine_sql("s")}, 768)) AS summary_refined,
+one AS (SELECT function_key, {_digest_sql(_SQL_FN_PROMPT)} AS s FROM functions)
+SELECT function_key, 'c9' AS commit_sha, s AS summary, {_digest_sql(_fn_refine_sql("s"))} AS summary_refined,
        CAST(NULL AS VARCHAR) AS error FROM one""")
 def summarize_functions(spark, d):
     fns = extract.functions(extract.units(fx.sources(spark, d)))
     done = summarize.summarize_functions(fns, "c9")
-    return done.select("function_key", "commit_sha", F.md5(F.col("summary").cast("binary")).alias("summary"),
-                       F.md5(F.col("summary_refined").cast("binary")).alias("summary_refined"), "error")
+    return done.select("function_key", "commit_sha", "summary", "summary_refined", "error")
 
 
 def _picky(requests, options):
     """Fails on every batch that holds a French text."""
     if any(r.system_prompt == "fr" for r in requests):
         raise ValueError("cannot read this")
-    return [r.prompt[:options.max_tokens] for r in requests]
+    return summarize.digest(requests, options)
 
 
 @query("summary_rejects", f"""WITH {fx.SQL_DOCFILES}
-SELECT path, CASE WHEN lang = 'fr' THEN NULL ELSE md5(left(content, 768)) END AS summary,
+SELECT path, CASE WHEN lang = 'fr' THEN NULL ELSE {_digest_sql("content")} END AS summary,
        CASE WHEN lang = 'fr' THEN 'ValueError: cannot read this' END AS error
 FROM (SELECT *, string_split(path, '/')[2] AS lang FROM docfiles)""")
 def summary_rejects(spark, d):
     docs = fx.docfiles(spark, d).withColumn("lang", F.split("path", "/")[1])
     done = summarize.summarize(docs, ["path"], "content", _picky, system_prompt="lang", parallelism=8)
-    return done.select("path", F.md5(F.col("summary").cast("binary")).alias("summary"), "error")
+    return done.select("path", "summary", "error")
 
 
 # Example texts; users give their own.
@@ -372,17 +374,18 @@ def package_exports(spark, d):
 # -- constraints --------------------------------------------------------------
 
 @query("fk_orphans", f"""WITH {fx.SQL_SUMMARIES}
-SELECT 'file_summaries' AS "table", file_key AS key FROM summaries_new
+SELECT 'file_summaries' AS "table", file_key AS key FROM summaries_new, range(2)  -- every update comes twice
 WHERE file_key NOT IN (SELECT file_key FROM docfiles)""")
 def fk_orphans(spark, d):
     _, updates = fx.summaries(spark, d)
-    return quality.orphans(updates.where("seq = 1"), fx.docfiles(spark, d), "file_key", "file_summaries")
+    return quality.orphans(updates, fx.docfiles(spark, d), "file_key", "file_summaries")
 
 
 @query("unique_violations", f"""WITH {fx.SQL_SUMMARIES},
 {fx.SQL_STATUS.strip()},
 urls AS (SELECT url FROM pages)
-SELECT 'file_summaries' AS "table", file_key || '|' || commit_sha AS key, 2 AS n FROM summaries_new
+SELECT 'file_summaries' AS "table", file_key || '|' || commit_sha AS key, count(*) AS n FROM summaries_new, range(2)
+  GROUP BY file_key, commit_sha
 UNION ALL SELECT 'status', item_type || '|' || item_key || '|' || commit_sha, count(*) FROM status_log
   GROUP BY item_type, item_key, commit_sha HAVING count(*) > 1
 UNION ALL SELECT 'projects', url, count(*) FROM urls GROUP BY url HAVING count(*) > 1""")

@@ -340,7 +340,7 @@ def _code_map(spark, d):
     t = analysis.structure(files)
     edges = settled(t["function_calls"])
     key = F.md5(F.col("path").cast("binary"))
-    texts = files.select("path", key.alias("file_key"), F.substring("content", 1, 20).alias("summary"),
+    texts = files.select("path", key.alias("file_key"), F.col("content").alias("summary"),
                          F.lit("").alias("summary_refined"))
     return codemap.code_map(files, t["functions"], t["file_symbols"], edges, texts)
 
@@ -355,7 +355,7 @@ syms AS (
          count(*) FILTER (symbol_type = 'global') AS n_globals,
          string_agg(symbol_name, '|' ORDER BY symbol_name) FILTER (symbol_type = 'struct') AS struct_names
   FROM symbols GROUP BY path)
-SELECT path, 0 AS page, substring(content, 1, 20) AS file_summary, coalesce(n_functions, 0) AS n_functions,
+SELECT path, 0 AS page, md5(content) AS file_summary, coalesce(n_functions, 0) AS n_functions,
        coalesce(function_names, '') AS function_names, coalesce(n_callers, 0) AS n_callers,
        coalesce(n_callees, 0) AS n_callees, coalesce(n_structs, 0) AS n_structs, coalesce(n_typedefs, 0) AS n_typedefs,
        coalesce(n_globals, 0) AS n_globals, coalesce(struct_names, '') AS struct_names
@@ -365,7 +365,7 @@ def code_map(spark, d):
         return F.aggregate(F.transform("functions", lambda f: F.coalesce(F.size(f[name]), F.lit(0))), F.lit(0),
                            lambda a, x: a + F.greatest(x, F.lit(0)))
     return _code_map(spark, d).select(
-        "path", "page", "file_summary", F.size("functions").alias("n_functions"),
+        "path", "page", F.md5(F.col("file_summary").cast("binary")).alias("file_summary"), F.size("functions").alias("n_functions"),
         F.col("functions.name").alias("function_names"), total("callers").alias("n_callers"),
         total("callees").alias("n_callees"), F.size("structs").alias("n_structs"), F.size("typedefs").alias("n_typedefs"),
         F.size("globals").alias("n_globals"), F.array_sort("structs.name").alias("struct_names"))
