@@ -46,36 +46,35 @@ def full_analysis(store: Store, files: DataFrame, commit_sha: str, now: Column,
     store.replace("function_calls", edges_of(sites, graph.directory(fns)))
     parsed = status.marks(files, "file", "file_key", status.PARSED, commit_sha, now).unionByName(
         status.marks(fns, "function", "function_key", status.PARSED, commit_sha, now))
-    _record(store, parsed)
+    store.replace_all(_recorded(store, parsed))
     summarize_new(store, commit_sha, now, with_functions, **how)
     return view(store, commit_sha)
 
 
-def _record(store: Store, marks: DataFrame) -> None:
-    items = status.merge_items(store.read("status_items"), marks)
-    commits = status.merge_commits(store.read("status_commits"), marks)
-    store.replace("status_items", items)
-    store.replace("status_commits", commits)
+def _recorded(store: Store, marks: DataFrame) -> dict[str, DataFrame]:
+    return {"status_items": status.merge_items(store.read("status_items"), marks),
+            "status_commits": status.merge_commits(store.read("status_commits"), marks)}
 
 
 def summarize_new(store: Store, commit_sha: str, now: Column, with_functions: bool = True,
-                  paths: DataFrame | None = None, **how) -> None:
-    """Summaries of files and functions that have none at the commit, of all files or
-    those in ``paths``; failures stay unprocessed and are listed in ``rejects``."""
-    def chosen(table: str) -> DataFrame:
+                  carry: bool = False, **how) -> None:
+    """Summaries of files and functions that have none at the commit; with ``carry`` also
+    a summary of the same text from another commit will do.  Failures stay unprocessed
+    and are listed in ``rejects``."""
+    def chosen(table: str, key: str) -> DataFrame:
         rows = store.read(table)
-        return rows if paths is None else rows.join(paths, "path", "left_semi")
+        return rows.join(_carried(store, key), key, "left_anti") if carry else rows
 
     def settle(rows: DataFrame) -> DataFrame:
         return store.replace("first_pass", rows)
 
-    files = status.unprocessed(chosen("files"), "file_key", store.read("status_commits"), "file",
+    files = status.unprocessed(chosen("files", "file_key"), "file_key", store.read("status_commits"), "file",
                                commit_sha, status.SUMMARIZED)
     done = store.replace("second_pass", summarize.summarize_files(
         files, store.read("file_symbols"), commit_sha, settle, **how))
     _accept(store, done, "file", "file_key", "file_summaries", commit_sha, now)
     if with_functions:
-        fns = status.unprocessed(chosen("functions"), "function_key", store.read("status_commits"),
+        fns = status.unprocessed(chosen("functions", "function_key"), "function_key", store.read("status_commits"),
                                  "function", commit_sha, status.SUMMARIZED)
         done = store.replace("second_pass", summarize.summarize_functions(
             fns.dropDuplicates(["function_key"]), commit_sha, settle, **how))
@@ -85,19 +84,47 @@ def summarize_new(store: Store, commit_sha: str, now: Column, with_functions: bo
 def _accept(store: Store, done: DataFrame, item_type: str, key: str, table: str, commit_sha: str,
             now: Column) -> None:
     good = done.where("error is null").drop("error").withColumn("_seq", F.lit(0))
-    store.replace(table, upsert(store.read(table), good, [key, "commit_sha"], "_seq"))
-    _record(store, status.marks(good, item_type, key, status.SUMMARIZED, commit_sha, now))
     bad = done.where("error is not null").select(
         F.lit(item_type).alias("item_type"), F.col(key).alias("item_key"), "commit_sha", "error")
-    store.append("rejects", bad)
+    basis = good.select(F.col(key).alias("item_key"), "commit_sha", "_seq").join(
+        _texts(store, key).withColumnRenamed(key, "item_key"), "item_key").withColumn("summarized_at", now)
+    store.replace_all({
+        table: upsert(store.read(table), good, [key, "commit_sha"], "_seq"),
+        "summary_basis": upsert(store.read("summary_basis"), basis.select(
+            F.lit(item_type).alias("item_type"), "item_key", "commit_sha", "text_hash", "summarized_at", "_seq"),
+            ["item_type", "item_key", "commit_sha"], "_seq"),
+        "rejects": upsert(store.read("rejects"), bad.withColumn("_seq", F.lit(0)),
+                          ["item_type", "item_key", "commit_sha"], "_seq"),
+        **_recorded(store, status.marks(good, item_type, key, status.SUMMARIZED, commit_sha, now))})
+
+
+def _texts(store: Store, key: str) -> DataFrame:
+    """The hash of each item's present text: key, text_hash."""
+    table, text = ("files", "content_hash") if key == "file_key" else ("functions", "code_hash")
+    return store.read(table).groupBy(key).agg(F.min(text).alias("text_hash"))
+
+
+def _carried(store: Store, key: str) -> DataFrame:
+    """Items with a summary of their present text, and the last commit that has it."""
+    basis = store.read("summary_basis").where(F.col("item_type") == key.removesuffix("_key"))
+    return (basis.withColumnRenamed("item_key", key).join(_texts(store, key), [key, "text_hash"])
+            .groupBy(key).agg(F.max(F.struct("summarized_at", "commit_sha"))["commit_sha"].alias("commit_sha")))
+
+
+def _summaries(store: Store, table: str, key: str, commit_sha: str) -> DataFrame:
+    """Summaries of the commit; items that have none keep that of the same text elsewhere."""
+    stored = store.read(table)
+    own = stored.where(F.col("commit_sha") == commit_sha)
+    kept = _carried(store, key).join(own.select(key), key, "left_anti")
+    return own.unionByName(stored.join(kept, [key, "commit_sha"], "left_semi"))
 
 
 def view(store: Store, commit_sha: str) -> DataFrame:
-    """The code map with the summaries of one commit."""
+    """The code map with the summaries of one commit, and those of texts unchanged at it."""
     files = store.read("files")
-    file_text = store.read("file_summaries").where(F.col("commit_sha") == commit_sha).join(
+    file_text = _summaries(store, "file_summaries", "file_key", commit_sha).join(
         files.select("file_key", "path"), "file_key")
-    fn_text = store.read("function_summaries").where(F.col("commit_sha") == commit_sha)
+    fn_text = _summaries(store, "function_summaries", "function_key", commit_sha)
     return codemap.code_map(files, store.read("functions"), store.read("file_symbols"),
                             store.read("function_calls"), file_text, fn_text)
 
@@ -139,18 +166,19 @@ def refreshed(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFr
 
 def refresh(store: Store, new_files: DataFrame, commit_sha: str, now: Column,
             with_functions: bool = True, **how) -> DataFrame:
-    """Bring the stored tables to a new snapshot and summarise what changed."""
+    """Bring the stored tables to a new snapshot and summarise what changed.
+
+    All structure tables change in one step, so a run that stops before it starts again
+    from the old ones, and one that stops after it goes on with the summaries.
+    """
+    store.bootstrap()
     old = {t: store.read(t) for t in REFRESHED}
-    changed = store.replace("changed_paths", snapshots.files_to_refresh(
-        snapshots.changed_files(old["files"], new_files)).select("path"))
     tables = refreshed(old, old["files"], new_files, lambda u: store.replace("units_changed", u))
-    for name, rows in tables.items():
-        store.replace(name, rows)
-    store.replace("files", new_files)
+    store.replace_all({**tables, "files": new_files})
     parsed = status.marks(store.read("files"), "file", "file_key", status.PARSED, commit_sha, now).unionByName(
         status.marks(store.read("functions"), "function", "function_key", status.PARSED, commit_sha, now))
-    _record(store, parsed)
-    summarize_new(store, commit_sha, now, with_functions, changed, **how)
+    store.replace_all(_recorded(store, parsed))
+    summarize_new(store, commit_sha, now, with_functions, carry=True, **how)
     return view(store, commit_sha)
 
 

@@ -127,3 +127,57 @@ def test_full_analysis_then_refresh(spark, tmp_path, files):
     # only changed files are summarised for the new commit
     done = store.read("file_summaries").where("commit_sha = 'c2'").join(store.read("files"), "file_key")
     assert sorted(r.path for r in done.collect()) == ["a2.c", "z.c"]
+
+
+def summaries_of(cmap):
+    return {r.path: (r.file_summary, {f.name: f.func_summary for f in r.functions}) for r in cmap.collect()}
+
+
+def test_refresh_keeps_summaries_of_what_did_not_change(spark, tmp_path, files):
+    store = Store(spark, str(tmp_path / "store"))
+    old = dict(a_DOT_c="int f(void) { g(); }\n", b_DOT_c="int g(void) { return 1; }\n", c_DOT_c="int k(void) { f(); }\n")
+    before = summaries_of(analysis.full_analysis(store, corpus.with_hash(files(**old)), "c1", now()))
+    new = dict(old, b_DOT_c="int g(void) { return 2; }\n")
+    after = summaries_of(analysis.refresh(store, corpus.with_hash(files(**new)), "c2", now()))
+    assert after["a.c"] == before["a.c"] and after["c.c"] == before["c.c"]
+    assert after["b.c"][0] and after["b.c"] != before["b.c"]
+    assert None not in [t for text, fns in after.values() for t in (text, *fns.values())]
+
+
+def test_refresh_that_stops_between_tables_can_be_run_again(spark, tmp_path, files, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    analysis.full_analysis(store, corpus.with_hash(files(
+        a_DOT_c="int f(void) { g(); }\n", b_DOT_c="int g(void) { }\n")), "c1", now())
+    new = corpus.with_hash(files(a_DOT_c="int f(void) { g(); }\n", b2_DOT_c="\nint g(void) { }\n"))
+    unchanged = tables_of(store)
+    whole = Store._write
+    written = []
+
+    def stops(self, table, rows, suffix=""):
+        if suffix:
+            written.append(table)
+            if len(written) > 2:
+                raise RuntimeError("executor lost")
+        whole(self, table, rows, suffix)
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_write", stops)
+        try:
+            analysis.refresh(store, new, "c2", now())
+        except RuntimeError:
+            pass
+    assert len(written) == 3 and tables_of(store) == unchanged
+    got = summaries_of(analysis.refresh(store, new, "c2", now()))
+    fresh = Store(spark, str(tmp_path / "fresh"))
+    assert got == summaries_of(analysis.full_analysis(fresh, new, "c2", now()))
+    assert tables_of(store) == tables_of(fresh)
+
+
+def test_mode_without_text_fails(spark):
+    import pytest
+    df = spark.createDataFrame([("c",), (None,), ("asm",)], "m string")
+    good = summarize.with_mode(df.where("m = 'c'"), F.col("m"), {"c": "C"}).collect()
+    assert [r.system_prompt for r in good] == ["C"]
+    for rows in (df.where("m is null"), df.where("m = 'asm'")):
+        with pytest.raises(Exception, match="no system prompt"):
+            summarize.with_mode(rows, F.col("m"), {"c": "C"}).collect()
