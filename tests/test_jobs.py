@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import projects, summarize
+from lodestone.operators import extract, projects, summarize
 from lodestone.plans import analysis
 from lodestone.schemas import DDL
 from lodestone.sources import corpus
@@ -181,3 +181,21 @@ def test_mode_without_text_fails(spark):
     for rows in (df.where("m is null"), df.where("m = 'asm'")):
         with pytest.raises(Exception, match="no system prompt"):
             summarize.with_mode(rows, F.col("m"), {"c": "C"}).collect()
+
+
+def test_catch_up_reads_edited_files_again(spark, tmp_path):
+    root, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+
+    def names():
+        rows = ingest.catch_up(spark, root, out, mark)
+        return sorted((r.path, r.name) for r in extract.functions(rows).collect())
+
+    write(root, a_DOT_c="int f(void) { }\n", b_DOT_c="int g(void) { }\n")
+    assert names() == [("a.c", "f"), ("b.c", "g")]
+    write(root, a_DOT_c="int edited(void) { }\n", c_DOT_c="int h(void) { }\n")
+    assert names() == [("a.c", "edited"), ("b.c", "g"), ("c.c", "h")] == names()
+    os.remove(os.path.join(root, "b.c"))
+    write(root, c_DOT_c="int twice(void) { return 2; }\n")
+    assert names() == [("a.c", "edited"), ("c.c", "twice")]
+    write(root, b_DOT_c="int back(void) { }\n")
+    assert names() == [("a.c", "edited"), ("b.c", "back"), ("c.c", "twice")]
