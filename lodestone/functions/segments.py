@@ -20,6 +20,8 @@ from pyspark.sql.functions import arrow_udf
 # Codes of the coarse pieces (low four bits; line ends counted in the rest).
 TRIVIA, IDENT, MEMBER, TEXT, LITERAL, OPEN, CLOSE, SEMI, LPAR, RPAR, BARE, ARROW = range(12)
 KINDS = 16
+# Flags of the tokens of a unit.
+START, STOP, BRACE, FLAGS = 1, 2, 4, 8
 
 _CALL = T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("line", T.IntegerType()),
@@ -32,6 +34,8 @@ _UNIT = T.StructType([
     T.StructField("calls", T.ArrayType(_CALL))])
 SPANS = T.StructType([
     T.StructField("units", T.ArrayType(_UNIT)), T.StructField("depth", T.IntegerType())])
+MARKS = T.ArrayType(T.StructType([
+    T.StructField("i", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("e", T.IntegerType())]))
 
 # Ship these functions with the job, so that workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -151,6 +155,34 @@ def sums_before(steps: pa.Array) -> pa.Array:
     return _lists(np.diff(offsets), pa.array(_sum_before(values, offsets, owner), pa.int32()))
 
 
+def marks_of(codes: pa.Array) -> pa.Array:
+    """Depth and flags of each token (:data:`FLAGS` times the depth, plus the flags) -> for
+    every token with START its position ``i``, the next STOP of its depth ``k``, and the
+    BRACE that closes what opens there ``e``; null where there is none."""
+    codes = codes.fill_null([]) if codes.null_count else codes
+    values, offsets = _flat(codes)
+    owner = np.repeat(np.arange(len(codes)), np.diff(offsets))
+    n = len(values)
+    flags, depth = values % FLAGS, (values // FLAGS).astype(np.int64)
+    if n:
+        depth -= depth.min()
+    level = owner * (depth.max(initial=0) + 2) + depth
+
+    def following(at: np.ndarray, wanted: np.ndarray, flag: int) -> np.ndarray:
+        marked = np.flatnonzero(flags & flag)
+        keys = np.concatenate((np.sort(level[marked] * n + marked), [-1]))
+        found = keys[np.minimum(np.searchsorted(keys[:-1], wanted * n + at, side="right"), len(keys) - 1)]
+        return np.where((at >= 0) & (found >= 0) & (found // max(n, 1) == wanted), found % max(n, 1), -1)
+
+    start = np.flatnonzero(flags & START)
+    stop = following(start, level[start], STOP)
+    end = following(stop, level[start] + 1, BRACE)
+    base = offsets[:-1][owner[start]]
+    fields = [pa.array((x - base).astype(np.int32), pa.int32(), mask=x < 0) for x in (start, stop, end)]
+    return _lists(np.bincount(owner[start], minlength=len(codes)),
+                  pa.StructArray.from_arrays(fields, names=["i", "k", "e"]))
+
+
 @arrow_udf(SPANS)
 def unit_spans(codes: pa.Array) -> pa.Array:
     return spans_of(codes)
@@ -159,3 +191,8 @@ def unit_spans(codes: pa.Array) -> pa.Array:
 @arrow_udf(T.ArrayType(T.IntegerType()))
 def running_total(steps: pa.Array) -> pa.Array:
     return sums_before(steps)
+
+
+@arrow_udf(MARKS)
+def token_marks(codes: pa.Array) -> pa.Array:
+    return marks_of(codes)

@@ -8,6 +8,8 @@ the blanks and comments in front of it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from lodestone.functions import lexis
 from lodestone.functions.arrays import (
     each, first_index, last_index, let, picked, quoted, split_where, struct, those, word_list,
 )
-from lodestone.functions.segments import running_total
+from lodestone.functions.segments import BRACE, FLAGS, START, STOP, running_total, token_marks
 from lodestone.operators import segment
 from lodestone.operators.segment import parsed_files
 
@@ -28,8 +30,8 @@ _TAGS = word_list(lexis.TAG_WORDS)
 # -- tokens ------------------------------------------------------------------
 
 def with_tokens(df: DataFrame, **texts: str) -> DataFrame:
-    """Adds the tokens of each SQL expression as the columns ``name`` and ``name``_raw.
-    The latter is apart, so that it is only made where it is read."""
+    """Adds the tokens of each SQL expression as the column ``name``, and apart ``name``_raw,
+    _tok and _depth, so that they are only made where they are read."""
     pattern = quoted(lexis.TOKEN)
     kept = df.columns
     df = df.withColumns({f"{n}_tok": F.expr(f"regexp_extract_all({t}, {pattern}, 1)") for n, t in texts.items()})
@@ -42,7 +44,7 @@ def with_tokens(df: DataFrame, **texts: str) -> DataFrame:
     # one pass through Python for all of them
     df = df.withColumns({f"{n}_depth": running_total(F.expr(step(n))) for n in texts})
     zipped = [F.expr(each(f"{n}_tok", lambda t, i: struct(i=i, t=t, d=f"get({n}_depth, {i})"))).alias(n) for n in texts]
-    return df.select(*kept, *[f"{n}_raw" for n in texts], *zipped)
+    return df.select(*kept, *[f"{n}_{c}" for n in texts for c in ("raw", "tok", "depth")], *zipped)
 
 
 def _source_text(tokens: str, raw: str = "z_raw") -> str:
@@ -227,26 +229,33 @@ def _whole_units(u: DataFrame, pattern: str) -> DataFrame:
     return with_tokens(picked_.where(f"whole RLIKE {quoted(pattern)}"), z="whole")
 
 
+def _with_marks(df: DataFrame, start: str, stop: Callable[[str, str], str]) -> DataFrame:
+    """Adds ``marks``: each word ``start`` with the next token of its depth for which ``stop``
+    holds, and the brace that closes there.  One running pass, however many such words."""
+    # from the stored arrays: "z" would be written out, and made again, at each place that reads it
+    codes = each("z_tok", lambda t, i: f"get(z_depth, {i}) * {FLAGS} + CASE WHEN {t} = '{start}' THEN {START} "
+                                       f"WHEN {t} = '}}' THEN {BRACE} WHEN {stop(t, i)} THEN {STOP} ELSE 0 END")
+    return df.withColumn("marks", token_marks(F.expr(codes)))
+
+
 def structs(u: DataFrame) -> DataFrame:
     """Struct specifiers with a body, nested ones included, in text order."""
     df = _whole_units(u, r"\bstruct\b[^;{}]*+\{")
 
-    def stop(x: str, i: str) -> str:
+    def stop(t: str, i: str) -> str:
         """What ends the words after ``struct``."""
-        return first_index("z", lambda y, j: (
-            f"{j} > {i} AND {y}.d = {x}.d AND ({y}.t IN ('{{', ';', ')', ',', '=', '*') "
-            f"OR ({y}.t = '(' AND {_token('z', f'{j} - 1')} NOT IN ({_ATTRIBUTES})))"))
+        return (f"{t} IN ('{{', ';', ')', ',', '=', '*') "
+                f"OR ({t} = '(' AND coalesce(get(z_tok, {i} - 1), '') NOT IN ({_ATTRIBUTES}))")
 
     def texts(s: str) -> str:
-        end = first_index("z", lambda y, j: f"{j} > {s}.k AND {y}.t = '}}' AND {y}.d = {s}.d + 1")
-        return let(end, lambda e: struct(
-            i=f"{s}.i", d=f"{s}.d", before=f"slice(z, {s}.i + 2, {s}.k - {s}.i - 1)",
-            all=f"slice(z, {s}.i + 1, {e} - {s}.i + 1)", inner=f"slice(z, {s}.k + 2, {e} - {s}.k - 1)",
+        return struct(
+            i=f"{s}.i", d=f"get(z, {s}.i).d", before=f"slice(z, {s}.i + 2, {s}.k - {s}.i - 1)",
+            all=f"slice(z, {s}.i + 1, {s}.e - {s}.i + 1)", inner=f"slice(z, {s}.k + 2, {s}.e - {s}.k - 1)",
             # what follows the struct in a typedef names an untagged one
-            after=f"CASE WHEN {s}.d = 0 AND get(z, 0).t = 'typedef' THEN slice(z, {e} + 2, size(z) - {e} - 2) END"))
+            after=f"CASE WHEN get(z, {s}.i).d = 0 AND get(z, 0).t = 'typedef' THEN slice(z, {s}.e + 2, size(z) - {s}.e - 2) END")
 
-    starts = picked("z", lambda x, i: f"{x}.t = 'struct'", lambda x, i: struct(i=i, d=f"{x}.d", k=stop(x, i)))
-    bodies = each(those(starts, lambda s: f"{_token('z', f'{s}.k')} = '{{'"), texts)
+    df = _with_marks(df, "struct", stop)
+    bodies = each(those("marks", lambda s: f"{_token('z', f'{s}.k')} = '{{'"), texts)
     rows = each_entry(df, bodies, "s", "path", "unit", "z_raw")
 
     tags = those("s.before", lambda x: f"{x}.d = s.d AND {_is_word(x)}")
@@ -262,17 +271,13 @@ def structs(u: DataFrame) -> DataFrame:
 
 
 def typedefs(u: DataFrame) -> DataFrame:
-    """Type aliases: alias, original type words, source text."""
+    """Type aliases, one row per name: alias, original type words, source text."""
     df = _whole_units(u, r"\btypedef\b")
-
-    def statement(x: str, i: str) -> str:
-        end = first_index("z", lambda y, j: f"{j} > {i} AND {y}.t = ';' AND {y}.d = {x}.d")
-        return struct(i=i, d=f"{x}.d", all=f"slice(z, {i} + 1, {end} - {i} + 1)")
-
-    found = those(picked("z", lambda x, i: f"{x}.t = 'typedef'", statement), lambda s: f"size({s}.all) > 2")
-    rows = each_entry(df, found, "s", "path", "unit", "z_raw")
-    first = f"get({_declared('slice(s.all, 2, size(s.all) - 2)', 's.d')}, 0)"
-    rows = each_entry(rows, those(f"array({first})", lambda d: f"{d}.name IS NOT NULL"), "d", "path", "unit", "s", "z_raw")
+    df = _with_marks(df, "typedef", lambda t, i: f"{t} = ';'")
+    statements = each("marks", lambda m: struct(i=f"{m}.i", d=f"get(z, {m}.i).d", all=f"slice(z, {m}.i + 1, {m}.k - {m}.i + 1)"))
+    rows = each_entry(df, those(statements, lambda s: f"size({s}.all) > 2"), "s", "path", "unit", "z_raw")
+    names = those(_declared("slice(s.all, 2, size(s.all) - 2)", "s.d"), lambda d: f"{d}.name IS NOT NULL")
+    rows = each_entry(rows, names, "d", "path", "unit", "s", "z_raw")
     return rows.selectExpr(
         "path", "unit AS ordinal", "s.i AS pos", "d.name AS alias",
         f"CASE WHEN exists(s.all, x -> x.t = '{{') OR d.type = '' THEN {quoted(COMPLEX)} ELSE d.type END AS original",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import struct, those
 from lodestone.operators.extract import each_entry, function_key
-from lodestone.operators.skew import paged_lists, salted_join
+from lodestone.operators.skew import paged_lists, skewed_join
 
 # Callers listed in one row of the code map; more go on to further pages.
 PAGE_SIZE = 50_000
@@ -47,14 +47,13 @@ def call_sites(u: DataFrame) -> DataFrame:
 
 
 def resolve(sites: DataFrame, names: DataFrame) -> DataFrame:
-    """Call sites whose callee is known; popular names are spread over groups."""
-    return salted_join(sites, names, "callee", F.concat("caller_key", "line"))
+    """Call sites whose callee is known."""
+    return skewed_join(sites, names, "callee")
 
 
 def unresolved(sites: DataFrame, names: DataFrame) -> DataFrame:
     """Call sites to names that no file declares."""
-    known = salted_join(sites, names.select("callee", F.lit(True).alias("known")), "callee",
-                        F.concat("caller_key", "line"), "left")
+    known = skewed_join(sites, names.select("callee", F.lit(True).alias("known")), "callee", "left")
     return known.where("known is null").drop("known")
 
 
@@ -106,17 +105,15 @@ def qualified_edges(edges: DataFrame, functions: DataFrame) -> DataFrame:
         ["function_key"])
     callers = names.select(F.col("function_key").alias("caller_key"), F.col("n").alias("caller_name"))
     callees = names.select(F.col("function_key").alias("callee_key"), F.col("n").alias("callee_name"))
-    known = salted_join(edges.select("caller_key", "callee_key"), callers, "caller_key", F.col("callee_key"))
-    return salted_join(known, callees, "callee_key", F.col("caller_key")).select(*EDGE_COLUMNS)
+    known = skewed_join(edges.select("caller_key", "callee_key"), callers, "caller_key")
+    return skewed_join(known, callees, "callee_key").select(*EDGE_COLUMNS)
 
 
 def valid_edges(edges: DataFrame, functions: DataFrame) -> DataFrame:
     """Edges whose two ends exist."""
     keys = functions.select("function_key").distinct()
-    kept = salted_join(edges, keys.withColumnRenamed("function_key", "caller_key"), "caller_key",
-                       F.col("callee_key"), "left_semi")
-    return salted_join(kept, keys.withColumnRenamed("function_key", "callee_key"), "callee_key",
-                       F.col("caller_key"), "left_semi")
+    kept = skewed_join(edges, keys.withColumnRenamed("function_key", "caller_key"), "caller_key", "left_semi")
+    return skewed_join(kept, keys.withColumnRenamed("function_key", "callee_key"), "callee_key", "left_semi")
 
 
 def callers(edges: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:

@@ -2,56 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import repository_name, safe_name
 from lodestone.operators.skew import position_in_group
-from lodestone.session import checkpointed
+from lodestone.session import checkpointed, settled
 
 STORE_FOLDER, STORE_SUFFIX = "database", ".db"  # fixed values
 
 
-def unique_names(rows: DataFrame, base: str, sequence: str, out: str = "name") -> DataFrame:
+def _gaps(names: DataFrame, taken: DataFrame, base: str) -> DataFrame:
+    """Which numbers of each base are in use, as runs: base, _from, _until, _skip.
+
+    The free number of rank k, ``_from <= k < _until``, is ``k + _skip``.
+    """
+    own = taken.select(F.col("name").alias(base), F.lit(0).cast("bigint").alias("_number"))
+    tail = r"^(.*)_([1-9]\d{0,17})$"
+    numbered = taken.where(F.col("name").rlike(tail)).select(
+        F.regexp_extract("name", tail, 1).alias(base), F.regexp_extract("name", tail, 2).cast("bigint").alias("_number"))
+    used = own.unionByName(numbered).distinct().join(names.select(base).distinct(), base, "left_semi")
+    ranked = position_in_group(used, base, "_number", "_i")
+    runs = ranked.groupBy(base, (F.col("_number") - F.col("_i")).alias("_from")).agg((F.max("_i") + 1).alias("_skip"))
+    return runs.withColumn("_until", F.lead("_from").over(Window.partitionBy(base).orderBy("_from")))
+
+
+def unique_names(rows: DataFrame, base: str, sequence: str, out: str = "name", taken: DataFrame | None = None) -> DataFrame:
     """``x``, ``x_1``, ``x_2``, ... in order of ``sequence``, an integer.
 
-    Each row takes the first free name, as if rows came one by one.  Equal
-    bases are numbered at once; only a base that looks like a numbered name
-    (``x_1``) can still meet another one, and then its later rows move on.
+    Each row takes the first free name, as if rows came one by one after the names in
+    ``taken`` (column ``name``).  Equal bases are numbered at once, and the numbers that
+    ``taken`` uses are skipped at once; only among the bases of new rows can one that looks
+    like a numbered name (``x_1``) meet another, and then the later rows of these bases move on.
     """
     ranked = position_in_group(rows, base, sequence, "_k")
+    gaps = None if taken is None else settled(_gaps(rows, taken, base))
 
     def named(df: DataFrame) -> DataFrame:
-        return df.withColumn(out, F.when(F.col("_k") == 0, F.col(base))
-                             .otherwise(F.concat(base, F.lit("_"), F.col("_k").cast("string"))))
-
-    # A clash needs a literal base with a numeric tail: without one, done.
-    tails = rows.where(F.col(base).rlike(r"_\d+$")).select(
-        F.regexp_replace(base, r"_\d+$", "").alias(base)).distinct()
-    current = named(ranked)
-    if not tails.join(rows.select(base).distinct(), base, "left_semi").isEmpty():
-        while True:
-            current = checkpointed(current)
-            first = current.groupBy(out).agg(F.min(sequence).alias("_first"), F.count("*").alias("_n"))
-            losers = (current.join(first.where("_n > 1"), out).where(F.col(sequence) > F.col("_first"))
-                      .groupBy(base).agg(F.min(sequence).alias("_from")))
-            if losers.isEmpty():
-                break
-            moved = current.drop(out).join(losers, base, "left").withColumn(
-                "_k", F.col("_k") + F.when(F.col(sequence) >= F.col("_from"), 1).otherwise(0)).drop("_from")
-            current = named(moved)
-    return current.drop("_k")
+        if gaps is None:
+            free = df.withColumn("_n", F.col("_k"))
+        else:
+            r, g = df.alias("r"), gaps.alias("g")
+            free = r.join(g, (F.col(f"r.{base}") == F.col(f"g.{base}")) & (F.col("r._k") >= F.col("g._from"))
+                          & (F.col("g._until").isNull() | (F.col("r._k") < F.col("g._until"))), "left").select(
+                "r.*", (F.col("_k") + F.coalesce("_skip", F.lit(0))).alias("_n"))
+        return free.withColumn(out, F.when(F.col("_n") == 0, F.col(base))
+                               .otherwise(F.concat(base, F.lit("_"), F.col("_n").cast("string")))).drop("_n")
+
+    # A clash needs a literal base with a numeric tail beside the base without it; all else is done.
+    stem = F.regexp_replace(base, r"(_\d+)+$", "")
+    bases = rows.select(base).distinct()
+    tails = bases.where(F.col(base).rlike(r"_\d+$")).select(F.regexp_replace(base, r"_\d+$", "").alias(base)).distinct()
+    stems = settled(tails.join(bases, base, "left_semi").select(stem.alias("_stem")).distinct())
+    if stems.isEmpty():
+        return named(ranked).drop("_k")
+    marked = ranked.withColumn("_stem", stem)
+    current = named(marked.join(stems, "_stem", "left_semi"))
+    while True:
+        current = checkpointed(current)
+        first = current.groupBy(out).agg(F.min(sequence).alias("_first"), F.count("*").alias("_n"))
+        losers = (current.join(first.where("_n > 1"), out).where(F.col(sequence) > F.col("_first"))
+                  .groupBy(base).agg(F.min(sequence).alias("_from")))
+        if losers.isEmpty():
+            break
+        moved = current.drop(out).join(losers, base, "left").withColumn(
+            "_k", F.col("_k") + F.when(F.col(sequence) >= F.col("_from"), 1).otherwise(0)).drop("_from")
+        current = named(moved)
+    clear = named(marked.join(stems, "_stem", "left_anti"))
+    return clear.unionByName(current).drop("_k", "_stem")
 
 
 def store_path(name: Column) -> Column:
     return F.concat(F.lit(STORE_FOLDER + "/"), name, F.lit(STORE_SUFFIX))
 
 
-def register(urls: DataFrame, projects_folder: str, name: str | None = None) -> DataFrame:
-    """Registry rows for ``(seq, git_url)`` rows (S14): name, path, git_url, last_commit, store_path."""
+def register(urls: DataFrame, projects_folder: str, name: str | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Registry rows for ``(seq, git_url)`` rows (S14): name, path, git_url, last_commit, store_path.
+
+    ``known`` is the registry so far; its names are not given again.
+    """
     given = F.nullif(F.col(name), F.lit("")) if name else F.lit(None).cast("string")
     named = urls.withColumn("_base", safe_name(F.coalesce(given, repository_name("git_url"))))
-    unique = unique_names(named, "_base", "seq")
+    unique = unique_names(named, "_base", "seq", taken=known)
     return unique.select(
         "name", F.concat(F.lit(projects_folder.rstrip("/") + "/"), "name").alias("path"), "git_url",
         F.lit(None).cast("string").alias("last_commit"), store_path(F.col("name")).alias("store_path"))

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
+#: Rows that one range of :func:`position_in_group` holds on average.
+RANGE_ROWS = 100_000
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: Column,
-                how: str = "inner", salts: int = SALTS) -> DataFrame:
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join on ``key`` where ``right`` has one row per key and ``left`` may be skewed.
 
-    The left rows of a key are spread over ``salts`` groups by ``spread``; the
-    right side, which is small per key, is repeated once per group.
+    Adaptive execution measures the partitions and splits those of hot keys, but only
+    where both sides were shuffled for this join alone.  A right side that an aggregate or
+    a window has already dealt by the key would not be; the hash of the key, a second key
+    of the same meaning, asks for that shuffle.  Nothing is repeated for keys that are not hot.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"only joins that keep left rows whole are supported, not {how!r}")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    hashed = F.xxhash64(key)
+    return left.withColumn("_hash", hashed).join(right.withColumn("_hash", hashed), [key, "_hash"], how).drop("_hash")
 
 
 def paged_lists(rows: DataFrame, key: str, value: str, out: str, page_size: int) -> DataFrame:
@@ -33,18 +35,23 @@ def paged_lists(rows: DataFrame, key: str, value: str, out: str, page_size: int)
              .where(F.col("_n") > page_size)
              .select(key, F.ceil(F.col("_n") / page_size).cast("int").alias("_pages")))
     # left join: keys within one page have no entry in ``large``
-    paged = salted_join(distinct, large, key, F.col(value), "left").withColumn(
+    paged = skewed_join(distinct, large, key, "left").withColumn(
         "page", F.coalesce(F.pmod(F.xxhash64(F.lit("page"), F.col(value)), F.col("_pages")).cast("int"),
                            F.lit(0)))
     return paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(value)).alias(out))
 
 
-def position_in_group(rows: DataFrame, group: str, order: str, out: str, width: int = 1_000_000) -> DataFrame:
+def position_in_group(rows: DataFrame, group: str, order: str, out: str, width: int | None = None) -> DataFrame:
     """0-based position of each row in its group by an integer column, for groups of any size.
 
     Rows are numbered inside ranges of ``width`` order values, and the sizes of
     the earlier ranges of the group are added; ``order`` must be unique in a group.
+    Without ``width`` the ranges are as wide as holds about ``RANGE_ROWS`` rows of the
+    whole table, so a sparse order (a timestamp) does not make a range of every row.
     """
+    if width is None:
+        low, high, n = rows.agg(F.min(order), F.max(order), F.count(order)).first()
+        width = max(1, (high - low + 1) * RANGE_ROWS // n) if n else 1
     ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
     sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy(group).orderBy("_range")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import settled
 from lodestone.operators import codemap, extract, graph, snapshots, status, summarize
+from lodestone.operators.skew import skewed_join
 from lodestone.sources.store import Store, upsert
 
 REFRESHED = ["files", "file_symbols", "functions", "call_sites", "function_calls"]
@@ -153,10 +154,9 @@ def refreshed(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFr
              .join(after.select("callee", F.col("callee_key").alias("_new")), "callee", "full_outer")
              .where(~F.col("_old").eqNullSafe(F.col("_new"))).select("callee"))
     again = new_sites.unionByName(
-        graph.salted_join(kept_sites, moved, "callee", F.concat("caller_key", "line"), "left_semi"))
-    marked = graph.salted_join(
-        old["function_calls"].join(touched, "path", "left_anti"), moved.withColumn("_moved", F.lit(True)),
-        "callee", F.concat("caller_key", "line"), "left")
+        skewed_join(kept_sites, moved, "callee", "left_semi"))
+    marked = skewed_join(
+        old["function_calls"].join(touched, "path", "left_anti"), moved.withColumn("_moved", F.lit(True)), "callee", "left")
     kept_edges = marked.where("_moved is null").drop("_moved")
     edges = kept_edges.unionByName(edges_of(again, after).select(*kept_edges.columns))
     return {"functions": fns, "file_symbols": replaced("file_symbols", extract.file_symbols(u)),

@@ -1,7 +1,12 @@
 """Small C texts with the records they must give."""
 
 import hashlib
+import random
+import time
 
+import pyarrow as pa
+
+from lodestone.functions.segments import BRACE, FLAGS, START, STOP, marks_of
 from lodestone.operators import extract
 
 SAMPLE = '''\
@@ -53,7 +58,7 @@ def test_structs_typedefs_globals(spark, files):
         ("<anonymous>", ["int x", "struct inner in", "void cb"]), ("inner", ["char c", "char d"]),
         ("tag", ["int a"]), ("ptr_t", ["unsigned long a"])]
     assert rows(extract.typedefs(u), "alias", "original") == [
-        ("cmp_t", "int"), ("tag_t", "<complex type>"), ("ptr_t", "<complex type>"), ("local_t", "int")]
+        ("cmp_t", "int"), ("tag_t", "<complex type>"), ("tag_p", "<complex type>"), ("ptr_t", "<complex type>"), ("local_t", "int")]
     assert rows(extract.globals_(u), "name", "type") == [
         ("gp", "int"), ("table", "int"), ("fp", "int"), ("arr", "int"), ("bar", "struct foo"), ("baz", "struct foo"),
         ("paint", "enum color"), ("anon", "static const struct"), ("a1", "int"), ("b1", "int"), ("vv", "float"),
@@ -106,3 +111,36 @@ def test_snippet_and_hash_take_whole_lines(spark, files):
     row = extract.functions(u).collect()[0]
     assert row.code_snippet == "int x; int f(void) {\n} int y;\n"
     assert row.code_hash == hashlib.md5(row.code_snippet.encode()).hexdigest()
+
+
+def test_marks_against_brute_force():
+    rng = random.Random(3)
+    lists = []
+    for size in (0, 1, 40, 300):
+        depth, codes = rng.choice([0, -2]), []
+        for _ in range(size):
+            codes.append(depth * FLAGS + rng.choice([0, 0, START, STOP, BRACE]))
+            depth += rng.choice([-1, 0, 0, 1])
+        lists.append(codes)
+
+    def after(codes, at, depth, flag):
+        return next((j for j in range(at + 1, len(codes)) if codes[j] // FLAGS == depth and codes[j] % FLAGS & flag), None)
+
+    want = []
+    for codes in lists:
+        rows = []
+        for i in (i for i, c in enumerate(codes) if c % FLAGS & START):
+            k = after(codes, i, codes[i] // FLAGS, STOP)
+            rows.append({"i": i, "k": k, "e": None if k is None else after(codes, k, codes[i] // FLAGS + 1, BRACE)})
+        want.append(rows)
+    assert marks_of(pa.array(lists, pa.list_(pa.int32()))).to_pylist() == want
+    assert marks_of(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+
+
+def test_a_large_unit_takes_seconds(spark, files):
+    body = "".join(f"struct foo *p{i} = get({i}, x + y);\n" for i in range(8000))  # about 100,000 tokens
+    u = extract.units(files(a_DOT_c="struct foo *f(int a) {\nstruct own { int a; } o; typedef int t, u;\n" + body + "}\n"))
+    start = time.time()
+    assert [(r.name, r.fields) for r in extract.structs(u).collect()] == [("own", ["int a"])]
+    assert [r.alias for r in extract.typedefs(u).collect()] == ["t", "u"]
+    assert time.time() - start < 60

@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import codemap, extract, graph
-from lodestone.operators.skew import paged_lists, position_in_group, salted_join
+from lodestone.operators.skew import paged_lists, position_in_group, skewed_join
 
 
 def build(df):
@@ -75,13 +77,13 @@ def test_code_map_keeps_every_caller_on_its_pages(spark, files):
     assert [f.prototype for f in by_path["c.h"].functions] == [True]
 
 
-def test_salted_join_and_positions_against_brute_force(spark):
+def test_skewed_join_and_positions_against_brute_force(spark):
     rng = random.Random(1)
     left = [(rng.choice(["hot", "hot", "a", "b", "z"]), i) for i in range(500)]
     right = [("hot", 1), ("a", 2), ("b", 3), ("c", 4)]
     l_df, r_df = spark.createDataFrame(left, "k string, i int"), spark.createDataFrame(right, "k string, x int")
     lookup = dict(right)
-    got = salted_join(l_df, r_df, "k", l_df["i"], "left").collect()
+    got = skewed_join(l_df, r_df, "k", "left").collect()
     assert sorted((r.k, r.i, r.x or 0) for r in got) == sorted((k, i, lookup.get(k, 0)) for k, i in left)
     placed = position_in_group(l_df, "k", "i", "n", width=7).collect()
     seen, want = {}, {}
@@ -89,3 +91,30 @@ def test_salted_join_and_positions_against_brute_force(spark):
         want[i] = seen.get(k, 0)
         seen[k] = want[i] + 1
     assert {r.i: r.n for r in placed} == want
+    sparse = l_df.withColumn("t", F.col("i").cast("bigint") * 1_000_003 - 7)
+    assert {r.i: r.n for r in position_in_group(sparse, "k", "t", "n").collect()} == want
+    assert position_in_group(l_df.where("i < 0"), "k", "i", "n").count() == 0
+
+
+def test_a_hot_name_is_split(spark):
+    """90 % of the rows on one name: adaptive execution splits them, and nothing is lost or repeated."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        sites = spark.range(0, 60_000, 1, 8).select(
+            F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id"))).alias("callee"), "id")
+        fns = sites.select("callee", "id", F.lit(False).alias("is_prototype"), F.concat(F.lit("p"), F.col("id") % 5).alias("path"))
+        names = graph.directory(fns.select(F.col("callee").alias("name"), "is_prototype", "path", F.col("id").alias("ordinal"),
+                                           F.md5(F.col("id").cast("string").cast("binary")).alias("function_key")))
+        joined = graph.resolve(sites, names)
+        assert len(joined.select("id").distinct().collect()) == joined.count() == 60_000
+        joined = graph.resolve(sites, names)
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan and "Generate" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -63,8 +63,8 @@ def test_upsert_twice_is_once(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == want
 
 
-def one_by_one(bases):
-    taken, out = set(), []
+def one_by_one(bases, known=()):
+    taken, out = set(known), []
     for base in bases:
         name, n = base, 0
         while name in taken:
@@ -83,6 +83,15 @@ def test_unique_names_as_if_one_by_one(spark):
         assert got == one_by_one(bases), bases
 
 
+def test_unique_names_beside_a_known_registry(spark):
+    for known, bases in ((["x", "x_1", "x_3", "x_4", "x_01", "y_2"], ["x", "x", "y", "x", "x", "y", "y", "y_2", "z"]),
+                         (["x_1", "x_1_1"], ["x_1", "x", "x", "x_1", "x_2", "x"]), (["q"], [])):
+        df = spark.createDataFrame(list(enumerate(bases)), "seq bigint, base string")
+        taken = spark.createDataFrame([(n,) for n in known], "name string")
+        got = [r.name for r in projects.unique_names(df, "base", "seq", taken=taken).orderBy("seq").collect()]
+        assert got == one_by_one(bases, known), (known, bases)
+
+
 def failing_on_bad(requests, options):
     if any("bad" in r.prompt for r in requests):
         raise RuntimeError("no")

@@ -224,7 +224,7 @@ def refine_prompt(spark, d):
 @query("function_prompt", f"""WITH {fx.SQL_SOURCES}
 SELECT function_key, md5({_SQL_FN_PROMPT}) AS prompt_hash, md5({_fn_refine_sql("name")}) AS refine_hash FROM functions""")
 def function_prompt(spark, d):
-    fns = extract.functions(extract.units(fx.sources(spark, d)))
+    fns = extract.functions(settled(extract.units(fx.sources(spark, d))))
     return fns.select(
         "function_key", F.md5(prompts.function_prompt(F.col("code_snippet")).cast("binary")).alias("prompt_hash"),
         F.md5(prompts.function_refine_prompt(F.col("name")).cast("binary")).alias("refine_hash"))
@@ -252,7 +252,7 @@ one AS (SELECT function_key, {_digest_sql(_SQL_FN_PROMPT)} AS s FROM functions)
 SELECT function_key, 'c9' AS commit_sha, s AS summary, {_digest_sql(_fn_refine_sql("s"))} AS summary_refined,
        CAST(NULL AS VARCHAR) AS error FROM one""")
 def summarize_functions(spark, d):
-    fns = extract.functions(extract.units(fx.sources(spark, d)))
+    fns = extract.functions(settled(extract.units(fx.sources(spark, d))))
     done = summarize.summarize_functions(fns, "c9")
     return done.select("function_key", "commit_sha", "summary", "summary_refined", "error")
 
@@ -347,6 +347,17 @@ def project_register(spark, d):
     return projects.register(fx.repo_urls(spark, d), "/projects")
 
 
+@query("project_register_known", f"""WITH {fx.SQL_URLS},
+later AS (SELECT *, row_number() OVER (PARTITION BY safe_name ORDER BY seq % 2 DESC, seq) - 1 AS n FROM safe)
+SELECT name, '/projects/' || name AS path, git_url FROM (
+  SELECT safe_name || CASE WHEN n = 0 THEN '' ELSE '_' || n END AS name, git_url, seq FROM later) WHERE seq % 2 = 0""")
+def project_register_known(spark, d):
+    """The pages of even number, against a registry that holds the odd ones."""
+    urls = fx.repo_urls(spark, d)
+    known = settled(projects.register(urls.where("seq % 2 = 1"), "/projects"))
+    return projects.register(urls.where("seq % 2 = 0"), "/projects", known=known).select("name", "path", "git_url")
+
+
 @query("project_list", _SQL_PROJECTS)
 def project_list(spark, d):
     return projects.list_projects(settled(projects.register(fx.repo_urls(spark, d), "/projects/")))

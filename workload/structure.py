@@ -95,7 +95,7 @@ def function_return_type(spark, d):
 @query("function_parameters", f"""WITH {fx.SQL_SOURCES}
 SELECT path, name, start_line, parameters FROM functions""")
 def function_parameters(spark, d):
-    return extract.functions(_units(spark, d)).select("path", "name", "start_line", "parameters")
+    return extract.functions(settled(_units(spark, d))).select("path", "name", "start_line", "parameters")
 
 
 @query("extract_prototypes", f"""WITH {fx.SQL_HEADERS}
@@ -174,13 +174,13 @@ SELECT function_key, file_key, path, name, return_type, parameters, start_line,
        md5(snippet) AS code_hash, snippet AS code_snippet, ordinal FROM functions""")
 def functions_table(spark, d):
     # the prologue of a .c file makes two units, so its functions start at 2
-    return extract.functions(_units(spark, d))
+    return extract.functions(settled(_units(spark, d)))
 
 
 @query("params_json", f"""WITH {fx.SQL_SOURCES}
 SELECT function_key, '["' || replace(parameters, '|', '","') || '"]' AS parameters FROM functions""")
 def params_json(spark, d):
-    return extract.functions(_units(spark, d)).select(
+    return extract.functions(settled(_units(spark, d))).select(
         "function_key", text.encode_parameters("parameters").alias("parameters"))
 
 
@@ -473,5 +473,5 @@ WHERE brand = 'brand7' OR (brand = 'brand8' AND NOT is_prototype)
 UNION ALL SELECT 'a_legacy/' || path, name, occurrence, 'deleted' FROM keyed WHERE brand = 'brand9'""")
 def changed_functions(spark, d):
     new = settled(fx.sources(spark, d))
-    return snapshots.changed_functions(extract.functions(extract.units(fx.old_sources(new))),
-                                       extract.functions(extract.units(new)))
+    return snapshots.changed_functions(extract.functions(settled(extract.units(fx.old_sources(new)))),
+                                       extract.functions(settled(extract.units(new))))
