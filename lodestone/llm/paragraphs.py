@@ -7,10 +7,10 @@
    over the texts; its result is written.
 2. Equal paragraphs are one from here on (a row per distinct paragraph after a partial
    aggregation), so a line that a third of all documents hold costs one row per task.
-3. Bands are tuned for recall: as few as give ``RECALL`` at the wanted similarity.  A bucket
-   is read in order; exact Jaccard similarity of the shingle sets links a paragraph with every
-   leader of the bucket that it is similar to, and one that is like none of them leads from
-   then on.  So near copies meet few leaders, not each other, and only leaders are held.
+3. Bands are tuned for recall: as few as give ``RECALL`` at the wanted similarity.  All pairs
+   of a bucket are decided by the exact Jaccard similarity of the shingle sets; pairs are
+   passed over only where the triangle inequality decides them (see ``jaccard``).  Buckets
+   above a size are dealt to tiles and compared tile with tile.
 4. Components of the links are the clusters.  A cluster is a repeat when several documents
    hold it; neighbouring repeated paragraphs of a document that have ``PASSAGE`` or more
    words together are repeated passages.
@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm import jaccard
 from lodestone.llm.common import column, table, text_of
 from lodestone.llm.components import components
 from lodestone.session import settled
@@ -110,30 +111,6 @@ def _packed(places, hashes, ends, a, b, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
 
 
-def _linker(similarity: float):
-    """Rows sorted by bucket: each meets the bucket's leaders, and leads itself if like none of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, leaders = None, []
-        for batch in batches:
-            out = []
-            for b, key, h, sent in zip(*(batch.column(n).to_pylist() for n in ("b", "key", "h", "shingles"))):
-                if (b, key) != bucket:
-                    bucket, leaders = (b, key), []
-                own, alone = set(np.frombuffer(sent, dtype=np.uint32).tolist()), True
-                for leader, other in leaders:
-                    both = len(own & other)
-                    if both and both >= similarity * (len(own) + len(other) - both):
-                        out.append((h, leader))
-                        alone = False
-                if alone:
-                    leaders.append((h, own))
-            u, v = zip(*out) if out else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return run
-
-
 def found(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, recall: float = RECALL, least: int = LEAST,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All paragraphs with their band keys and shingles, written to the shared folder."""
@@ -145,16 +122,10 @@ def found(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, rec
 
 
 def links(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(u, v)`` of distinct paragraphs, by hash, that are similar."""
-    distinct = paragraphs.groupBy("h").agg(F.first("bands").alias("bands"))
-    entries = distinct.select("h", F.posexplode("bands").alias("b", "key"))
-    shared = settled(entries.groupBy("b", "key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("b", "key"))
-    # what is alone in all of its buckets goes no further
-    left = settled(entries.join(shared, ["b", "key"]))
-    needed = settled(left.select("h").distinct())
-    sets = paragraphs.select("h", "shingles").join(needed, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
-    return (left.join(sets, "h").repartition("b", "key").sortWithinPartitions("b", "key", "h")
-            .mapInArrow(_linker(similarity), "u long, v long").distinct())
+    """``(u, v)`` of distinct paragraphs, by hash, whose components are those of all similar pairs that share a bucket."""
+    distinct = paragraphs.groupBy("h").agg(F.first("bands").alias("bands"), F.first("words").alias("size"))
+    entries = distinct.select("h", "size", F.posexplode("bands").alias("b", "key")).select(F.xxhash64("b", "key").alias("bucket"), "h", "size")
+    return jaccard.links(entries, paragraphs, similarity)
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, passage: int = PASSAGE, id_col: str = "doc_id",

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import (chat, components, decontaminate, exact_dedup, language, mixing, paragraphs, secrets, simhash,
+from lodestone.llm import (chat, components, decontaminate, exact_dedup, jaccard, language, mixing, paragraphs, secrets, simhash,
                            token_files, toxicity)
 
 SF = "/root/testdata/sf0.001"
@@ -346,3 +346,41 @@ def test_paragraphs_against_planted_passages(spark):
         assert len(part.split()) == r.words and (part in passage or "changed" in part)
     assert paragraphs.repeated_passages(no_rows(spark)).count() == 0
     assert paragraphs.bands_for(0.8, 2, 0.99) == 5
+
+
+def test_buckets_lose_no_link_of_edit_chains(spark):
+    rng = random.Random(8)
+    sets, families = [], []
+    for family in range(6):
+        now = [rng.randrange(1 << 32) for _ in range(30)]
+        for _ in range(40):
+            families.append(frozenset(now))
+            for at in rng.sample(range(30), rng.choice((1, 3, 3, 5))):
+                now[at] = rng.randrange(1 << 32)
+            if rng.random() < 0.3:
+                now = list(rng.choice(families))
+    names = [rng.randrange(-(1 << 62), 1 << 62) for _ in families]
+    sets = [(h, np.sort(np.array(list(s), dtype=np.uint32)).tobytes()) for h, s in zip(names, families)]
+    like = [(names[i], names[j]) for i in range(len(names)) for j in range(i) if len(families[i] & families[j]) >= 0.8 * len(families[i] | families[j])]
+    want = classes(names, like)
+    assert 6 < len(set(want.values())) < len(names)
+    assert classes(names, jaccard.forest(sets, 0.8)) == want
+    entries = spark.createDataFrame([(1, h, 30) for h in names], "bucket long, h long, size int")
+    frame = spark.createDataFrame([(h, bytearray(s)) for h, s in sets], "h long, shingles binary")
+    for tile, cells in ((4096, 1 << 20), (50, 1 << 20), (4096, 900)):
+        assert classes(names, [(r.u, r.v) for r in jaccard.links(entries, frame, 0.8, tile, cells).collect()]) == want
+
+
+def test_paragraph_that_is_only_like_a_follower(spark):
+    """A - B - C, B an edit of A and C of B: whatever leads, a document that holds C alone is found."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(30):
+        a = [f"w{rng.randrange(10 ** 9)}" for _ in range(60)]
+        b = a[:20] + ["edited"] + a[21:]
+        c = b[:40] + ["again"] + b[41:]
+        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate((a, b, c))]
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(56)} for i, t in rows}
+    assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) and len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2])
+    got = {r.doc_id: r.cluster_doc for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), recall=1 - 1e-6).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
