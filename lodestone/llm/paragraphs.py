@@ -3,8 +3,8 @@
 1. Paragraphs are lines; a line is cut further behind full stops whose last word has an even
    hash, so that a passage that was put into other lines falls into the same pieces.  For
    every paragraph of ``LEAST`` or more words: its place, a hash of its lower-cased words,
-   MinHash band keys, and its set of hashed shingles of five words.  This is the only pass
-   over the texts; its result is written.
+   MinHash band keys, and its set of hashed shingles of five words.  Shorter paragraphs have
+   place and hash only.  The result is written.
 2. Equal paragraphs are one from here on (a row per distinct paragraph after a partial
    aggregation), so a line that a third of all documents hold costs one row per task.
 3. Bands are tuned for recall: as few as give ``RECALL`` at the wanted similarity.  All pairs
@@ -13,12 +13,19 @@
    above a size are dealt to tiles and compared tile with tile.
 4. Components of the links are the clusters.  A cluster is a repeat when several documents
    hold it; neighbouring repeated paragraphs of a document that have ``PASSAGE`` or more
-   words together are repeated passages.
+   words together are repeated passages.  Paragraphs below ``LEAST`` words are repeated when
+   another document holds the same; they count in a run but make none by themselves.
+5. Verbatim passages wherever they begin, across lines and sentences: a second pass hashes
+   every ``PASSAGE`` consecutive words and keeps the smallest hash of every ``GAP``
+   neighbouring positions.  So two texts that share ``PASSAGE + GAP - 1`` = 41 words in a row
+   share a kept hash, for certain.  Kept hashes of several documents are joined in each text
+   to spans; a span can end up to ``GAP - 1`` words inside the shared passage.
 
 Defined results: null and empty texts have no paragraphs; the first paragraph of a cluster,
-by identifier and place, stays, the others are marked ``removed``; rows that repeat an
-identifier are one document with the paragraphs of both; rows without identifier are not
-reported.  An empty table gives no rows.
+by identifier and place, stays, the others are marked ``removed``; so with verbatim spans.  Rows
+of spans and of paragraphs can overlap (a span inside one reported paragraph is left out unless
+it alone is marked); what any row marks goes.  Rows that repeat an identifier are one document with the
+paragraphs of both; rows without identifier are not reported.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +46,7 @@ from lodestone.session import settled
 
 LEAST, SHINGLE, SIMILARITY = 8, 5, 0.8
 ROWS, RECALL = 2, 0.99
-PASSAGE = 30
+PASSAGE, GAP = 30, 12
 _PIECE = re.compile(r"[^\n]+")
 _STOP = re.compile(r"(\S+)\.(?=\s)")
 
@@ -75,27 +82,32 @@ def _reader(bands: int, rows: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _multipliers(bands * rows)
         for batch in batches:
-            places, hashes, ends = [], [], [0]
+            places, hashes, ends, short = [], [], [0], []
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                for no, (s, e) in enumerate(pieces(text)):
+                no = -1
+                for s, e in pieces(text):
                     words = text[s:e].lower().encode("utf-8", "surrogatepass").split()
-                    if len(words) < least:
+                    if not words:
                         continue
+                    no += 1
                     joined = b" ".join(words)
+                    if len(words) < least:
+                        short.append((doc, no, s, e - s, len(words), xxhash.xxh64_intdigest(joined) - (1 << 63)))
+                        continue
                     edge = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1).tolist()
                     begin = [0, *edge]
                     hashes.extend(xxhash.xxh64_intdigest(joined[begin[i]:edge[i + SHINGLE - 1] - 1]) for i in range(len(words) - SHINGLE + 1))
                     ends.append(len(hashes))
                     places.append((doc, no, s, e - s, len(words), xxhash.xxh64_intdigest(joined) - (1 << 63)))
                 if len(hashes) > (1 << 20):
-                    yield _packed(places, hashes, ends, a, b, rows)
-                    places, hashes, ends = [], [], [0]
-            yield _packed(places, hashes, ends, a, b, rows)
+                    yield _packed(places, hashes, ends, short, a, b, rows)
+                    places, hashes, ends, short = [], [], [0], []
+            yield _packed(places, hashes, ends, short, a, b, rows)
 
     return run
 
 
-def _packed(places, hashes, ends, a, b, rows) -> pa.RecordBatch:
+def _packed(places, hashes, ends, short, a, b, rows) -> pa.RecordBatch:
     n, h = len(places), np.array(hashes, dtype=np.uint64)
     sets = [np.unique(h[s:e].astype(np.uint32)).tobytes() for s, e in zip(ends, ends[1:])]
     keys = np.zeros((n, len(a) // rows), dtype=np.uint64)
@@ -104,10 +116,10 @@ def _packed(places, hashes, ends, a, b, rows) -> pa.RecordBatch:
         mixed ^= mixed >> np.uint64(31)
         low = np.minimum.reduceat(mixed, ends[:-1])
         keys[:, k // rows] = keys[:, k // rows] * np.uint64(0x9E3779B97F4A7C15) + low
-    columns = list(zip(*places)) if n else [[]] * 6
+    columns = list(zip(*places, *short)) if n or short else [[]] * 6
     arrays = [pa.array(c, f.type) for c, f in zip(columns, _FOUND)]
-    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1], pa.int32())
-    arrays += [pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())), pa.array(sets, pa.binary())]
+    offsets = pa.array(np.minimum(np.arange(n + len(short) + 1, dtype=np.int32), n) * keys.shape[1], pa.int32())
+    arrays += [pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel())), pa.array(sets + [b""] * len(short), pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, schema=_FOUND)
 
 
@@ -123,17 +135,128 @@ def found(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, rec
 
 def links(paragraphs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``(u, v)`` of distinct paragraphs, by hash, whose components are those of all similar pairs that share a bucket."""
-    distinct = paragraphs.groupBy("h").agg(F.first("bands").alias("bands"), F.first("words").alias("size"))
+    distinct = paragraphs.where(F.size("bands") > 0).groupBy("h").agg(F.first("bands").alias("bands"), F.first("words").alias("size"))
     entries = distinct.select("h", "size", F.posexplode("bands").alias("b", "key")).select(F.xxhash64("b", "key").alias("bucket"), "h", "size")
     return jaccard.links(entries, paragraphs, similarity)
 
 
+# -- verbatim passages
+
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_WINDOWS = pa.schema([("doc", pa.int64()), ("t", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64())])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def windows(text: str, size: int = PASSAGE, gap: int = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, start and end character, hash) of the kept windows of ``size`` words."""
+    words = text.lower().encode("utf-8", "surrogatepass").split()
+    n = len(words) - size + 1
+    if n < 1:
+        return (np.zeros(0, dtype=np.int64),) * 3 + (np.zeros(0, dtype=np.uint64),)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(h * _powers(_BASE, len(h)), dtype=np.uint64)))
+    mixed = (sums[size:] - sums[:-size]) * _powers(_BACK, n)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    near = np.lib.stride_tricks.sliding_window_view(mixed, min(gap, n))
+    at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
+    chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    return at, chars[edges[0::2][at]], chars[edges[1::2][at + size - 1]], mixed[at]
+
+
+def _windows(size: int, gap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+                at, start, end, h = windows(text, size, gap)
+                if len(at):
+                    t = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                    columns = [np.full(len(at), doc), np.full(len(at), t), at, start, end, h.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, _WINDOWS)], schema=_WINDOWS)
+
+    return run
+
+
+_SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("chars", pa.int64()), ("words", pa.int64()), ("cluster_doc", pa.int64()),
+                    ("cluster_no", pa.int64()), ("removed", pa.bool_())])
+
+
+def _joined(doc: int, held: list[tuple], size: int) -> list[tuple]:
+    """Disjoint rows of one text from its repeated windows ``(at, start, end, first doc, first at, removed)``."""
+
+    def unions(rows):
+        out = []
+        for at, start, end, first_doc, first_at, _ in sorted(rows):
+            if out and at <= out[-1][1]:
+                out[-1][1], out[-1][3] = max(out[-1][1], at + size), max(out[-1][3], end)
+            else:
+                out.append([at, at + size, start, end, first_doc, first_at])
+        return out
+
+    gone = unions(r for r in held if r[5])
+    rows = [(*g, True) for g in gone]
+    for at, till, start, end, first_doc, first_at in unions(r for r in held if not r[5]):
+        for g in gone:
+            if g[0] < till and g[1] > at:
+                if g[0] > at:
+                    rows.append((at, g[0], start, g[2], first_doc, first_at, False))
+                at, start = g[1], g[3]
+        if at < till:
+            rows.append((at, till, start, end, first_doc, first_at, False))
+    return [(doc, start, end - start, till - at, first_doc, first_at, removed) for at, till, start, end, first_doc, first_at, removed in rows]
+
+
+def _spans(size: int):
+    """Windows sorted by document and text."""
+
+    def batch_of(rows):
+        columns = list(zip(*rows)) if rows else [[]] * len(_SPANS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SPANS)], schema=_SPANS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, held = None, []
+        for batch in batches:
+            out = []
+            for doc, t, *window in zip(*(batch.column(n).to_pylist() for n in ("doc", "t", "at", "start", "end", "first_doc", "first_at", "removed"))):
+                if (doc, t) != text:
+                    out += _joined(text[0], held, size) if held else []
+                    text, held = (doc, t), []
+                held.append(tuple(window))
+            yield batch_of(out)
+        yield batch_of(_joined(text[0], held, size) if held else [])
+
+    return run
+
+
+def verbatim(docs: DataFrame, passage: int = PASSAGE, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Spans that other documents hold word for word; ``cluster_no`` is the span's first word in ``cluster_doc``."""
+    read = docs.where(column(id_col).isNotNull()).select(column(id_col).cast("bigint").alias("doc"), text_of(text_col).alias("text"))
+    kept = settled(read.mapInArrow(_windows(passage, gap), "doc long, t long, at int, start int, end int, h long"))
+    repeats = settled(kept.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "at", "t")).alias("first"))
+                      .where("low <> high").select("h", "first"))
+    held = kept.join(repeats, "h").select("doc", "t", "at", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"),
+                                          (F.struct("doc", "at", "t") != F.col("first")).alias("removed"))
+    return held.repartition("doc").sortWithinPartitions("doc", "t", "at").mapInArrow(
+        _spans(passage), "doc long, start long, chars long, words long, cluster_doc long, cluster_no long, removed boolean")
+
+
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, passage: int = PASSAGE, id_col: str = "doc_id",
                       text_col: str = "text", **how) -> DataFrame:
-    """One row per paragraph of a repeated passage: id, start, chars, words, cluster, removed.
+    """One row per paragraph or verbatim span of a repeated passage: id, start, chars, words, cluster, removed.
 
     ``start`` and ``chars`` are characters of the text; ``cluster`` is the smallest identifier
-    of a document that holds the cluster, and the paragraph's number there.
+    of a document that holds the cluster, and the number there of the paragraph or of the
+    span's first word.
     """
     paragraphs = found(docs, similarity, id_col=id_col, text_col=text_col, **how)
     roots = settled(components(links(paragraphs, similarity)).select(F.col("node").alias("h"), "root"))
@@ -145,11 +268,16 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, passage:
     # neighbours in a document: a run is where the number less the rank stays the same
     runs = held.withColumn("_run", F.col("no") - F.dense_rank().over(Window.partitionBy("doc").orderBy("no")))
     total = F.sum("words").over(Window.partitionBy("doc", "_run"))
-    return (runs.withColumn("_total", total).where(F.col("_total") >= passage)
-            .select(F.col("doc").alias(id_col), F.col("start").cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("chars"),
-                    F.col("words").cast("bigint").alias("words"), F.col("first.doc").alias("cluster_doc"),
-                    F.col("first.no").cast("bigint").alias("cluster_no"),
-                    ((F.col("doc") != F.col("first.doc")) | (F.col("no") != F.col("first.no"))).alias("removed")))
+    longest = F.max("words").over(Window.partitionBy("doc", "_run"))
+    near = settled(runs.withColumn("_total", total).withColumn("_longest", longest)
+                   .where((F.col("_total") >= passage) & (F.col("_longest") >= how.get("least", LEAST)))
+                   .select("doc", F.col("start").cast("bigint").alias("start"), F.col("chars").cast("bigint").alias("chars"),
+                           F.col("words").cast("bigint").alias("words"), F.col("first.doc").alias("cluster_doc"),
+                           F.col("first.no").cast("bigint").alias("cluster_no"),
+                           ((F.col("doc") != F.col("first.doc")) | (F.col("no") != F.col("first.no"))).alias("removed")))
+    spans = verbatim(docs, passage, id_col=id_col, text_col=text_col).alias("s")
+    inside = (F.expr("s.doc = p.doc AND (p.removed OR NOT s.removed) AND s.start >= p.start AND s.start + s.chars <= p.start + p.chars"))
+    return near.union(spans.join(near.alias("p"), inside, "left_anti")).withColumnRenamed("doc", id_col)
 
 
 def op9_paragraphs(spark, sf_dir: str) -> DataFrame:

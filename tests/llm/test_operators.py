@@ -384,3 +384,45 @@ def test_paragraph_that_is_only_like_a_follower(spark):
     assert len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]) and len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2])
     got = {r.doc_id: r.cluster_doc for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), recall=1 - 1e-6).collect()}
     assert got == {i: i - i % 3 for i, _ in rows}
+
+
+def test_verbatim_passages_anywhere(spark):
+    """51 words that two texts share, set mid-line, as short sentences and as short lines, none in a paragraph of its own."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"é{rng.randrange(10 ** 9)}" for _ in range(n)]
+    rows, planted = [], {}
+    for k in range(40):
+        shared = fresh(51)
+        if k % 4 == 1:
+            shared = [w + "." * (i % 6 == 5) for i, w in enumerate(shared)]
+        sep = "\n" if k % 4 == 2 else " "
+        passage = "".join(w + (sep if i % 5 == 4 else " ") for i, w in enumerate(shared)).strip()
+        if k % 4 == 3:  # 28 + 5 + 25 words
+            shared = fresh(58)
+            passage = "\n".join((" ".join(shared[:28]), " ".join(shared[28:33]), " ".join(shared[33:])))
+        for doc in (2 * k, 2 * k + 1):
+            before = " ".join(fresh(rng.randint(10, 40)))
+            rows.append((doc, f"{before} {passage} {' '.join(fresh(rng.randint(10, 40)))}"))
+            planted[doc] = (len(before) + 1, passage)
+    rows += [(1000 + i, " ".join(fresh(80))) for i in range(20)]
+    got = collections.defaultdict(list)
+    text = dict(rows)
+    for r in paragraphs.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert len(text[r.doc_id][r.start:r.start + r.chars].split()) == r.words
+        assert r.removed == (r.doc_id % 2 == 1) and r.cluster_doc == r.doc_id - r.doc_id % 2
+        got[r.doc_id].append((r.start, r.start + r.chars))
+    assert set(got) == set(planted)
+    for doc, (start, passage) in planted.items():
+        found = set().union(*(range(*x) for x in got[doc]))
+        assert found <= set(range(start, start + len(passage)))
+        lost = "".join(c if start + i not in found else " " for i, c in enumerate(passage))
+        assert len(passage.split()) - len(lost.split()) >= 30
+
+
+def test_any_shared_passage_of_41_words_has_a_common_window():
+    rng = random.Random(13)
+    for _ in range(300):
+        words = [str(rng.randrange(10 ** 6)) for _ in range(41)]
+        own = [set(paragraphs.windows(" ".join([str(rng.randrange(10 ** 6)) for _ in range(rng.randrange(60))] + words +
+                                               [str(rng.randrange(10 ** 6)) for _ in range(rng.randrange(60))]))[3].tolist()) for _ in range(2)]
+        assert own[0] & own[1]
