@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import jaccard
 from lodestone.llm.common import column, packed, table, text_of, unpacked
 from lodestone.llm.components import components
 from lodestone.session import settled
@@ -222,16 +223,51 @@ def near_classes(docs: DataFrame, radius: int = 3, shingle: int = 3, words: int
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, radius: int = 22, shingle: int = 5, words: int = 2, parts: int = 1,
-                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _described(shingle: int, words: int, sets: bool):
+    """Fingerprint and hash of the words of each text, or that hash and the set of hashed shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                texts = [t.as_py() for t in batch.column("text")[at:at + 256]]
+                split = [t.lower().split() for t in texts]
+                hashes = pa.array([xxhash.xxh64_intdigest(b" ".join(p)) - (1 << 63) for p in split], pa.int64())
+                if sets:
+                    found = [np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(p[i:i + shingle])) for i in range(max(1, len(p) - shingle + 1))],
+                                                dtype=np.uint32)) for p in split]
+                    yield pa.RecordBatch.from_arrays([hashes, pa.array([f.tobytes() for f in found], pa.binary())], ["h", "shingles"])
+                else:
+                    hexed = ["".join(f"{int(x):016x}" for x in fingerprint(t, shingle, words)) for t in texts]
+                    sizes = pa.array([max(1, len(p) - shingle + 1) for p in split], pa.int32())
+                    yield pa.RecordBatch.from_arrays([batch.column("id")[at:at + 256], pa.array(hexed, pa.string()), hashes, sizes],
+                                                     ["id", "fp", "h", "size"])
+
+    return run
+
+
+def without_near_copies(docs: DataFrame, radius: int = 32, shingle: int = 5, words: int = 2, parts: int = 1,
+                        id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``docs`` with the document of smallest identifier of each class of near copies.
 
-    The defaults stand for a similarity of 0.8 on sets of five words: such texts differ in
-    acos(2 * 0.8 / 1.8) / pi = 15 % of 128 bits on average, 19 bits, and a text of its own
-    in 64; the radius leaves room above the average.  Rows without an identifier stay.
+    Near copies have sets of ``shingle`` words of Jaccard similarity ``similarity`` or more.  The
+    fingerprints only say which texts to compare: at 0.8 they differ in acos(2 * 0.8 / 1.8) / pi
+    = 15 % of 128 bits on average, 19.4 bits with deviation 4, so the radius of 32 lies three
+    deviations above.  All texts in a component of fingerprints within the radius are then
+    compared by their sets (``jaccard``), and classes are made of those links alone; so a text
+    only goes when it is linked by real similarity.  Texts of the same words are one; texts of
+    fewer words are one shingle.  Rows without an identifier stay.
     """
-    classes = near_classes(docs, radius, shingle, words, parts, id_col, text_col)
-    dropped = settled(classes.where(column(id_col) != F.col("component_id")).select(column(id_col).alias("_id")).distinct())
+    rows = docs.select(column(id_col).cast("bigint").alias("id"), text_of(text_col).cast("binary").alias("text"))
+    prints = settled(rows.mapInArrow(_described(shingle, words, False), "id long, fp string, h long, size int"))
+    roots = components(links(prints.select("fp").distinct(), radius, words, parts)).withColumnRenamed("node", "fp")
+    texts = prints.groupBy("h").agg(F.first("fp").alias("fp"), F.first("size").alias("size"))
+    entries = settled(texts.join(roots, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp")).alias("bucket"), "h", "size"))
+    sets = rows.select("id", "text").mapInArrow(_described(shingle, words, True), "h long, shingles binary")
+    near = components(jaccard.links(entries, sets, similarity)).withColumnRenamed("node", "h")
+    rooted = prints.groupBy("h").agg(F.min("id").alias("low")).join(near, "h", "left").select("h", "low", F.coalesce("root", "h").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
+    classes = rooted.join(lowest, "root").select("h", "lowest")
+    dropped = settled(prints.join(classes, "h").where("id <> lowest").select(F.col("id").alias("_id")).distinct())
     rows = packed(docs, column(id_col).cast("bigint").alias("_id"))
     return unpacked(rows.join(dropped, "_id", "left_anti"))
 

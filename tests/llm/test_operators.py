@@ -426,3 +426,26 @@ def test_any_shared_passage_of_41_words_has_a_common_window():
         own = [set(paragraphs.windows(" ".join([str(rng.randrange(10 ** 6)) for _ in range(rng.randrange(60))] + words +
                                                [str(rng.randrange(10 ** 6)) for _ in range(rng.randrange(60))]))[3].tolist()) for _ in range(2)]
         assert own[0] & own[1]
+
+
+def test_stage_decides_by_exact_similarity(spark):
+    """Pairs just above 0.8 go, pairs at 0.7 and short unrelated texts stay."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.randrange(10 ** 8)}" for _ in range(n)]
+    sets = lambda t: {tuple(t[i:i + 5]) for i in range(len(t) - 4)}
+    rows, near = [], set()
+    for k in range(300):
+        text, low = fresh(200), (0.8, 0.7)[k % 2]
+        other = list(text)
+        while True:
+            tried = list(other)
+            tried[rng.randrange(200)] = fresh(1)[0]
+            if len(sets(text) & sets(tried)) < low * len(sets(text) | sets(tried)):
+                break
+            other = tried
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+        near |= {2 * k + 1} if k % 2 == 0 else set()
+    rows += [(1000 + i, " ".join(fresh(6))) for i in range(400)]
+    kept = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert gone <= near and len(gone) >= 0.97 * len(near)
