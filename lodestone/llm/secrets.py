@@ -1,18 +1,21 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are runs of ``LEAST`` or more characters that keys are made of.  Each is
-described by its length, character classes and their changes, entropy, how usual its
+Candidates are values of any length that are quoted, assigned (behind = or :) or a password in
+``user:password@host``, and runs of ``LEAST`` or more characters that keys are made of, with
+and without the punctuation inside them (``= :`` only in the values).  No other length or
+look is asked for; the forest judges.  Each is described by its length, character classes and their changes, entropy, how usual its
 character transitions are and how much of it a dictionary covers (both learned from the
 words of the labelled findings' surroundings), its path, and its neighbouring words; a
 random forest of numpy decision trees, trained from labelled findings, tells secrets from
 what only looks like one.
 
 A finding is ``(path, before, value, after, label)``.  Training takes at most ``FINDINGS``
-of each label, chosen by hash, on the driver; the forest has a bounded number of nodes and
+of each label among long, short, assigned and other values, chosen by hash, on the driver; the forest has a bounded number of nodes and
 goes out with the tasks.  Scanning is a map over whole texts without a shuffle.
 
 Defined results: null and empty texts have no candidates; a candidate is as long as the run,
-however long; paths may be null; rows that repeat are scanned each.  Without findings of
+however long; paths may be null; rows that repeat are scanned each; of secrets that
+overlap the first and longest is reported.  Without findings of
 both labels every candidate gets the share of positive labels (0 if there are none).
 """
 
@@ -33,11 +36,17 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import column, held_out, table
 
-LEAST = 16
+LEAST, LONG = 6, 16
+#: One in so many short unassigned findings is kept for training (they are nearly all words).
+PLAIN = 64
 FINDINGS = 2000
 TREES, DEPTH, LEAF, SPLITS = 40, 8, 4, 24
 THRESHOLD = 0.5
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_\-]{{{LEAST},}}")
+_KEY, _MARK = r"A-Za-z0-9+/_\-", r".!@$#%^&*~|?"
+_RUN = re.compile(rf"[{_KEY}]{{{LEAST},}}")
+_MARKED = re.compile(rf"(?<![{_KEY}{_MARK}])[{_KEY}{_MARK}]{{{LEAST},}}")
+_VALUES = (re.compile(r"[=:][ \t]*(?:\"([^\"\n]+)\"|'([^'\n]+)'|(?!//)([^\s\"'=:]\S*))"), re.compile(r"\"([^\"\s]+)\"|'([^'\s]+)'"),
+           re.compile(r"(?<![\w.+\-])[\w.+\-]++:([^\s/\"']+)@(?=[\w.\-])"))
 NEAR = 40
 _WORDS = re.compile(r"[^\W\d_]+")
 _CLASS = {**{chr(c): "l" for c in range(97, 123)}, **{chr(c): "u" for c in range(65, 91)}, **{chr(c): "d" for c in range(48, 58)}}
@@ -47,8 +56,23 @@ def found(text: str | None) -> list[tuple[int, str, str, str]]:
     """(start, value, what stands before, what stands after) of every candidate."""
     if not text:
         return []
-    return [(m.start(), m.group(), text[max(0, m.start() - NEAR):m.start()], text[m.end():m.end() + NEAR])
-            for m in CANDIDATE.finditer(text)]
+    spans = {m.span() for m in _RUN.finditer(text)}
+    for m in _MARKED.finditer(text):
+        value = m.group().rstrip(".!?,")
+        start = m.end() - len(m.group().lstrip(_MARK))
+        if m.start() + len(value) - start >= LEAST:
+            spans.add((start, m.start() + len(value)))
+    for kind in _VALUES:
+        for m in kind.finditer(text):
+            start, end = m.span(m.lastindex)
+            spans.add((start, end))
+            if kind is _VALUES[0] and m.lastindex == 3:
+                # a bare value ends before quotes and what closes a clause
+                value = re.split("[\"'<>]", m.group(3), maxsplit=1)[0].rstrip(",;.)]}")
+                spans.discard((start, end))
+                if value:
+                    spans.add((start, start + len(value)))
+    return [(s, text[s:e], text[max(0, s - NEAR):s], text[e:e + NEAR]) for s, e in sorted(spans)]
 
 
 @dataclass
@@ -60,7 +84,7 @@ class Model:
     path: dict = field(default_factory=dict)
     trees: list = field(default_factory=list)
 
-    def features(self, path: str | None, before: str, value: str, after: str) -> list[float]:
+    def shape(self, value: str) -> list[float]:
         n = len(value)
         classes = "".join(_CLASS.get(c, "s") for c in value)
         counts, kinds = Counter(value), Counter(classes)
@@ -74,17 +98,21 @@ class Model:
                     break
             else:
                 at += 1
-        left, right = _neighbours(before, after)
         return [n, kinds["d"] / n, kinds["u"] / n, kinds["l"] / n, kinds["s"] / n,
                 sum(a != b for a, b in zip(classes, classes[1:])) / n,
-                -sum(c / n * math.log2(c / n) for c in counts.values()), usual, covered / n,
+                -sum(c / n * math.log2(c / n) for c in counts.values()), usual, covered / n]
+
+    def features(self, path: str | None, before: str, value: str, after: str, shape: list[float] | None = None) -> list[float]:
+        left, right = _neighbours(before, after)
+        return [*(shape or self.shape(value)),
                 self.near.get(("l", left), 0.0), self.near.get(("r", right), 0.0),
                 float(before[-1:] in "\"'="), self.path.get(path, 0.0)]
 
     def score(self, rows: list[tuple]) -> np.ndarray:
         if not self.trees or not rows:
             return np.full(len(rows), self.share)
-        x = np.array([self.features(*r) for r in rows])
+        shapes = {v: self.shape(v) for v in {r[2] for r in rows}}
+        x = np.array([self.features(*r, shapes[r[2]]) for r in rows])
         return np.mean([_ask(t, x) for t in self.trees], axis=0)
 
 
@@ -160,7 +188,7 @@ def train(findings: list[tuple], labels: list[int], seed: int = 5) -> Model:
 
 def _each(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        yield [(i, p, *c) for i, p, t in zip(*(batch.column(n).to_pylist() for n in ("id", "path", "text"))) for c in found(t)]
+        yield [(i, p, *c, k) for k, (i, p, t) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("id", "path", "text")))) for c in found(t)]
 
 
 _CANDIDATES = pa.schema([("id", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("value", pa.string()), ("before", pa.string()),
@@ -172,7 +200,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches):
         for rows in _each(batches):
-            columns = list(zip(*rows)) if rows else [[]] * 6
+            columns = list(zip(*rows))[:6] if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CANDIDATES)], schema=_CANDIDATES)
 
     return _read(docs, id_col, text_col, path_col).mapInArrow(run, "id long, path string, start long, value string, before string, after string")
@@ -187,7 +215,8 @@ def fit(findings: DataFrame, limit: int = FINDINGS) -> Model:
     """A forest from a table ``(path, before, value, after, label)``."""
     usable = findings.where("value IS NOT NULL AND label IN (0, 1)").select(
         "path", F.coalesce("before", F.lit("")).alias("before"), "value", F.coalesce("after", F.lit("")).alias("after"), "label")
-    ranked = Window.partitionBy("label").orderBy(F.xxhash64("value", "before", "after", "path"), "value", "before", "after", "path")
+    kind = [F.length("value") >= LONG, F.col("before").rlike("[\"'=:][ \t]*$")]
+    ranked = Window.partitionBy("label", *kind).orderBy(F.xxhash64("value", "before", "after", "path"), "value", "before", "after", "path")
     rows = usable.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= limit).drop("_r").collect()
     rows.sort(key=lambda r: (r["value"], r["before"], r["after"], r["path"] or "", r["label"]))
     return train([(r["path"], r["before"], r["value"], r["after"]) for r in rows], [r["label"] for r in rows])
@@ -201,8 +230,12 @@ def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: st
     def run(batches):
         model = pickle.loads(sent)
         for rows in _each(batches):
-            p = model.score([(path, before, value, after) for _, path, _, value, before, after in rows])
-            kept = [(r[0], r[2], len(r[3]), float(s)) for r, s in zip(rows, p) if s >= threshold]
+            p = model.score([(path, before, value, after) for _, path, _, value, before, after, _ in rows])
+            kept, last, till = [], None, 0
+            for r, s in sorted(((rows[i], float(p[i])) for i in np.flatnonzero(p >= threshold)), key=lambda x: (x[0][6], x[0][2], -len(x[0][3]))):
+                if r[6] != last or r[2] >= till:
+                    kept.append((r[0], r[2], len(r[3]), s))
+                    last, till = r[6], r[2] + len(r[3])
             columns = list(zip(*kept)) if kept else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
                                              ["id", "start", "length", "probability"])
@@ -214,12 +247,16 @@ def labelled(docs: DataFrame) -> DataFrame:
     """Findings of ``documents`` with a reviewer's rule as label.
 
     The tables hold no labelled findings, so a rule stands in for the reviewer: an access key
-    of fixed form, or a value that is assigned to a password or token.  The forest is given
+    of fixed form, a value that is assigned to a password or token, or the password of an address.  The forest is given
     neither the rule nor its patterns.
     """
     rule = (F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
-            | F.col("before").rlike("(?i)(password|passwd|secret|token|api[_-]?key)\\s*[=:]\\s*[\"']?$"))
-    return candidates(docs.where(~held_out())).select("path", "before", "value", "after", rule.cast("int").alias("label"))
+            | F.col("before").rlike("(?i)(password|passwd|secret|token|api[_-]?key)\\s*[=:]\\s*[\"']?$")
+            | (F.col("before").rlike("://[^\\s/:@]*:$") & F.col("after").startswith("@")))
+    rows = candidates(docs.where(~held_out())).withColumn("label", rule.cast("int"))
+    sampled = ((F.length("value") >= LONG) | F.col("before").rlike("[\"'=:][ \t]*$") | (F.col("label") == 1)
+               | (F.xxhash64("value", "before", "after") % PLAIN == 0))
+    return rows.where(sampled).select("path", "before", "value", "after", "label")
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:

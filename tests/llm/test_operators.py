@@ -449,3 +449,24 @@ def test_stage_decides_by_exact_similarity(spark):
     kept = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     gone = {i for i, _ in rows} - kept
     assert gone <= near and len(gone) >= 0.97 * len(near)
+
+
+def test_short_and_punctuated_secrets():
+    values = {'password = "Tr0ub4dor&3" x': "Tr0ub4dor&3", "password=k3y$": "k3y$", "see db://joe:p@ss:w0rd@host/x": "p@ss:w0rd",
+              "key ab1.cd2.ef3#gh4 here": "ab1.cd2.ef3#gh4", "api_key: 'a.b=c!d'": "a.b=c!d", "use zK9q2L now": "zK9q2L",
+              "secret = 'two words here'": "two words here"}
+    for text, value in values.items():
+        got = secrets.found(text)
+        assert (text.index(value), value) in {(s, v) for s, v, _, _ in got}, (text, got)
+    assert secrets.found("a, b. of") == []
+
+
+def test_short_secrets_are_scored(spark):
+    rng = random.Random(22)
+    made = lambda n: "".join(rng.choices("abcdefgh23456789", k=n - 2)) + rng.choice("!$.#") + rng.choice("XYZ")
+    plain = ["mountain", "children", "evening", "something", "harbour", "windows"]
+    rows = [(i, f"{' '.join(rng.choices(plain, k=12))} password = \"{made(8 + i % 8)}\" {' '.join(rng.choices(plain, k=12))}", "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {(r.doc_id, r.start, r.length) for r in secrets.scan(docs, secrets.fit(secrets.labelled(docs))).collect()}
+    want = {(i, t.index('"') + 1, 8 + i % 8) for i, t, _ in rows}
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
