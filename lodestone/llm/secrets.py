@@ -30,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,9 +40,12 @@ from lodestone.llm.common import column, held_out, table
 LEAST, LONG = 6, 16
 #: One in so many short unassigned findings is kept for training (they are nearly all words).
 PLAIN = 64
+#: Values whose features a task remembers.
+SHAPES = 100_000
 FINDINGS = 2000
 TREES, DEPTH, LEAF, SPLITS = 40, 8, 4, 24
 THRESHOLD = 0.5
+_SET = ("\"", "'", "=", ":")
 _KEY, _MARK = r"A-Za-z0-9+/_\-", r".!@$#%^&*~|?"
 _RUN = re.compile(rf"[{_KEY}]{{{LEAST},}}")
 _MARKED = re.compile(rf"(?<![{_KEY}{_MARK}])[{_KEY}{_MARK}]{{{LEAST},}}")
@@ -52,17 +56,26 @@ _WORDS = re.compile(r"[^\W\d_]+")
 _CLASS = {**{chr(c): "l" for c in range(97, 123)}, **{chr(c): "u" for c in range(65, 91)}, **{chr(c): "d" for c in range(48, 58)}}
 
 
-def found(text: str | None) -> list[tuple[int, str, str, str]]:
-    """(start, value, what stands before, what stands after) of every candidate."""
+def found(text: str | None, plain: int = 1) -> list[tuple[int, str, str, str]]:
+    """(start, value, what stands before, what stands after) of every candidate.
+
+    With ``plain`` above 1, of short values that are neither quoted nor assigned one in so many,
+    by hash; for training only.
+    """
     if not text:
         return []
-    spans = {m.span() for m in _RUN.finditer(text)}
+    spans = set()
     for m in _MARKED.finditer(text):
+        spans.update(r.span() for r in _RUN.finditer(text, *m.span()))
+        if m.group().isalnum():
+            continue
         value = m.group().rstrip(".!?,")
         start = m.end() - len(m.group().lstrip(_MARK))
         if m.start() + len(value) - start >= LEAST:
             spans.add((start, m.start() + len(value)))
-    for kind in _VALUES:
+    for kind, signs in zip(_VALUES, ("=:", "\"'", "@")):
+        if not any(c in text for c in signs):
+            continue
         for m in kind.finditer(text):
             start, end = m.span(m.lastindex)
             spans.add((start, end))
@@ -72,6 +85,9 @@ def found(text: str | None) -> list[tuple[int, str, str, str]]:
                 spans.discard((start, end))
                 if value:
                     spans.add((start, start + len(value)))
+    if plain > 1:
+        spans = {(s, e) for s, e in spans if e - s >= LONG or text[max(0, s - NEAR):s].rstrip()[-1:] in _SET
+                 or xxhash.xxh32_intdigest(text[max(0, s - NEAR):e].encode("utf-8", "surrogatepass")) % plain == 0}
     return [(s, text[s:e], text[max(0, s - NEAR):s], text[e:e + NEAR]) for s, e in sorted(spans)]
 
 
@@ -80,18 +96,22 @@ class Model:
     share: float
     pairs: dict = field(default_factory=dict)        # log probability of character transitions
     dictionary: frozenset = frozenset()
+    begins: frozenset = frozenset()                  # first three letters of the dictionary's words
     near: dict = field(default_factory=dict)         # log odds of neighbouring words
     path: dict = field(default_factory=dict)
     trees: list = field(default_factory=list)
 
     def shape(self, value: str) -> list[float]:
         n = len(value)
-        classes = "".join(_CLASS.get(c, "s") for c in value)
+        classes = "".join([_CLASS.get(c, "s") for c in value])
         counts, kinds = Counter(value), Counter(classes)
         low = value.lower()
         usual = sum(self.pairs.get(low[i:i + 2], -9.0) for i in range(n - 1)) / max(1, n - 1)
         covered = at = 0
         while at < n:
+            if low[at:at + 3] not in self.begins:
+                at += 1
+                continue
             for size in (8, 7, 6, 5, 4, 3):
                 if low[at:at + size] in self.dictionary and at + size <= n:
                     covered, at = covered + size, at + size
@@ -108,17 +128,22 @@ class Model:
                 self.near.get(("l", left), 0.0), self.near.get(("r", right), 0.0),
                 float(before[-1:] in "\"'="), self.path.get(path, 0.0)]
 
-    def score(self, rows: list[tuple]) -> np.ndarray:
+    def score(self, rows: list[tuple], shapes: dict | None = None) -> np.ndarray:
+        """``shapes`` keeps what is known of values from one call to the next."""
         if not self.trees or not rows:
             return np.full(len(rows), self.share)
-        shapes = {v: self.shape(v) for v in {r[2] for r in rows}}
+        shapes = {} if shapes is None else shapes
+        if len(shapes) > SHAPES:
+            shapes.clear()
+        for v in {r[2] for r in rows} - shapes.keys():
+            shapes[v] = self.shape(v)
         x = np.array([self.features(*r, shapes[r[2]]) for r in rows])
         return np.mean([_ask(t, x) for t in self.trees], axis=0)
 
 
 def _neighbours(before: str, after: str) -> tuple[str, str]:
-    left, right = _WORDS.findall(before.lower()), _WORDS.findall(after.lower())
-    return left[-1] if left else "", right[0] if right else ""
+    left, right = _WORDS.search(before.lower()[::-1]), _WORDS.search(after.lower())
+    return left.group()[::-1] if left else "", right.group() if right else ""
 
 
 def _grow(x, y, rng, depth=0):
@@ -176,6 +201,7 @@ def train(findings: list[tuple], labels: list[int], seed: int = 5) -> Model:
             chunks[w] += n
     total = sum(pairs.values()) or 1
     model = Model(share, {p: math.log(n / total) for p, n in pairs.items()}, frozenset(w for w, n in chunks.items() if n >= 3))
+    model.begins = frozenset(w[:3] for w in model.dictionary)
     sides = [_neighbours(b, a) for _, b, _, a in findings]
     model.near = {**_log_odds([("l", left) for left, _ in sides], y, share), **_log_odds([("r", right) for _, right in sides], y, share)}
     model.path = _log_odds([p for p, _, _, _ in findings], y, share)
@@ -186,20 +212,28 @@ def train(findings: list[tuple], labels: list[int], seed: int = 5) -> Model:
     return model
 
 
-def _each(batches: Iterator[pa.RecordBatch]):
+#: Rows of a batch whose candidates are held at once.
+HELD = 64
+
+
+def _each(batches: Iterator[pa.RecordBatch], plain: int = 1):
     for batch in batches:
-        yield [(i, p, *c, k) for k, (i, p, t) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("id", "path", "text")))) for c in found(t)]
+        for at in range(0, batch.num_rows, HELD):
+            part = batch.slice(at, HELD)
+            rows = zip(*(part.column(n).to_pylist() for n in ("id", "path", "text")))
+            yield [(i, p, *c, k) for k, (i, p, t) in enumerate(rows) for c in found(t, plain)]
 
 
 _CANDIDATES = pa.schema([("id", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("value", pa.string()), ("before", pa.string()),
                          ("after", pa.string())])
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``(id, path, start, value, before, after)`` of every candidate."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source",
+               plain: int = 1) -> DataFrame:
+    """``(id, path, start, value, before, after)`` of every candidate (``plain``: see :func:`found`)."""
 
     def run(batches):
-        for rows in _each(batches):
+        for rows in _each(batches, plain):
             columns = list(zip(*rows))[:6] if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CANDIDATES)], schema=_CANDIDATES)
 
@@ -228,9 +262,9 @@ def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: st
     sent = cloudpickle.dumps(model)
 
     def run(batches):
-        model = pickle.loads(sent)
+        model, shapes = pickle.loads(sent), {}
         for rows in _each(batches):
-            p = model.score([(path, before, value, after) for _, path, _, value, before, after, _ in rows])
+            p = model.score([(path, before, value, after) for _, path, _, value, before, after, _ in rows], shapes)
             kept, last, till = [], None, 0
             for r, s in sorted(((rows[i], float(p[i])) for i in np.flatnonzero(p >= threshold)), key=lambda x: (x[0][6], x[0][2], -len(x[0][3]))):
                 if r[6] != last or r[2] >= till:
@@ -253,10 +287,7 @@ def labelled(docs: DataFrame) -> DataFrame:
     rule = (F.col("value").rlike("^AKIA[A-Z0-9]{16}$")
             | F.col("before").rlike("(?i)(password|passwd|secret|token|api[_-]?key)\\s*[=:]\\s*[\"']?$")
             | (F.col("before").rlike("://[^\\s/:@]*:$") & F.col("after").startswith("@")))
-    rows = candidates(docs.where(~held_out())).withColumn("label", rule.cast("int"))
-    sampled = ((F.length("value") >= LONG) | F.col("before").rlike("[\"'=:][ \t]*$") | (F.col("label") == 1)
-               | (F.xxhash64("value", "before", "after") % PLAIN == 0))
-    return rows.where(sampled).select("path", "before", "value", "after", "label")
+    return candidates(docs.where(~held_out()), plain=PLAIN).select("path", "before", "value", "after", rule.cast("int").alias("label"))
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
