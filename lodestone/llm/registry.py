@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import (chat, decontaminate, exact_dedup, language, mixing, paragraphs, secrets, simhash,
+from lodestone.llm import (chat, decontaminate, exact_dedup, language, mixing, packing, paragraphs, secrets, simhash,
                            token_files, toxicity)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_paragraphs": paragraphs.op9_paragraphs,
     "op10_language": language.op10_language,
+    "op11_packing": packing.op11_packing,
 }
 
 ORACLES = {
