@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import (chat, decontaminate, exact_dedup, language, mixing, packing, paragraphs, secrets, simhash,
+from lodestone.llm import (chat, codes, decontaminate, exact_dedup, language, mixing, packing, paragraphs, secrets, simhash,
                            token_files, toxicity)
 
 QUERIES = {
@@ -17,10 +17,12 @@ QUERIES = {
     "op9_paragraphs": paragraphs.op9_paragraphs,
     "op10_language": language.op10_language,
     "op11_packing": packing.op11_packing,
+    "op13_codes": codes.op13_codes,
 }
 
 ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op13_codes": codes.ORACLE,
 }
