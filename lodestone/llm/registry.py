@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import (chat, codes, decontaminate, exact_dedup, language, mixing, packing, paragraphs, secrets, simhash,
-                           token_files, toxicity)
+from lodestone.llm import (chat, codes, decontaminate, exact_dedup, language, mixing, packing, paragraphs, prefix_trie, secrets,
+                           simhash, token_files, toxicity)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_paragraphs": paragraphs.op9_paragraphs,
     "op10_language": language.op10_language,
     "op11_packing": packing.op11_packing,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_codes": codes.op13_codes,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_codes": codes.ORACLE,
 }
