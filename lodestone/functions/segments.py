@@ -17,20 +17,24 @@ from pyspark import cloudpickle
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-# Codes of the coarse pieces (low four bits; line ends counted in the rest).
-TRIVIA, IDENT, MEMBER, TEXT, LITERAL, OPEN, CLOSE, SEMI, LPAR, RPAR, BARE, ARROW = range(12)
-KINDS = 16
+# Codes of the coarse pieces: the kind in the low four bits, WORDED where the piece begins
+# with a word, line ends counted in the rest.  The last three kinds are conditional directives.
+TRIVIA, IDENT, MEMBER, TEXT, LITERAL, OPEN, CLOSE, SEMI, LPAR, RPAR, BARE, ARROW, IF, ELSE, ENDIF = range(15)
+WORDED = 16
+KINDS = 32
 # Flags of the tokens of a unit.
 START, STOP, BRACE, FLAGS = 1, 2, 4, 8
 
 _CALL = T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("line", T.IntegerType()),
     T.StructField("shared", T.BooleanType())])
+_RANGE = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("size", T.IntegerType())])
 _UNIT = T.StructType([
     T.StructField("unit", T.IntegerType()), T.StructField("first", T.IntegerType()),
     T.StructField("size", T.IntegerType()), T.StructField("brace", T.IntegerType()),
     T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
-    T.StructField("is_function", T.BooleanType()), T.StructField("cover", T.IntegerType()),
+    T.StructField("is_function", T.BooleanType()), T.StructField("old_style", T.BooleanType()),
+    T.StructField("cover", T.IntegerType()), T.StructField("skips", T.ArrayType(_RANGE)),
     T.StructField("calls", T.ArrayType(_CALL))])
 SPANS = T.StructType([
     T.StructField("units", T.ArrayType(_UNIT)), T.StructField("depth", T.IntegerType())])
@@ -66,6 +70,38 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
+def _arms(kinds: np.ndarray, at: np.ndarray, owner: np.ndarray, sums: np.ndarray, lowest: np.ndarray,
+          n_files: int) -> tuple[np.ndarray, np.ndarray]:
+    """Depth at the start of each stretch between conditional directives, and the directive of the
+    innermost later arm that holds the stretch (-1 for none).
+
+    ``sums`` and ``lowest`` are the depth change of each stretch and its lowest point.  Every arm starts
+    at the depth of its ``#if``; what follows ``#endif`` starts where the first arm ended.  A directive
+    without its counterpart changes nothing.
+    """
+    starts = np.zeros(len(sums), dtype=np.int64)
+    later = np.full(len(sums), -1, dtype=np.int64)
+    stack: list[list] = []
+    file, depth = -1, 0
+    for j, (kind, place, f) in enumerate(zip(kinds.tolist(), at.tolist(), owner.tolist())):
+        stretch = j + f
+        if f != file:
+            file, depth, stack = f, 0, []
+        depth += int(sums[stretch]) + max(0, -(depth + int(lowest[stretch])))
+        if kind == IF:
+            stack.append([depth, None, stack[-1][2] if stack else -1])
+        elif stack and kind == ELSE:
+            if stack[-1][1] is None:
+                stack[-1][1] = depth
+            depth, stack[-1][2] = stack[-1][0], place
+        elif stack and kind == ENDIF:
+            _, first, _ = stack.pop()
+            depth = depth if first is None else first
+        starts[stretch + 1] = depth
+        later[stretch + 1] = stack[-1][2] if stack else -1
+    return starts, later
+
+
 def spans_of(codes: pa.Array) -> pa.Array:
     """Piece codes of each file -> its units with their calls, and its last depth."""
     codes = codes.fill_null([]) if codes.null_count else codes
@@ -74,8 +110,10 @@ def spans_of(codes: pa.Array) -> pa.Array:
     file_all = np.repeat(np.arange(n_files), np.diff(offsets))
     line_all = 1 + _sum_before(values // KINDS, offsets, file_all)
 
-    keep = np.flatnonzero(values % KINDS != TRIVIA)
-    kind, file, line = (values % KINDS)[keep], file_all[keep], line_all[keep]
+    kind_all = values % WORDED
+    directives = np.flatnonzero(kind_all >= IF)
+    keep = np.flatnonzero((kind_all != TRIVIA) & (kind_all < IF))
+    kind, file, line = kind_all[keep], file_all[keep], line_all[keep]
     pos = keep - offsets[:-1][file]
     n = len(keep)
     starts = np.searchsorted(file, np.arange(n_files + 1))
@@ -85,21 +123,64 @@ def spans_of(codes: pa.Array) -> pa.Array:
     # extern "C" { is transparent; a closing brace at depth 0 stays at depth 0.
     linkage = (kind == OPEN) & (prev == LITERAL)
     step = ((kind == OPEN) & ~linkage).astype(np.int64) - (kind == CLOSE)
-    raw = _sum_before(step, starts, file) + step
-    apart = file * (2 * n + 2)
-    lowest = np.minimum(np.minimum.accumulate(raw - apart) + apart, 0) if n else raw
-    depth_after = raw - lowest
-    depth = _previous(depth_after, file, 0)
+    stretch = np.searchsorted(directives, keep) + file
+    bounds = np.searchsorted(stretch, np.arange(n_files + len(directives) + 1))
+    base = np.zeros(len(bounds) - 1, dtype=np.int64)
+    later = np.full(len(bounds) - 1, -1, dtype=np.int64)
+    raw = _sum_before(step, bounds, stretch) + step
+    apart = stretch * (4 * n + 4)  # keeps running minima inside their stretch
+    if len(directives):
+        lowest = np.zeros(len(base), dtype=np.int64)
+        filled = np.flatnonzero(np.diff(bounds))
+        if n:
+            lowest[filled] = np.minimum.reduceat(raw, bounds[filled])
+        total = np.concatenate(([0], np.cumsum(step)))
+        base, later = _arms(kind_all[directives], directives - offsets[:-1][file_all[directives]], file_all[directives],
+                            np.diff(total[bounds]), lowest, n_files)
+    level = raw + base[stretch]
+    floor = np.minimum(np.minimum.accumulate(level - apart) + apart, 0) if n else level
+    depth_after = level - floor
+    depth = _previous(depth_after, stretch, 0)
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    depth[heads] = base[stretch[heads]]
 
     top = depth == 0
+    # Declarations between ")" and "{" belong to the head: no other brace follows a ";" at depth 0.
+    after_semi = np.flatnonzero((kind == OPEN) & top & ~linkage & (prev == SEMI))
+    old_open, unended = np.zeros(n, dtype=bool), np.zeros(n + 1, dtype=np.int64)
+    if len(after_semi):
+        listed = np.flatnonzero(top & (prev == RPAR) & (values[keep] & WORDED > 0))
+        braces = np.flatnonzero((kind == OPEN) | (kind == CLOSE))
+        place = np.searchsorted(listed, after_semi) - 1
+        head = np.where(place >= 0, listed[np.maximum(place, 0)] if len(listed) else -1, -1)
+        brace_before = np.concatenate(([-1], braces))[np.searchsorted(braces, after_semi)]
+        ok = (head >= 0) & (head > brace_before) & (file[head] == file[after_semi])
+        old_open[after_semi[ok]] = True
+        np.add.at(unended, head[ok], 1)
+        np.add.at(unended, after_semi[ok], -1)
+    in_list = np.cumsum(unended)[:n] > 0
     opens = (kind == OPEN) & top & ~linkage
+    body_open = opens & ((prev == RPAR) | old_open)
     last_open = np.maximum.accumulate(np.where(opens, np.arange(n), -1)) if n else np.arange(0)
-    in_function = (last_open >= 0) & (prev[last_open] == RPAR) if n else top
-    ends = (top & (kind == SEMI)) | ((kind == CLOSE) & (depth == 1) & in_function)
+    in_function = (last_open >= 0) & body_open[last_open] if n else top
+    ends = (top & (kind == SEMI) & ~in_list) | ((kind == CLOSE) & (depth == 1) & in_function)
     cuts = np.flatnonzero(ends | linkage | ((kind == CLOSE) & top))
     first = np.maximum(_previous(cuts, file[cuts], -1) + 1, starts[file[cuts]])
-    emitted = ends[cuts] & (first < cuts)
-    last, first = cuts[emitted], first[emitted]
+    bodies = np.append(np.flatnonzero(body_open), n)
+    brace_of = bodies[np.searchsorted(bodies, first)]
+    closing = kind[cuts] == CLOSE
+    # a later arm that closes a function again goes on with it
+    again = ends[cuts] & closing & (brace_of > cuts)
+    emitted = ends[cuts] & (first < cuts) & ~again
+    cut_end = cuts.copy()
+    if again.any():
+        for k in np.flatnonzero(again).tolist():
+            j = k - 1
+            while j >= 0 and again[j]:
+                j -= 1
+            if j >= 0 and emitted[j] and closing[j] and file[cuts[j]] == file[cuts[k]]:
+                cut_end[j] = cuts[k]
+    last, first, brace_at = cut_end[emitted], first[emitted], brace_of[emitted]
 
     owner = file[last]
     per_file = np.bincount(owner, minlength=n_files)
@@ -131,18 +212,36 @@ def spans_of(codes: pa.Array) -> pa.Array:
         [pa.array(pos[at - 1] + 1, pa.int32()), pa.array(line[at - 1], pa.int32()),
          pa.array(line[at - 1] == end_before[inside], pa.bool_())],
         names=["piece", "line", "shared"])
+
+    # Later arms that begin inside a head or a declaration are no part of its text.
+    skipped, skips = np.zeros(len(last), dtype=np.int64), []
+    if len(directives) and len(last):
+        text_end = np.where(is_function, np.minimum(brace_at, last), last)
+        place = directives - offsets[:-1][file_all[directives]]
+        for u in np.flatnonzero(stretch[first] != stretch[text_end]).tolist():
+            for s in range(int(stretch[first[u]]) + 1, int(stretch[text_end[u]]) + 1):
+                if later[s] > pos[first[u]]:
+                    left = int(place[s - 1 - owner[u]])
+                    right = int(place[s - owner[u]]) if s < stretch[text_end[u]] else int(pos[text_end[u]]) + (not is_function[u])
+                    skips.append((left + 1, right - left))
+                    skipped[u] += 1
+    ranges = pa.StructArray.from_arrays(
+        [pa.array([r[k] for r in skips], pa.int32()) for k in (0, 1)], names=["first", "size"])
     units = pa.StructArray.from_arrays(
         [pa.array(unit, pa.int32()), pa.array(pos[first] + 1, pa.int32()),
          pa.array(pos[last] - pos[first] + 1, pa.int32()),
-         pa.array(np.where(is_function, pos[last_open[last]] + 1, 0), pa.int32()),
+         pa.array(np.where(is_function, pos[np.minimum(brace_at, last)] + 1, 0), pa.int32()),
          pa.array(start_line, pa.int32()), pa.array(end_line, pa.int32()),
-         pa.array(is_function, pa.bool_()), pa.array(cover, pa.int32()),
+         pa.array(is_function, pa.bool_()), pa.array(is_function & old_open[np.minimum(brace_at, last)], pa.bool_()),
+         pa.array(cover, pa.int32()), _lists(skipped, ranges),
          _lists(np.bincount(inside, minlength=len(last)), calls)],
-        names=["unit", "first", "size", "brace", "start_line", "end_line", "is_function",
-               "cover", "calls"])
+        names=["unit", "first", "size", "brace", "start_line", "end_line", "is_function", "old_style",
+               "cover", "skips", "calls"])
     final = np.zeros(n_files, dtype=np.int64)
-    filled = np.flatnonzero(np.diff(starts))
-    final[filled] = depth_after[starts[filled + 1] - 1]
+    tail = np.arange(n_files) + np.searchsorted(file_all[directives], np.arange(n_files), side="right")
+    filled = np.diff(bounds)[tail] > 0
+    final[~filled] = base[tail[~filled]]
+    final[filled] = depth_after[bounds[tail[filled] + 1] - 1]
     return pa.StructArray.from_arrays(
         [_lists(per_file, units), pa.array(final, pa.int32())], names=["units", "depth"])
 

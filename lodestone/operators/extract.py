@@ -154,6 +154,19 @@ def _parameters(z: str) -> str:
     return f"array_sort({each(found, lambda p: struct(i=f'get({p}, 0).i', text=_source_text(p)))}).text"
 
 
+def _old_parameters(z: str, name_at: str) -> str:
+    """Parameters of a head whose declarations stand behind the list: one per declared name."""
+    close = first_index(z, lambda x, i: f"{i} > {name_at} AND {x}.t = ')' AND {x}.d = 1")
+    statements = split_where(f"slice({z}, {close} + 2, size({z}))", lambda x: f"{x}.t = ';' AND {x}.d = 0")
+
+    def of_statement(st: str) -> str:
+        named = those(each(_declared(st, "0"), lambda d, i: struct(d=d, i=i)), lambda x: f"{x}.d.name IS NOT NULL")
+        return each(named, lambda x: f"CASE WHEN {x}.i = 0 THEN {_source_text(f'{x}.d.tokens')} "
+                                     f"ELSE concat(coalesce(nullif({x}.d.type, ''), 'int'), ' ', {_source_text(f'{x}.d.tokens')}) END")
+
+    return f"flatten({each(those(statements, lambda st: f'size({st}) > 0'), of_statement)})"
+
+
 # -- tables ------------------------------------------------------------------
 
 def function_key(path: str, name: str, start: str, end: str, proto: str) -> str:
@@ -177,7 +190,7 @@ def units(files: DataFrame) -> DataFrame:
     return heads.selectExpr(
         *_RAW_UNIT, "CASE WHEN is_function THEN d.name END AS name",
         "CASE WHEN is_function THEN coalesce(nullif(d.type, ''), 'int') END AS return_type",
-        f"CASE WHEN is_function THEN {_parameters('z')} END AS parameters",
+        f"CASE WHEN old_style THEN {_old_parameters('z', 'd.at')} WHEN is_function THEN {_parameters('z')} END AS parameters",
         f"{first_name('zc')} AS cover_name")
 
 

@@ -16,40 +16,50 @@ from pyspark.sql import functions as F
 from lodestone.functions import lexis
 from lodestone.functions.arrays import each, quoted, struct, those, word_list
 from lodestone.functions.segments import (
-    ARROW, BARE, CLOSE, IDENT, KINDS, LITERAL, LPAR, MEMBER, OPEN, RPAR, SEMI, TEXT, TRIVIA,
-    unit_spans,
+    ARROW, BARE, CLOSE, ELSE, ENDIF, IDENT, IF, KINDS, LITERAL, LPAR, MEMBER, OPEN, RPAR, SEMI, TEXT, TRIVIA,
+    WORDED, unit_spans,
 )
 
 
 def _piece_code(p: str) -> str:
-    """Kind of a piece plus 16 times the number of line ends in it."""
+    """Kind of a piece, WORDED if it begins with a word, plus KINDS times the line ends in it."""
     def matches(pattern: str) -> str:
         return f"rlike({p}, {quoted(pattern)})"
 
     newline = quoted("\n")
+    directive = f"""CASE WHEN {matches(r"^[ \t]*#[ \t]*if")} THEN {IF} WHEN {matches(r"^[ \t]*#[ \t]*el")} THEN {ELSE}
+        WHEN {matches(r"^[ \t]*#[ \t]*endif")} THEN {ENDIF} ELSE {TRIVIA} END"""
     return f"""CASE
         WHEN {p} = '(' THEN {LPAR} WHEN {p} = ')' THEN {RPAR} WHEN {p} = ';' THEN {SEMI}
         WHEN {p} = '{{' THEN {OPEN} WHEN {p} = '}}' THEN {CLOSE}
         WHEN contains({p}, {newline}) THEN {KINDS} * (length({p}) - length(replace({p}, {newline}, '')))
-            + CASE WHEN startswith({p}, '"') OR startswith({p}, "'") THEN {LITERAL} ELSE {TRIVIA} END
+            + CASE WHEN startswith({p}, '"') OR startswith({p}, "'") THEN {LITERAL}
+                   WHEN startswith(ltrim({p}), '#') THEN {directive} ELSE {TRIVIA} END
         WHEN startswith({p}, '/*') OR startswith({p}, '//') THEN {TRIVIA}
         WHEN startswith({p}, '"') OR startswith({p}, "'") THEN {LITERAL}
-        WHEN startswith(ltrim({p}), '#') THEN {TRIVIA}
+        WHEN startswith(ltrim({p}), '#') THEN {directive}
         WHEN {matches(r"[A-Za-z0-9_][ \t]*$")} THEN CASE
-            WHEN {matches(r"^[ \t]*[A-Za-z_]\w*[ \t]*$")} THEN {BARE}
+            WHEN {matches(r"^[ \t]*[A-Za-z_]\w*[ \t]*$")} THEN {BARE + WORDED}
             WHEN {matches(r"(?:\.|->)[ \t]*[A-Za-z_]\w*[ \t]*$")} THEN {MEMBER}
-            WHEN {matches(r"(?<!\w)[A-Za-z_]\w*[ \t]*$")} THEN {IDENT} ELSE {TEXT} END
+            WHEN {matches(r"(?<!\w)[A-Za-z_]\w*[ \t]*$")} THEN {IDENT} + IF({matches(r"^[ \t]*[A-Za-z_]")}, {WORDED}, 0) ELSE {TEXT} END
         WHEN {matches(r"^[ \t\r\f\x0B]*$")} THEN {TRIVIA}
         WHEN {matches(r"(?:\.|->)[ \t]*$")} THEN {ARROW}
-        ELSE {TEXT} END"""
+        ELSE {TEXT} + IF({matches(r"^[ \t]*[A-Za-z_]")}, {WORDED}, 0) END"""
 
 
 def _joined(first: str, size: str) -> str:
     return f"array_join(slice(pieces, {first}, {size}), '')"
 
 
+def _without_later_arms(u: str, size: str) -> str:
+    """Text of the unit's first ``size`` pieces, without later arms of conditionals that begin in it."""
+    kept = those(each(f"sequence({u}.first, {u}.first + {size} - 1)", lambda i: struct(i=i, p=f"get(pieces, {i} - 1)")),
+                 lambda x: f"NOT exists({u}.skips, r -> {x}.i >= r.first AND {x}.i < r.first + r.size)")
+    return f"CASE WHEN size({u}.skips) = 0 THEN {_joined(f'{u}.first', size)} ELSE array_join({each(kept, lambda x: f'{x}.p')}, '') END"
+
+
 def _head(u: str) -> str:
-    return _joined(f"{u}.first", f"{u}.brace - {u}.first")
+    return _without_later_arms(u, f"({u}.brace - {u}.first)")
 
 
 def _unit(u: str) -> str:
@@ -60,8 +70,8 @@ def _unit(u: str) -> str:
         name=rf"regexp_extract(get(pieces, {c}.piece - 1), {quoted(r'([A-Za-z_]\w*)[ \t]*$')}, 1)",
         shared=f"{c}.shared"))
     return struct(
-        unit=f"{u}.unit", is_function=fn, start_line=f"{u}.start_line", end_line=f"{u}.end_line",
-        text=f"CASE WHEN {fn} THEN {_head(u)} ELSE {_joined(f'{u}.first', f'{u}.size')} END",
+        unit=f"{u}.unit", is_function=fn, old_style=f"{u}.old_style", start_line=f"{u}.start_line", end_line=f"{u}.end_line",
+        text=f"CASE WHEN {fn} THEN {_head(u)} ELSE {_without_later_arms(u, f'{u}.size')} END",
         body=f"CASE WHEN {fn} THEN {_joined(f'{u}.brace', f'{u}.first + {u}.size - {u}.brace')} END",
         snippet=f"array_join(slice(lines, {u}.start_line, {u}.end_line - {u}.start_line + 1), '')",
         # head of the earlier function that holds the first line of this one
@@ -89,7 +99,7 @@ def parsed_files(files: DataFrame) -> DataFrame:
 def units(files: DataFrame) -> DataFrame:
     """One row per top-level unit of every file (see :func:`parsed_files`).
 
-    Columns: path, n_units, unit, is_function, start_line, end_line, text, body,
+    Columns: path, n_units, unit, is_function, old_style, start_line, end_line, text, body,
     snippet, cover_text, calls.
     """
     exploded = parsed_files(files).selectExpr("path", "n_units", "explode_outer(units) AS u")

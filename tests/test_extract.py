@@ -144,3 +144,86 @@ def test_a_large_unit_takes_seconds(spark, files):
     assert [(r.name, r.fields) for r in extract.structs(u).collect()] == [("own", ["int a"])]
     assert [r.alias for r in extract.typedefs(u).collect()] == ["t", "u"]
     assert time.time() - start < 60
+
+
+def test_conditional_arms(spark, files):
+    text = """#ifdef X
+int f(int a) {
+#else
+int f(long a) {
+#endif
+    g(1);
+}
+int h(int a,
+#if A
+  int b)
+#else
+  long b)
+#endif
+{
+    if (a) {
+#ifdef B
+        k(1); }
+#else
+        k(2);
+    }
+#endif
+    m();
+}
+#if defined(C)
+int both(void) { return 1; }
+#else
+long both(void) { return 2; }
+#endif
+#ifdef __cplusplus
+extern "C" {
+#endif
+static int n
+#ifdef D
+ = 1
+#else
+ = 2
+#endif
+;
+int last(void) { q(); }
+#else
+#endif
+#endif
+int after(void) { r(); }
+"""
+    u = extract.units(files(a_DOT_c=text))
+    got = rows(extract.functions(u), "name", "return_type", "parameters", "start_line", "end_line")
+    assert got == [("f", "int", ["int a"], 2, 7), ("h", "int", ["int a", "int b"], 8, 23), ("both", "int", ["void"], 25, 25),
+                   ("both", "long", ["void"], 27, 27), ("last", "int", ["void"], 39, 39), ("after", "int", ["void"], 43, 43)]
+    assert sorted((r.caller_line, r.callee_name) for r in extract.calls(u).collect()) == [
+        (6, "g"), (17, "k"), (19, "k"), (22, "m"), (39, "q"), (43, "r")]
+    assert rows(extract.globals_(u), "name", "type") == [("n", "static int")]
+    assert extract.file_quality(files(a_DOT_c=text)).count() == 0
+
+
+def test_old_style_definitions(spark, files):
+    text = """int add(a, b) int a; int b; {
+    return g(a) + b;
+}
+static char *
+cat(s, n, cb)
+    register char *s, **t;
+    int (*cb)();
+    struct pair n[2];
+{ h(); }
+int plain;
+main(argc, argv)
+int argc; char *argv[];
+{
+    if (argc) { p(); }
+}
+MACRO(a);
+int f(int a) { k(a); }
+void none() { }
+"""
+    u = extract.units(files(a_DOT_c=text))
+    assert rows(extract.functions(u), "name", "return_type", "parameters", "start_line", "end_line") == [
+        ("add", "int", ["int a", "int b"], 1, 3), ("cat", "static char", ["register char *s", "register char **t", "int (*cb)()", "struct pair n[2]"], 4, 9),
+        ("main", "int", ["int argc", "char *argv[]"], 11, 15), ("f", "int", ["int a"], 17, 17), ("none", "void", [], 18, 18)]
+    assert rows(extract.globals_(u), "name", "type") == [("plain", "int")]
+    assert sorted((r.caller_line, r.callee_name) for r in extract.calls(u).collect()) == [(2, "g"), (9, "h"), (14, "p"), (17, "k")]

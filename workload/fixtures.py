@@ -90,6 +90,29 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(items, HEADER_PROLOGUE)
 
 
+#: Functions in conditional arms and with old-style heads, by p_partkey % 4; ``@`` is the part's name.
+VARIANTS = [
+    # two heads in two arms, one body
+    "#ifdef WIDE\nint f_@(int a) {\n#else\nint f_@(long a) {\n#endif\n    g_@(1);\n}\n",
+    # declarations between list and body
+    "int o_@(a, b, c)\nint a;\nchar *b, c[4];\n{\n    h_@(a);\n}\n",
+    # an open brace in each of three arms
+    "static void b_@(void)\n{\n#if defined(A)\n    if (x) {\n        y_@(1);\n#elif defined(B)\n    if (z) {\n        z_@(2);\n"
+    "#else\n    {\n#endif\n        w_@(3);\n    }\n}\n",
+    # each arm closes the function
+    "int c_@(void) {\n#ifdef A\n    p_@(1);\n}\n#else\n    q_@(2);\n}\n#endif\nint v_@;\n",
+]
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``.c`` files of :data:`VARIANTS`, one item per part: path, content."""
+    text = F.replace(F.element_at(F.array(*map(F.lit, VARIANTS)), (F.col("p_partkey") % 4 + 1).cast("int")), F.lit("@"), F.col("name"))
+    items = _part(spark, sf_dir).select(
+        F.concat(F.lit("variants/"), "folder", F.lit("/v"), F.floor(F.col("p_partkey") / PARTS_PER_FILE), F.lit(".c")).alias("path"),
+        F.struct("p_partkey", text.alias("text")).alias("item"))
+    return _rendered(items, "")
+
+
 def _rendered(items: DataFrame, prologue: str) -> DataFrame:
     return items.groupBy("path").agg(F.expr(
         f"concat({quoted(prologue)}, array_join(array_sort(collect_list(item)).text, ''))").alias("content"))
@@ -229,6 +252,22 @@ all_edges AS (
   FROM call_site c JOIN first_in_file f USING (path, caller) JOIN directory d USING (callee)),
 edges AS (SELECT * FROM all_edges WHERE caller_key <> callee_key)"""
 
+SQL_VARIANTS = SQL_PART + f""",
+variant AS (
+  SELECT *, CAST(1 + coalesce(sum(n_lines) OVER (PARTITION BY path ORDER BY p_partkey
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line FROM (
+    SELECT p_partkey, p_partkey % 4 AS kind, name, 'variants/' || folder || '/v' || (p_partkey // {PARTS_PER_FILE}) || '.c' AS path,
+           CASE p_partkey % 4 {" ".join(f"WHEN {k} THEN {v.count(chr(10))}" for k, v in enumerate(VARIANTS))} END AS n_lines FROM nm)),
+variant_function AS (
+  SELECT path, v.name AS part_name, k.prefix || v.name AS name, k.return_type, k.parameters, line + k.first AS start_line, line + k.last AS end_line
+  FROM variant v JOIN (VALUES
+    (0, 'f_', 'int', 'int a', 1, 6), (1, 'o_', 'int', 'int a|char *b|char c[4]', 0, 5),
+    (2, 'b_', 'static void', 'void', 0, 13), (3, 'c_', 'int', 'void', 0, 6)) k(kind, prefix, return_type, parameters, first, last) USING (kind)),
+variant_call AS (
+  SELECT path, line + k.place AS line, k.caller || v.name AS caller, k.callee || v.name AS callee
+  FROM variant v JOIN (VALUES (0, 5, 'f_', 'g_'), (1, 4, 'o_', 'h_'), (2, 4, 'b_', 'y_'), (2, 7, 'b_', 'z_'), (2, 11, 'b_', 'w_'),
+                              (3, 2, 'c_', 'p_'), (3, 5, 'c_', 'q_')) k(kind, place, caller, callee) USING (kind))"""
+
 SQL_DOCFILES = """
 docfiles AS (
   SELECT doc_id, md5(path) AS file_key, path, text AS content FROM (

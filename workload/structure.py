@@ -106,6 +106,26 @@ def extract_prototypes(spark, d):
         "path", "name", "start_line", "end_line", "return_type")
 
 
+@query("variant_functions", f"""WITH {fx.SQL_VARIANTS}
+SELECT path, name, return_type, parameters, start_line, end_line FROM variant_function""")
+def variant_functions(spark, d):
+    """Functions in conditional arms and with old-style heads."""
+    return extract.definitions(extract.units(fx.variants(spark, d))).select(
+        "path", "name", "return_type", "parameters", "start_line", "end_line")
+
+
+@query("variant_calls", f"""WITH {fx.SQL_VARIANTS} SELECT path, line, caller, callee FROM variant_call""")
+def variant_calls(spark, d):
+    """Calls in all arms belong to the function that the arms are part of."""
+    return graph.call_sites(extract.units(fx.variants(spark, d))).select("path", "line", "caller", "callee")
+
+
+@query("variant_globals", f"""WITH {fx.SQL_VARIANTS} SELECT path, 'v_' || name AS name, 'int' AS type FROM variant WHERE kind = 3""")
+def variant_globals(spark, d):
+    """Declared parameters are no globals."""
+    return extract.globals_(extract.units(fx.variants(spark, d))).select("path", "name", "type")
+
+
 _SQL_STRUCTS = """
 structs AS (
   SELECT path, 'node' AS name, 'struct node { int id; char name[16]; }' AS code, 'int id|char name' AS fields, 0 AS k
