@@ -30,8 +30,9 @@ def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     return decoded(raw, root)
 
 
-def decoded(raw: DataFrame, root: str) -> DataFrame:
-    path = relative_path(F.col("path"), root)
+def decoded(raw: DataFrame, root: str, path: Column | None = None) -> DataFrame:
+    """Text and hash of binary files; ``path`` names them where they are not known by their place below ``root``."""
+    path = relative_path(F.col("path"), root) if path is None else path
     return with_hash(raw.select(path.alias("path"), tolerant_text("content").alias("content")))
 
 

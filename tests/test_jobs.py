@@ -208,3 +208,20 @@ def test_catch_up_reads_edited_files_again(spark, tmp_path):
     assert names() == [("a.c", "edited"), ("c.c", "twice")]
     write(root, b_DOT_c="int back(void) { }\n")
     assert names() == [("a.c", "edited"), ("b.c", "back"), ("c.c", "twice")]
+    # touched, or written again as it was: known by its hash
+    write(root, b_DOT_c="int back(void) { }\n")
+    os.utime(os.path.join(root, "a.c"))
+    assert names() == [("a.c", "edited"), ("b.c", "back"), ("c.c", "twice")]
+    log = sorted((r.run, r.path, r.change) for r in ingest.folder_changes(spark, out).collect())
+    assert log == [(1, "a.c", "added"), (1, "b.c", "added"), (2, "a.c", "edited"), (2, "c.c", "added"), (4, "b.c", "deleted"),
+                   (4, "c.c", "edited"), (5, "b.c", "added")]
+
+
+def test_catch_up_after_a_listing_that_was_not_processed(spark, tmp_path):
+    root, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
+    write(root, a_DOT_c="int f(void) { }\n", b_DOT_c="int g(void) { }\n")
+    ingest._list(spark, root, out, "*.{c,h}", None)  # and the run is lost here
+    os.remove(os.path.join(root, "b.c"))
+    rows = ingest.catch_up(spark, root, out, mark)
+    assert [r.name for r in extract.functions(rows).collect()] == ["f"]
+    assert [r.name for r in extract.functions(ingest.catch_up(spark, root, out, mark)).collect()] == ["f"]

@@ -307,6 +307,20 @@ def old_sources(new: DataFrame) -> DataFrame:
     return kept.unionByName(gone)
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Write each file's text below ``root``; files that are there and not in ``files`` stay.
+
+    A file is the one part in ``top=<first folder>/path=<escaped path>``.
+    """
+    rows = files.select(F.split("path", "/")[0].alias("top"), "path", F.regexp_replace("content", r"\n\z", "").alias("value"))
+    rows.repartition("path").write.partitionBy("top", "path").mode("overwrite").option("partitionOverwriteMode", "dynamic").text(root)
+
+
+def path_in_tree():
+    """The name of a file of :func:`write_tree`, from where it lies."""
+    return F.url_decode(F.regexp_extract("path", "/path=([^/]+)/", 1))
+
+
 def status_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks of processed items: item_type, item_key, stage, commit_sha, ts."""
     kind = F.when(F.col("user_id") % 2 == 0, "file").otherwise("function")

@@ -321,6 +321,32 @@ def stream_ingest(spark, d):
 
 # -- registry and packages ----------------------------------------------------
 
+@query("ingest_edits", f"""WITH {fx.SQL_SOURCES},
+brands AS (SELECT path, string_split(path, '/')[2] AS brand FROM files)
+SELECT 'function' AS kind, path, name, CAST(start_line AS BIGINT) AS line FROM functions
+UNION ALL SELECT 'added', path, '', 2 FROM brands WHERE brand = 'brand7'
+UNION ALL SELECT 'edited', path, '', 2 FROM brands WHERE brand = 'brand8' AND path LIKE 'src/%'
+UNION ALL SELECT 'deleted', 'a_legacy/' || path, '', 2 FROM brands WHERE brand = 'brand9'""")
+def ingest_edits(spark, d):
+    """A folder of sources, then new, edited, deleted and merely rewritten files; parsed as they changed."""
+    new = settled(fx.sources(spark, d))
+    folder = f"{shared_folder(spark).rstrip('/')}/edits/{uuid.uuid4().hex}"
+    root, out, mark = (f"{folder}/{n}" for n in ("src", "out", "mark"))
+
+    def run():
+        return ingest.catch_up(spark, root, out, mark, "*.txt", fx.path_in_tree())
+
+    fx.write_tree(fx.old_sources(new), root)
+    run()
+    fx.write_tree(new.where("split(path, '/')[1] IN ('brand7', 'brand8', 'brand10')"), root)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/top=a_legacy")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    units = run()
+    changes = ingest.folder_changes(spark, out).where("run = 2")
+    return extract.functions(units).select(F.lit("function").alias("kind"), "path", "name", F.col("start_line").alias("line")).unionByName(
+        changes.select(F.col("change").alias("kind"), "path", F.lit("").alias("name"), F.col("run").alias("line")))
+
+
 @query("repo_name", f"""WITH {fx.SQL_URLS} SELECT seq, repo_name FROM named""")
 def repo_name(spark, d):
     return fx.repo_urls(spark, d).select("seq", text.repository_name("git_url").alias("repo_name"))
