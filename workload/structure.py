@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import codemap, extract, graph, quality, snapshots
+from lodestone.operators import codemap, extract, graph, order, quality, snapshots
 from lodestone.plans import analysis
 from lodestone.session import settled
 from lodestone.sources import corpus as scan
@@ -177,6 +177,24 @@ def extract_globals(spark, d):
     return extract.globals_(_units(spark, d)).select("path", "name", "type")
 
 
+_DECLARES = r"^\s*(static |extern |const |unsigned )*(struct|int|char|long|short|float|double|void)\b[^()]*[;={{]"
+
+
+@query("declarations_outside", f"""WITH {fx.SQL_SOURCES},
+lines AS (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::BIGINT AS line_no FROM files),
+found AS (SELECT path, line_no AS start_line, line_no AS end_line FROM lines WHERE regexp_matches(line, '{_DECLARES.replace("{{", "{")}'))
+SELECT * FROM found d WHERE NOT EXISTS (
+  SELECT 1 FROM fn f WHERE f.path = d.path AND f.start_line <= d.start_line AND f.end_line >= d.end_line)""")
+def declarations_outside(spark, d):
+    """Lines that begin a declaration and lie in no function."""
+    files = settled(fx.sources(spark, d))
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    at = (F.col("at") + 1).cast("int")
+    found = lines.where(F.col("line").rlike(_DECLARES.replace("{{", "{"))).select("path", at.alias("start_line"), at.alias("end_line"))
+    fns = extract.definitions(settled(extract.units(files)))
+    return order.outside(found, fns, "path", "start_line", "end_line")
+
+
 @query("extract_calls", f"""WITH {fx.SQL_CORPUS}
 SELECT path, line AS caller_line, callee AS callee_name FROM call_site""")
 def extract_calls(spark, d):
@@ -411,7 +429,8 @@ def function_report(spark, d):
 segs AS (SELECT path, string_split(path, '/') AS p FROM files),
 pre AS (SELECT path, p, unnest(range(1, len(p) + 1)) AS depth FROM segs)
 SELECT array_to_string(p[1:depth], '/') AS prefix, array_to_string(p[1:depth - 1], '/') AS parent, p[depth] AS name,
-       depth, bool_or(depth = len(p)) AS is_file, count(*) AS n_files FROM pre GROUP BY ALL""")
+       depth, bool_or(depth = len(p)) AS is_file, count(*) AS n_files,
+       row_number() OVER (ORDER BY p[1:depth]) AS idx FROM pre GROUP BY p[1:depth], p[1:depth - 1], p[depth], depth""")
 def path_tree(spark, d):
     return codemap.path_tree(fx.sources(spark, d))
 
