@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import repository_name, safe_name
 from lodestone.operators.skew import position_in_group
-from lodestone.session import checkpointed, settled
+from lodestone.session import settled
+
+# Ship these functions with the job, so that workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STORE_FOLDER, STORE_SUFFIX = "database", ".db"  # fixed values
 
@@ -27,49 +36,98 @@ def _gaps(names: DataFrame, taken: DataFrame, base: str) -> DataFrame:
     return runs.withColumn("_until", F.lead("_from").over(Window.partitionBy(base).orderBy("_from")))
 
 
+class _Numbers:
+    """Free names of one stem, as if rows came one by one.
+
+    A name is the number 0 of itself and, if it ends in ``_n``, the number n of what stands before.  Of each
+    base the numbers below ``next`` are used; ``ahead`` are those above that other bases took literally.
+    Size: one entry per distinct base and per name that was taken ahead, not per row.
+    """
+
+    _TAIL = re.compile(r"(.*)_([1-9][0-9]*)", re.DOTALL)
+
+    def __init__(self):
+        self.next: dict[str, int] = {}
+        self.ahead: dict[str, set[int]] = {}
+
+    def _places(self, name: str) -> list[tuple[str, int]]:
+        tail = self._TAIL.fullmatch(name)
+        return [(name, 0)] + ([(tail[1], int(tail[2]))] if tail else [])
+
+    def _free(self, name: str) -> bool:
+        return all(n >= self.next.get(b, 0) and n not in self.ahead.get(b, ()) for b, n in self._places(name))
+
+    def take(self, name: str) -> None:
+        for base, n in self._places(name):
+            if n >= self.next.get(base, 0):
+                self.ahead.setdefault(base, set()).add(n)
+
+    def name(self, base: str) -> str:
+        n = self.next.get(base, 0)
+        while True:
+            name = base if n == 0 else f"{base}_{n}"
+            if self._free(name):
+                break
+            self.ahead.get(base, set()).discard(n)
+            n += 1
+        self.next[base] = n + 1
+        for other, m in self._places(name):
+            if other != base and m >= self.next.get(other, 0):
+                self.ahead.setdefault(other, set()).add(m)
+        return name
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by stem and place: taken names first, then bases in order."""
+    stem, numbers = None, _Numbers()
+    for batch in batches:
+        names = []
+        for at, base, known in zip(*(batch.column(c).to_pylist() for c in ("_stem", "_base", "_known"))):
+            if at != stem:
+                stem, numbers = at, _Numbers()
+            names.append(base if known else numbers.name(base))
+            if known:
+                numbers.take(base)
+        yield pa.RecordBatch.from_arrays([batch.column("_seq"), batch.column("_known"), pa.array(names, pa.string())],
+                                         names=["_seq", "_known", "_name"])
+
+
 def unique_names(rows: DataFrame, base: str, sequence: str, out: str = "name", taken: DataFrame | None = None) -> DataFrame:
-    """``x``, ``x_1``, ``x_2``, ... in order of ``sequence``, an integer.
+    """``x``, ``x_1``, ``x_2``, ... in order of ``sequence``, a unique integer.
 
     Each row takes the first free name, as if rows came one by one after the names in
     ``taken`` (column ``name``).  Equal bases are numbered at once, and the numbers that
-    ``taken`` uses are skipped at once; only among the bases of new rows can one that looks
-    like a numbered name (``x_1``) meet another, and then the later rows of these bases move on.
+    ``taken`` uses are skipped at once.  Only among the bases of new rows can one that looks
+    like a numbered name (``x_1``) meet another; such a stem (``x`` with ``x_1``, ``x_1_1``, ...) is handed
+    out in one sorted pass of a task that keeps an entry per distinct base.  The number of jobs
+    does not depend on the names.
     """
-    ranked = position_in_group(rows, base, sequence, "_k")
-    gaps = None if taken is None else settled(_gaps(rows, taken, base))
-
-    def named(df: DataFrame) -> DataFrame:
-        if gaps is None:
-            free = df.withColumn("_n", F.col("_k"))
-        else:
-            r, g = df.alias("r"), gaps.alias("g")
-            free = r.join(g, (F.col(f"r.{base}") == F.col(f"g.{base}")) & (F.col("r._k") >= F.col("g._from"))
-                          & (F.col("g._until").isNull() | (F.col("r._k") < F.col("g._until"))), "left").select(
-                "r.*", (F.col("_k") + F.coalesce("_skip", F.lit(0))).alias("_n"))
-        return free.withColumn(out, F.when(F.col("_n") == 0, F.col(base))
-                               .otherwise(F.concat(base, F.lit("_"), F.col("_n").cast("string")))).drop("_n")
-
-    # A clash needs a literal base with a numeric tail beside the base without it; all else is done.
+    # A clash needs a literal base with a numeric tail beside the base without it; all else is numbered at once.
     stem = F.regexp_replace(base, r"(_\d+)+$", "")
     bases = rows.select(base).distinct()
     tails = bases.where(F.col(base).rlike(r"_\d+$")).select(F.regexp_replace(base, r"_\d+$", "").alias(base)).distinct()
     stems = settled(tails.join(bases, base, "left_semi").select(stem.alias("_stem")).distinct())
-    if stems.isEmpty():
-        return named(ranked).drop("_k")
-    marked = ranked.withColumn("_stem", stem)
-    current = named(marked.join(stems, "_stem", "left_semi"))
-    while True:
-        current = checkpointed(current)
-        first = current.groupBy(out).agg(F.min(sequence).alias("_first"), F.count("*").alias("_n"))
-        losers = (current.join(first.where("_n > 1"), out).where(F.col(sequence) > F.col("_first"))
-                  .groupBy(base).agg(F.min(sequence).alias("_from")))
-        if losers.isEmpty():
-            break
-        moved = current.drop(out).join(losers, base, "left").withColumn(
-            "_k", F.col("_k") + F.when(F.col(sequence) >= F.col("_from"), 1).otherwise(0)).drop("_from")
-        current = named(moved)
-    clear = named(marked.join(stems, "_stem", "left_anti"))
-    return clear.unionByName(current).drop("_k", "_stem")
+    marked = rows.withColumn("_stem", stem)
+    clear = marked.join(stems, "_stem", "left_anti")
+    ranked = position_in_group(clear, base, sequence, "_n")
+    if taken is not None:
+        r, g = ranked.alias("r"), settled(_gaps(clear, taken, base)).alias("g")
+        ranked = r.join(g, (F.col(f"r.{base}") == F.col(f"g.{base}")) & (F.col("r._n") >= F.col("g._from"))
+                        & (F.col("g._until").isNull() | (F.col("r._n") < F.col("g._until"))), "left").select(
+            *[F.col(f"r.{c}") for c in clear.columns], (F.col("_n") + F.coalesce("_skip", F.lit(0))).alias("_n"))
+    ranked = ranked.withColumn(out, F.when(F.col("_n") == 0, F.col(base))
+                               .otherwise(F.concat(base, F.lit("_"), F.col("_n").cast("string")))).drop("_n")
+
+    met = marked.join(stems, "_stem", "left_semi")
+    line = met.select("_stem", F.col(base).alias("_base"), F.col(sequence).cast("bigint").alias("_seq"), F.lit(False).alias("_known"))
+    if taken is not None:
+        known = taken.select(F.regexp_replace("name", r"(_\d+)+$", "").alias("_stem"), F.col("name").alias("_base"))
+        line = line.unionByName(known.join(stems, "_stem", "left_semi").select(
+            "_stem", "_base", F.lit(None).cast("bigint").alias("_seq"), F.lit(True).alias("_known")))
+    handed = (line.repartition("_stem").sortWithinPartitions("_stem", F.col("_known").desc(), "_seq")
+              .mapInArrow(_one_by_one, "_seq bigint, _known boolean, _name string")).where("NOT _known")
+    named = met.join(handed.select(F.col("_seq").alias("_s"), F.col("_name").alias(out)), F.col(sequence) == F.col("_s")).drop("_s")
+    return ranked.unionByName(named.select(*ranked.columns)).drop("_stem")
 
 
 def store_path(name: Column) -> Column:

@@ -1,6 +1,7 @@
 """Folders, streams, stored tables and the whole jobs."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -92,6 +93,27 @@ def test_unique_names_beside_a_known_registry(spark):
         assert got == one_by_one(bases, known), (known, bases)
 
 
+def test_nested_stems_take_a_fixed_number_of_jobs(spark, tmp_path):
+    """A chain x, x_1, x_1_1, ... of 1,000 names, each twice, and a random mix beside a known registry."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(bases, known=None):
+        df = spark.createDataFrame(list(enumerate(bases)), "seq bigint, base string")
+        taken = None if known is None else spark.createDataFrame([(n,) for n in known], "name string")
+        group = f"names-{len(bases)}-{id(bases)}"
+        spark.sparkContext.setJobGroup(group, "names")
+        got = [r.name for r in projects.unique_names(df, "base", "seq", taken=taken).orderBy("seq").collect()]
+        assert got == one_by_one(bases, known or ())
+        return len(tracker.getJobIdsForGroup(group))
+
+    chain = ["x" + "_1" * k for k in range(1000)]
+    short = jobs(chain[:3] + chain[:3])
+    assert jobs(chain + chain) <= short + 4  # the same plan; only its adaptive stages may differ
+    rng = random.Random(4)
+    mix = [rng.choice("xy") + "".join(f"_{rng.randrange(4)}" for _ in range(rng.randrange(4))) for _ in range(800)]
+    jobs(mix, [rng.choice("xy") + "".join(f"_{rng.randrange(1, 4)}" for _ in range(rng.randrange(3))) for _ in range(20)])
+
+
 def failing_on_bad(requests, options):
     if any("bad" in r.prompt for r in requests):
         raise RuntimeError("no")
@@ -105,6 +127,34 @@ def test_failures_cost_only_themselves(spark):
     assert all(rows[i].summary == f"S:t{i}" and rows[i].error is None for i in range(10) if i != 3)
 
 
+def test_open_requests_are_bounded(spark):
+    """Each answer says how many batches were open in its task; order is kept."""
+    class Counting:  # what a task gets: its own counter, made there
+        def __call__(self, requests, options):
+            import builtins
+            import threading as th
+            import time as clock
+            shared = builtins.__dict__.setdefault("_open_requests", {"lock": th.Lock(), "open": 0})
+            with shared["lock"]:
+                shared["open"] += 1
+                seen = shared["open"]
+            clock.sleep(0.02)
+            with shared["lock"]:
+                shared["open"] -= 1
+            return [f"{r.prompt}:{seen}" for r in requests]
+
+    slots = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(600)], "i int, p string").repartition(5)
+    for allowed in (1, 3):
+        assert summarize.open_per_task(spark, allowed * slots) == allowed
+        rows = summarize.summarize(df, ["i"], "p", Counting(), parallelism=allowed * slots, batch=4)
+        assert rows.rdd.getNumPartitions() == 5  # tasks follow the input
+        got = {r.i: r.summary.split(":") for r in rows.collect()}
+        assert all(got[i][0] == f"p{i}" for i in range(600))
+        assert max(int(n) for _, n in got.values()) == allowed
+    assert summarize.open_per_task(spark, None) == summarize.open_per_task(spark, 1) == 1
+
+
 def tables_of(store):
     return {t: sorted(map(str, store.read(t).collect())) for t in ("functions", "function_calls", "file_symbols", "call_sites")}
 
