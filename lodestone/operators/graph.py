@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import struct, those
 from lodestone.operators.extract import each_entry, function_key
-from lodestone.operators.skew import paged_lists, skewed_join
-
-# Callers listed in one row of the code map; more go on to further pages.
-PAGE_SIZE = 50_000
+from lodestone.operators.order import ranked
+from lodestone.operators.skew import skewed_join
+from lodestone.session import settled
 
 
 def directory(functions: DataFrame) -> DataFrame:
@@ -116,10 +115,23 @@ def valid_edges(edges: DataFrame, functions: DataFrame) -> DataFrame:
     return skewed_join(kept, keys.withColumnRenamed("function_key", "callee_key"), "callee_key", "left_semi")
 
 
-def callers(edges: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Who calls each function: function_key, page, callers (A1)."""
-    return paged_lists(edges.withColumnRenamed("callee_key", "function_key"), "function_key",
-                       "caller_name", "callers", page_size)
+def callers(edges: DataFrame) -> DataFrame:
+    """Who calls each function: function_key, position (from 1, by name), caller_name (A1).
+
+    One row per caller, whatever their number: the pairs are sorted by range, so a function that
+    everything calls is spread over as many tasks as its callers need.
+    """
+    pairs = edges.select(F.col("callee_key").alias("function_key"), "caller_name").distinct()
+    placed = settled(ranked(pairs, F.col("function_key"), F.col("caller_name"), out="_rank"))
+    first = placed.groupBy("function_key").agg(F.min("_rank").alias("_first"))
+    return skewed_join(placed, first, "function_key").select(
+        "function_key", (F.col("_rank") - F.col("_first") + 1).alias("position"), "caller_name")
+
+
+def caller_counts(edges: DataFrame) -> DataFrame:
+    """Number of distinct callers of each function that has any: function_key, n_callers."""
+    return (edges.select(F.col("callee_key").alias("function_key"), "caller_name").distinct()
+            .groupBy("function_key").agg(F.count("*").alias("n_callers")))
 
 
 def callees(edges: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 RANGE_ROWS = 100_000
 
 
-
 def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join on ``key`` where ``right`` has one row per key and ``left`` may be skewed.
 
@@ -24,23 +23,6 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     return left.withColumn("_hash", hashed).join(right.withColumn("_hash", hashed), [key, "_hash"], how).drop("_hash")
 
 
-def paged_lists(rows: DataFrame, key: str, value: str, out: str, page_size: int) -> DataFrame:
-    """Distinct, sorted values per key as arrays of about ``page_size`` entries.
-
-    A key with more values gets further rows (``page`` 1, 2, ...) instead of one
-    array without bound; no value is dropped.  Columns: key, page, ``out``.
-    """
-    distinct = rows.select(key, value).distinct()
-    large = (distinct.groupBy(key).agg(F.count("*").alias("_n"))
-             .where(F.col("_n") > page_size)
-             .select(key, F.ceil(F.col("_n") / page_size).cast("int").alias("_pages")))
-    # left join: keys within one page have no entry in ``large``
-    paged = skewed_join(distinct, large, key, "left").withColumn(
-        "page", F.coalesce(F.pmod(F.xxhash64(F.lit("page"), F.col(value)), F.col("_pages")).cast("int"),
-                           F.lit(0)))
-    return paged.groupBy(key, "page").agg(F.array_sort(F.collect_list(value)).alias(out))
-
-
 def position_in_group(rows: DataFrame, group: str, order: str, out: str, width: int | None = None) -> DataFrame:
     """0-based position of each row in its group by an integer column, for groups of any size.
 

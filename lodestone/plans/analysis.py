@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.session import settled
 from lodestone.operators import codemap, extract, graph, snapshots, status, summarize
 from lodestone.operators.skew import skewed_join
-from lodestone.sources.store import Store, upsert
+from lodestone.sources.store import Store
 
 REFRESHED = ["files", "file_symbols", "functions", "call_sites", "function_calls"]
 
@@ -35,26 +36,50 @@ def full_analysis(store: Store, files: DataFrame, commit_sha: str, now: Column,
     """Parse a snapshot, resolve its calls, summarise what is new, return the code map.
 
     The parsed units are stored first: every table below reads them instead of
-    the text, and a lost executor repeats no parsing.
+    the text, and a lost executor repeats no parsing.  Counts per stage are observed while
+    the tables are written (A8, ``run_metrics``).
     """
     store.bootstrap()
     store.replace("files", files)
     files = store.read("files")
     u = store.replace("units", extract.units(files))
     store.replace("file_symbols", extract.file_symbols(u))
-    fns = store.replace("functions", extract.functions(u))
+    fns = store.replace("functions", extract.functions(u), **_kinds())
     sites = store.replace("call_sites", graph.call_sites(u))
     store.replace("function_calls", edges_of(sites, graph.directory(fns)))
     parsed = status.marks(files, "file", "file_key", status.PARSED, commit_sha, now).unionByName(
         status.marks(fns, "function", "function_key", status.PARSED, commit_sha, now))
     store.replace_all(_recorded(store, parsed))
     summarize_new(store, commit_sha, now, with_functions, **how)
+    record_metrics(store, commit_sha, now)
     return view(store, commit_sha)
 
 
-def _recorded(store: Store, marks: DataFrame) -> dict[str, DataFrame]:
-    return {"status_items": status.merge_items(store.read("status_items"), marks),
-            "status_commits": status.merge_commits(store.read("status_commits"), marks)}
+def _kinds() -> dict[str, Column]:
+    """What is counted of functions while they are written."""
+    return {"definitions": F.count_if(F.expr("NOT is_prototype")), "prototypes": F.count_if(F.col("is_prototype"))}
+
+
+def stage_metrics(store: Store) -> dict[str, int]:
+    """Counts of the stages that this store object has written (A8), without another read of any table."""
+    seen = store.metrics
+    found = {"files": ("files", "rows"), "definitions": ("functions", "definitions"), "prototypes": ("functions", "prototypes"),
+             "call_sites": ("call_sites", "rows"), "edges": ("function_calls", "rows"), "unprocessed_files": ("first_pass_files", "rows"),
+             "unprocessed_functions": ("first_pass_functions", "rows"), "failed_files": ("second_pass_files", "failed"),
+             "failed_functions": ("second_pass_functions", "failed")}
+    return {stage: int(seen[table][name] or 0) for stage, (table, name) in found.items() if table in seen and name in seen[table]}
+
+
+def record_metrics(store: Store, commit_sha: str, now: Column) -> None:
+    rows = store.spark.createDataFrame(list(stage_metrics(store).items()), "stage string, n bigint").select(
+        F.lit(commit_sha).alias("commit_sha"), "stage", "n", now.alias("recorded_at"), F.lit(0).alias("_seq"))
+    store.replace_all({"run_metrics": store.merge("run_metrics", rows, ["commit_sha", "stage"], "_seq")})
+
+
+def _recorded(store: Store, marks: DataFrame) -> dict[str, tuple[DataFrame, list[int]]]:
+    buckets = store.touched(marks.select("item_key"))
+    return {"status_items": (status.merge_items(store.read("status_items", buckets), marks), buckets),
+            "status_commits": (status.merge_commits(store.read("status_commits", buckets), marks), buckets)}
 
 
 def summarize_new(store: Store, commit_sha: str, now: Column, with_functions: bool = True,
@@ -66,19 +91,21 @@ def summarize_new(store: Store, commit_sha: str, now: Column, with_functions: bo
         rows = store.read(table)
         return rows.join(_carried(store, key), key, "left_anti") if carry else rows
 
-    def settle(rows: DataFrame) -> DataFrame:
-        return store.replace("first_pass", rows)
+    def settle(item: str):
+        return lambda rows: store.replace(f"first_pass_{item}", rows)
+
+    def second(item: str, rows: DataFrame) -> DataFrame:
+        return store.replace(f"second_pass_{item}", rows, failed=F.count("error"))
 
     files = status.unprocessed(chosen("files", "file_key"), "file_key", store.read("status_commits"), "file",
                                commit_sha, status.SUMMARIZED)
-    done = store.replace("second_pass", summarize.summarize_files(
-        files, store.read("file_symbols"), commit_sha, settle, **how))
+    done = second("files", summarize.summarize_files(files, store.read("file_symbols"), commit_sha, settle("files"), **how))
     _accept(store, done, "file", "file_key", "file_summaries", commit_sha, now)
     if with_functions:
         fns = status.unprocessed(chosen("functions", "function_key"), "function_key", store.read("status_commits"),
                                  "function", commit_sha, status.SUMMARIZED)
-        done = store.replace("second_pass", summarize.summarize_functions(
-            fns.dropDuplicates(["function_key"]), commit_sha, settle, **how))
+        done = second("functions", summarize.summarize_functions(
+            fns.dropDuplicates(["function_key"]), commit_sha, settle("functions"), **how))
         _accept(store, done, "function", "function_key", "function_summaries", commit_sha, now)
 
 
@@ -90,12 +117,11 @@ def _accept(store: Store, done: DataFrame, item_type: str, key: str, table: str,
     basis = good.select(F.col(key).alias("item_key"), "commit_sha", "_seq").join(
         _texts(store, key).withColumnRenamed(key, "item_key"), "item_key").withColumn("summarized_at", now)
     store.replace_all({
-        table: upsert(store.read(table), good, [key, "commit_sha"], "_seq"),
-        "summary_basis": upsert(store.read("summary_basis"), basis.select(
+        table: store.merge(table, good, [key, "commit_sha"], "_seq"),
+        "summary_basis": store.merge("summary_basis", basis.select(
             F.lit(item_type).alias("item_type"), "item_key", "commit_sha", "text_hash", "summarized_at", "_seq"),
             ["item_type", "item_key", "commit_sha"], "_seq"),
-        "rejects": upsert(store.read("rejects"), bad.withColumn("_seq", F.lit(0)),
-                          ["item_type", "item_key", "commit_sha"], "_seq"),
+        "rejects": store.merge("rejects", bad.withColumn("_seq", F.lit(0)), ["item_type", "item_key", "commit_sha"], "_seq"),
         **_recorded(store, status.marks(good, item_type, key, status.SUMMARIZED, commit_sha, now))})
 
 
@@ -130,55 +156,91 @@ def view(store: Store, commit_sha: str) -> DataFrame:
                             store.read("function_calls"), file_text, fn_text)
 
 
-def refreshed(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFrame,
-              keep: Callable[[DataFrame], DataFrame] = settled) -> dict[str, DataFrame]:
-    """Structure tables of the new snapshot from those of the old one.
+def callers_view(store: Store) -> DataFrame:
+    """The callers of every record of :func:`view`."""
+    return codemap.code_map_callers(store.read("functions"), store.read("function_calls"))
+
 
-    Only changed files are parsed.  Call sites are looked up again when their
-    file changed, or when the function behind their name did; all others keep
-    their edge.
+class Changes(NamedTuple):
+    """What a new snapshot does to the stored tables.
+
+    ``touched`` (path) files are new, gone or different; ``moved`` (callee) names stand for another function now;
+    ``fresh`` has per table the rows that come in.
     """
-    changes = snapshots.changed_files(old_files, new_files)
-    touched = changes.select("path")
-    parse = new_files.join(snapshots.files_to_refresh(changes).select("path"), "path", "left_semi")
-    u = keep(extract.units(parse))
+    touched: DataFrame
+    moved: DataFrame
+    fresh: dict[str, DataFrame]
+
+    def applied(self, table: str, old: DataFrame) -> DataFrame:
+        """``old``, the table or some of its buckets, without what is stale, and all that is fresh."""
+        kept = old.join(self.touched, "path", "left_anti")
+        if table == "function_calls":
+            marked = skewed_join(kept, self.moved.withColumn("_moved", F.lit(True)), "callee", "left")
+            kept = marked.where("_moved is null").drop("_moved")
+        return kept.select(*old.columns).unionByName(self.fresh[table].select(*old.columns))
 
-    def replaced(table: str, fresh: DataFrame) -> DataFrame:
-        return old[table].join(touched, "path", "left_anti").unionByName(fresh.select(*old[table].columns))
 
-    fns = replaced("functions", extract.functions(u))
-    new_sites = graph.call_sites(u)
+def changes(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFrame,
+            keep: Callable[[DataFrame], DataFrame] = settled) -> Changes:
+    """Parse the changed files and look up again the sites whose file or callee changed.
+
+    Only names that a changed file has or had can stand for another function, and only names that are called from sites to
+    look up are needed, so the functions of these names alone are ranked.
+    """
+    listed = snapshots.changed_files(old_files, new_files)
+    touched = settled(listed.select("path"))
+    parse = new_files.join(snapshots.files_to_refresh(listed).select("path"), "path", "left_semi")
+    u = keep(extract.units(parse))
+    fresh = settled(extract.functions(u))
+    columns = ["name", "is_prototype", "path", "ordinal", "function_key"]
+    before = old["functions"].select(*columns)
+    after = before.join(touched, "path", "left_anti").unionByName(fresh.select(*columns))
+    names = settled(before.join(touched, "path", "left_semi").select("name").union(fresh.select("name")).distinct())
+
+    def standing(functions: DataFrame, among: DataFrame) -> DataFrame:
+        return graph.directory(skewed_join(functions, among, "name", "left_semi"))
+
+    moved = settled(standing(before, names).select("callee", F.col("callee_key").alias("_old"))
+                    .join(standing(after, names).select("callee", F.col("callee_key").alias("_new")), "callee", "full_outer")
+                    .where(~F.col("_old").eqNullSafe(F.col("_new"))).select("callee"))
+    new_sites = settled(graph.call_sites(u))
     kept_sites = old["call_sites"].join(touched, "path", "left_anti")
-    before, after = graph.directory(old["functions"]), graph.directory(fns)
-    moved = (before.select("callee", F.col("callee_key").alias("_old"))
-             .join(after.select("callee", F.col("callee_key").alias("_new")), "callee", "full_outer")
-             .where(~F.col("_old").eqNullSafe(F.col("_new"))).select("callee"))
-    again = new_sites.unionByName(
-        skewed_join(kept_sites, moved, "callee", "left_semi"))
-    marked = skewed_join(
-        old["function_calls"].join(touched, "path", "left_anti"), moved.withColumn("_moved", F.lit(True)), "callee", "left")
-    kept_edges = marked.where("_moved is null").drop("_moved")
-    edges = kept_edges.unionByName(edges_of(again, after).select(*kept_edges.columns))
-    return {"functions": fns, "file_symbols": replaced("file_symbols", extract.file_symbols(u)),
-            "call_sites": kept_sites.unionByName(new_sites.select(*kept_sites.columns)),
-            "function_calls": edges}
+    again = settled(new_sites.unionByName(skewed_join(kept_sites, moved, "callee", "left_semi").select(*new_sites.columns)))
+    called = again.select(F.col("callee").alias("name")).distinct()
+    return Changes(touched, moved, {
+        "functions": fresh, "file_symbols": extract.file_symbols(u), "call_sites": new_sites,
+        "function_calls": settled(edges_of(again, standing(after, called)))})
+
+
+def refreshed(old: dict[str, DataFrame], old_files: DataFrame, new_files: DataFrame,
+              keep: Callable[[DataFrame], DataFrame] = settled) -> dict[str, DataFrame]:
+    """Structure tables of the new snapshot from those of the old one."""
+    found = changes(old, old_files, new_files, keep)
+    return {table: found.applied(table, old[table]) for table in found.fresh}
 
 
 def refresh(store: Store, new_files: DataFrame, commit_sha: str, now: Column,
             with_functions: bool = True, **how) -> DataFrame:
     """Bring the stored tables to a new snapshot and summarise what changed.
 
-    All structure tables change in one step, so a run that stops before it starts again
+    Only buckets that hold a changed file, or an edge to a name that stands for another function now,
+    are written.  All structure tables change in one step, so a run that stops before it starts again
     from the old ones, and one that stops after it goes on with the summaries.
     """
     store.bootstrap()
     old = {t: store.read(t) for t in REFRESHED}
-    tables = refreshed(old, old["files"], new_files, lambda u: store.replace("units_changed", u))
-    store.replace_all({**tables, "files": new_files})
+    found = changes(old, old["files"], new_files, lambda u: store.replace("units_changed", u))
+    buckets = store.touched(found.touched)
+    stale = skewed_join(old["call_sites"].select("path", "callee"), found.moved, "callee", "left_semi").select("path")
+    of_edges = store.touched(found.touched, stale)
+    tables = {t: (found.applied(t, store.read(t, b)), b)
+              for t in found.fresh for b in [of_edges if t == "function_calls" else buckets]}
+    store.replace_all({**tables, "files": (new_files, buckets)}, {"functions": _kinds()})
     parsed = status.marks(store.read("files"), "file", "file_key", status.PARSED, commit_sha, now).unionByName(
         status.marks(store.read("functions"), "function", "function_key", status.PARSED, commit_sha, now))
     store.replace_all(_recorded(store, parsed))
     summarize_new(store, commit_sha, now, with_functions, carry=True, **how)
+    record_metrics(store, commit_sha, now)
     return view(store, commit_sha)
 
 

@@ -3,7 +3,8 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.operators import codemap, extract, graph
-from lodestone.operators.skew import paged_lists, position_in_group, skewed_join
+from lodestone.operators.skew import position_in_group, skewed_join
+from lodestone.session import settled
 
 
 def build(df):
@@ -50,31 +51,33 @@ def test_enclosing_functions_against_brute_force(spark):
     assert sorted((r.path, r.caller_line, r.callee_name, r.caller) for r in got.collect()) == want
 
 
-def test_long_lists_continue_on_further_pages(spark):
-    rows = [("hot", f"v{i:04d}") for i in range(1000)] * 2 + [("cold", "a"), ("cold", "b")]
-    df = spark.createDataFrame(rows, "k string, v string")
-    pages = paged_lists(df, "k", "v", "vs", 100).collect()
-    hot = [r for r in pages if r.k == "hot"]
-    assert len(hot) == 10 and max(len(r.vs) for r in hot) < 200
-    assert sorted(v for r in hot for v in r.vs) == [f"v{i:04d}" for i in range(1000)]
-    assert [(r.page, r.vs) for r in pages if r.k == "cold"] == [(0, ["a", "b"])]
+def test_callers_in_one_layout_at_any_number(spark):
+    """One callee above 50,000 callers beside small ones, sorted by range."""
+    n = 60_000
+    hot = spark.range(n).select(F.lit("hot").alias("callee_key"), F.format_string("f%06d", F.col("id")).alias("caller_name"))
+    few = spark.createDataFrame([("cold", "b"), ("cold", "a"), ("cold", "b"), ("lone", "z")], "callee_key string, caller_name string")
+    rows = settled(graph.callers(hot.unionByName(hot.limit(100)).unionByName(few)))
+    assert rows.where("function_key = 'hot'").count() == n
+    assert rows.where("function_key = 'hot' AND caller_name <> format_string('f%06d', position - 1)").count() == 0
+    assert sorted((r.function_key, r.position, r.caller_name) for r in rows.where("function_key <> 'hot'").collect()) == [
+        ("cold", 1, "a"), ("cold", 2, "b"), ("lone", 1, "z")]
+    assert graph.callers(few.limit(0)).count() == 0
 
 
-def test_code_map_keeps_every_caller_on_its_pages(spark, files):
+def test_code_map_and_its_callers(spark, files):
     body = "\n".join(f"int f{i}(void) {{ hot(); }}" for i in range(40))
     df = files(a_DOT_c="int hot(void) { cold(); }\n", b_DOT_c=body, c_DOT_h="int cold(void);\nstruct s { int a; };\n", d_DOT_c="")
     u = extract.units(df)
     fns, sites, names = build(df)
     edges = graph.call_edges(graph.resolve(sites, names))
-    rows = codemap.code_map(df, fns, extract.file_symbols(u), edges, page_size=10).collect()
-    pages = [r for r in rows if r.path == "a.c"]
-    assert len(pages) == 4 and sorted(r.page for r in pages) == [0, 1, 2, 3]
-    callers = [c for r in pages for f in r.functions for c in f.callers or []]
-    assert sorted(callers) == sorted(f"b.c::f{i}" for i in range(40))
-    assert [f.callees for r in pages for f in r.functions if f.callees] == [["c.h::cold"]]
-    by_path = {r.path: r for r in rows if r.page == 0}
-    assert by_path["d.c"].functions == [] and [s.name for s in by_path["c.h"].structs] == ["s"]
-    assert [f.prototype for f in by_path["c.h"].functions] == [True]
+    rows = {r.path: r for r in codemap.code_map(df, fns, extract.file_symbols(u), edges).collect()}
+    assert [(f.n_callers, f.callees) for f in rows["a.c"].functions] == [(40, ["c.h::cold"])]
+    assert rows["d.c"].functions == [] and [s.name for s in rows["c.h"].structs] == ["s"]
+    assert [f.prototype for f in rows["c.h"].functions] == [True]
+    callers = codemap.code_map_callers(fns, edges).where("path = 'a.c'").orderBy("position").collect()
+    assert [(r.position, r.caller) for r in callers] == [(k + 1, c) for k, c in enumerate(sorted(f"b.c::f{i}" for i in range(40)))]
+    # files that are not asked for have no row, and no record of theirs goes to another
+    assert [r.path for r in codemap.code_map(df.where("path = 'a.c'"), fns, extract.file_symbols(u), edges).collect()] == ["a.c"]
 
 
 def test_skewed_join_and_positions_against_brute_force(spark):

@@ -55,6 +55,54 @@ def test_bootstrap_and_versions(spark, tmp_path):
     assert store.replace("projects", store.read("projects").distinct()).count() == 1
 
 
+def parquet_files(root):
+    return {os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def test_an_upsert_writes_the_buckets_of_its_keys(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store = Store(spark, root, buckets=8)
+    store.bootstrap()
+    rows = spark.range(400).select(F.concat(F.lit("k"), "id").alias("file_key"), F.lit("c").alias("commit_sha"), F.lit("old").alias("summary"),
+                                   F.lit("").alias("summary_refined"))
+    store.replace("file_summaries", rows)
+    before = parquet_files(f"{root}/file_summaries")
+    assert len(before) == 8 and store.metrics["file_summaries"]["rows"] == 400
+    update = rows.where("file_key IN ('k7', 'new')").withColumn("summary", F.lit("new")).withColumn("seq", F.lit(1))
+    change = store.merge("file_summaries", update, ["file_key", "commit_sha"], "seq")
+    assert len(change[1]) == 1
+    store.replace_all({"file_summaries": change})
+    assert len(parquet_files(f"{root}/file_summaries") - before) == 1 and store.metrics["file_summaries"]["rows"] < 100
+    got = {r.file_key: r.summary for r in store.read("file_summaries").collect()}
+    assert got == {f"k{i}": "new" if i == 7 else "old" for i in range(400)}
+    # a bucket that loses its last row is gone, the others stay
+    bucket = change[1]
+    store.replace_all({"file_summaries": (store.read("file_summaries", bucket).limit(0), bucket)})
+    assert 300 < store.read("file_summaries").count() < 400
+    # folders that no recent manifest names are removed
+    for _ in range(6):
+        store.replace("file_summaries", store.read("file_summaries"))
+    assert not before & parquet_files(f"{root}/file_summaries")
+    assert len(os.listdir(f"{root}/_manifests")) - sum(f.endswith(".crc") for f in os.listdir(f"{root}/_manifests")) == 4
+    assert Store(spark, root, buckets=99).buckets == 8
+
+
+def test_a_refresh_writes_the_buckets_it_touches(spark, tmp_path, files):
+    root = str(tmp_path / "store")
+    store = Store(spark, root, buckets=16)
+    names = {f"f{i}_DOT_c": f"int f{i}(void) {{ f{(i + 1) % 60}(); }}\n" for i in range(60)}
+    analysis.full_analysis(store, corpus.with_hash(files(**names)), "c1", now(), with_functions=False)
+    before = parquet_files(root)
+    new = corpus.with_hash(files(**dict(names, f3_DOT_c="\nint f3(void) { f4(); f9(); }\n")))
+    analysis.refresh(store, new, "c2", now(), with_functions=False)
+    for table in ("files", "functions", "call_sites", "file_symbols"):
+        assert len(parquet_files(f"{root}/{table}") - before) <= 1, table
+    assert len(parquet_files(f"{root}/function_calls") - before) <= 2  # f2 calls f3, whose place changed
+    fresh = Store(spark, str(tmp_path / "fresh"))
+    analysis.full_analysis(fresh, new, "c2", now(), with_functions=False)
+    assert tables_of(store) == tables_of(fresh)
+
+
 def test_upsert_twice_is_once(spark):
     old = spark.createDataFrame([("a", "c", 1), ("b", "c", 2)], "k string, sha string, v int")
     new = spark.createDataFrame([("a", "c", 5, 1), ("a", "c", 6, 2), ("n", "c", 7, 1)], "k string, sha string, v int, seq int")
@@ -166,7 +214,11 @@ def test_full_analysis_then_refresh(spark, tmp_path, files):
         bad_DOT_c="int bad(void) { f(); }\n"))
     cmap = analysis.full_analysis(store, first, "c1", now(), fn=failing_on_bad)
     by_path = {r.path: r for r in cmap.collect()}
-    assert by_path["b.c"].functions[0].callers == ["a.c::f"] and by_path["b.c"].file_summary.startswith("S:")
+    assert by_path["b.c"].functions[0].n_callers == 1 and by_path["b.c"].file_summary.startswith("S:")
+    assert [(r.name, r.caller) for r in analysis.callers_view(store).where("path = 'b.c'").collect()] == [("g", "a.c::f")]
+    counted = {r.stage: r.n for r in store.read("run_metrics").collect()}
+    assert counted == {"files": 4, "definitions": 3, "prototypes": 2, "call_sites": 3, "edges": 3, "unprocessed_files": 4,
+                       "unprocessed_functions": 5, "failed_files": 1, "failed_functions": 1}
     assert by_path["b.c"].functions[0].func_summary.startswith("S:")
     assert by_path["bad.c"].file_summary is None
     rejected = {(r.item_type, r.error) for r in store.read("rejects").collect()}
@@ -212,12 +264,12 @@ def test_refresh_that_stops_between_tables_can_be_run_again(spark, tmp_path, fil
     whole = Store._write
     written = []
 
-    def stops(self, table, rows, suffix=""):
-        if suffix:
+    def stops(self, table, rows, buckets=None, **metrics):
+        if buckets is not None:
             written.append(table)
             if len(written) > 2:
                 raise RuntimeError("executor lost")
-        whole(self, table, rows, suffix)
+        return whole(self, table, rows, buckets, **metrics)
 
     with monkeypatch.context() as m:
         m.setattr(Store, "_write", stops)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
 from lodestone.operators import codemap, extract, graph, order, quality, snapshots
 from lodestone.plans import analysis
-from lodestone.session import settled
+from lodestone.session import settled, shared_folder
 from lodestone.sources import corpus as scan
 from workload import fixtures as fx
 from workload.registry import query
@@ -326,8 +330,8 @@ def edge_orphans(spark, d):
 
 
 @query("callers", f"""WITH {fx.SQL_SOURCES}
-SELECT callee_key AS function_key, 0 AS page, string_agg(DISTINCT caller_name, '|' ORDER BY caller_name) AS callers
-FROM edges GROUP BY callee_key""")
+SELECT callee_key AS function_key, row_number() OVER (PARTITION BY callee_key ORDER BY caller_name) AS position, caller_name
+FROM (SELECT DISTINCT callee_key, caller_name FROM edges)""")
 def callers(spark, d):
     return graph.callers(_edges(spark, d)[1])
 
@@ -339,29 +343,67 @@ def callees(spark, d):
     return graph.callees(_edges(spark, d)[1])
 
 
-_SQL_UNIFIED = """
-incoming AS (SELECT callee_key AS function_key, list_sort(list(DISTINCT caller_name)) AS callers FROM edges GROUP BY 1),
-outgoing AS (SELECT caller_key AS function_key, list_sort(list(DISTINCT callee_name)) AS callees FROM edges GROUP BY 1),
+def _unified_sql(functions="functions", edges="edges"):
+    return f"""
+incoming AS (SELECT callee_key AS function_key, list_sort(list(DISTINCT caller_name)) AS callers FROM {edges} GROUP BY 1),
+outgoing AS (SELECT caller_key AS function_key, list_sort(list(DISTINCT callee_name)) AS callees FROM {edges} GROUP BY 1),
 unified AS (
   SELECT path, name, start_line, end_line, min(ordinal) AS ordinal, arg_min(return_type, ordinal) AS return_type,
          arg_min(is_prototype, ordinal) AS prototype,
          list_sort(list_distinct(flatten(list(coalesce(callers, []))))) AS callers,
          list_sort(list_distinct(flatten(list(coalesce(callees, []))))) AS callees
-  FROM functions LEFT JOIN incoming USING (function_key) LEFT JOIN outgoing USING (function_key)
+  FROM {functions} LEFT JOIN incoming USING (function_key) LEFT JOIN outgoing USING (function_key)
   GROUP BY path, name, start_line, end_line)"""
 
 
-@query("unify_functions", f"""WITH {fx.SQL_SOURCES}, {_SQL_UNIFIED}
-SELECT path, name, start_line, end_line, prototype, return_type, array_to_string(callers, '|') AS callers,
-       array_to_string(callees, '|') AS callees, CASE WHEN prototype THEN NULL ELSE name || '!' END AS func_summary
+_SQL_UNIFIED = _unified_sql()
+# A prototype beside every definition of brand1, and the other way round, which has part of its edges.
+_SQL_TWINS = """
+twins AS (
+  SELECT * FROM functions
+  UNION ALL SELECT path, name, 'long', parameters, start_line, end_line, NOT is_prototype, snippet, ordinal + 1000000,
+                   md5(function_key || 'twin'), file_key, qualified_name FROM functions WHERE path LIKE '%/brand1/%'),
+twin_edges AS (
+  SELECT CASE WHEN caller_name LIKE '%/brand1/%' AND callee_key < '8' THEN md5(caller_key || 'twin') ELSE caller_key END AS caller_key,
+         CASE WHEN callee_name LIKE '%/brand1/%' AND caller_key < '8' THEN md5(callee_key || 'twin') ELSE callee_key END AS callee_key,
+         caller_name, callee_name FROM edges)"""
+
+
+def _twins(spark, d):
+    fns, edges = _edges(spark, d)
+
+    def twin(key):
+        return F.md5(F.concat(key, F.lit("twin")).cast("binary"))
+
+    own = fns.where(F.col("path").contains("/brand1/")).withColumns({
+        "function_key": twin("function_key"), "is_prototype": ~F.col("is_prototype"), "ordinal": F.col("ordinal") + 1_000_000,
+        "return_type": F.lit("long")})
+
+    def end(key, name, other):
+        return F.when(F.col(name).contains("/brand1/") & (F.col(other) < "8"), twin(key)).otherwise(F.col(key)).alias(key)
+
+    return settled(fns.unionByName(own)), edges.select(
+        end("caller_key", "caller_name", "callee_key"), end("callee_key", "callee_name", "caller_key"), "caller_name", "callee_name")
+
+
+@query("unify_functions", f"""WITH {fx.SQL_SOURCES}, {_SQL_TWINS}, {_unified_sql("twins", "twin_edges")}
+SELECT path, name, start_line, end_line, prototype, return_type, len(callers) AS n_callers,
+       array_to_string(callees, '|') AS callees,
+       CASE WHEN prototype AND path NOT LIKE '%/brand1/%' THEN NULL ELSE name || '!' END AS func_summary
 FROM unified""")
 def unify_functions(spark, d):
-    fns, edges = _edges(spark, d)
-    # a refined summary for definitions, an empty one for prototypes
+    """Records of one or two functions; the summary is that of the definition, prototypes have empty ones."""
+    fns, edges = _twins(spark, d)
     summaries = fns.select("function_key", F.lit("").alias("summary"),
                            F.when(~F.col("is_prototype"), F.concat("name", F.lit("!"))).alias("summary_refined")).distinct()
     return codemap.unified_functions(fns, edges, summaries).select(
-        "path", "name", "start_line", "end_line", "prototype", "return_type", "callers", "callees", "func_summary")
+        "path", "name", "start_line", "end_line", "prototype", "return_type", "n_callers", "callees", "func_summary")
+
+
+@query("function_callers", f"""WITH {fx.SQL_SOURCES}, {_SQL_TWINS}, {_unified_sql("twins", "twin_edges")}
+SELECT path, name, start_line, end_line, unnest(callers) AS caller, unnest(range(1, len(callers) + 1)) AS position FROM unified""")
+def function_callers(spark, d):
+    return codemap.code_map_callers(*_twins(spark, d))
 
 
 @query("call_hubs", f"""WITH {fx.SQL_SOURCES},
@@ -374,13 +416,15 @@ def call_hubs(spark, d):
 
 
 def _code_map(spark, d):
-    files = fx.sources(spark, d)
-    t = analysis.structure(files)
+    """Code map and callers; the functions of brand2 are known, its files are not."""
+    sources = settled(fx.sources(spark, d))
+    t = analysis.structure(sources)
     edges = settled(t["function_calls"])
+    files = sources.where(~F.col("path").contains("/brand2/"))
     key = F.md5(F.col("path").cast("binary"))
     texts = files.select("path", key.alias("file_key"), F.col("content").alias("summary"),
                          F.lit("").alias("summary_refined"))
-    return codemap.code_map(files, t["functions"], t["file_symbols"], edges, texts)
+    return codemap.code_map(files, t["functions"], t["file_symbols"], edges, texts), codemap.code_map_callers(t["functions"], edges)
 
 
 @query("code_map", f"""WITH {fx.SQL_SOURCES}, {_SQL_SYMBOLS}, {_SQL_UNIFIED},
@@ -393,36 +437,76 @@ syms AS (
          count(*) FILTER (symbol_type = 'global') AS n_globals,
          string_agg(symbol_name, '|' ORDER BY symbol_name) FILTER (symbol_type = 'struct') AS struct_names
   FROM symbols GROUP BY path)
-SELECT path, 0 AS page, md5(content) AS file_summary, coalesce(n_functions, 0) AS n_functions,
+SELECT path, md5(content) AS file_summary, coalesce(n_functions, 0) AS n_functions,
        coalesce(function_names, '') AS function_names, coalesce(n_callers, 0) AS n_callers,
        coalesce(n_callees, 0) AS n_callees, coalesce(n_structs, 0) AS n_structs, coalesce(n_typedefs, 0) AS n_typedefs,
        coalesce(n_globals, 0) AS n_globals, coalesce(struct_names, '') AS struct_names
-FROM files LEFT JOIN fns USING (path) LEFT JOIN syms USING (path)""")
+FROM files LEFT JOIN fns USING (path) LEFT JOIN syms USING (path) WHERE path NOT LIKE '%/brand2/%'""")
 def code_map(spark, d):
-    def total(name):
-        return F.aggregate(F.transform("functions", lambda f: F.coalesce(F.size(f[name]), F.lit(0))), F.lit(0),
-                           lambda a, x: a + F.greatest(x, F.lit(0)))
-    return _code_map(spark, d).select(
-        "path", "page", F.md5(F.col("file_summary").cast("binary")).alias("file_summary"), F.size("functions").alias("n_functions"),
-        F.col("functions.name").alias("function_names"), total("callers").alias("n_callers"),
-        total("callees").alias("n_callees"), F.size("structs").alias("n_structs"), F.size("typedefs").alias("n_typedefs"),
+    def total(each):
+        return F.aggregate(F.transform("functions", each), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return _code_map(spark, d)[0].select(
+        "path", F.md5(F.col("file_summary").cast("binary")).alias("file_summary"), F.size("functions").alias("n_functions"),
+        F.col("functions.name").alias("function_names"), total(lambda f: f["n_callers"]).alias("n_callers"),
+        total(lambda f: F.greatest(F.coalesce(F.size(f["callees"]), F.lit(0)), F.lit(0)).cast("bigint")).alias("n_callees"),
+        F.size("structs").alias("n_structs"), F.size("typedefs").alias("n_typedefs"),
         F.size("globals").alias("n_globals"), F.array_sort("structs.name").alias("struct_names"))
 
 
-@query("code_map_json")
+@query("code_map_json", f"""WITH {fx.SQL_SOURCES}, {_SQL_SYMBOLS}, {_SQL_UNIFIED},
+params AS (SELECT path, name, start_line, end_line, arg_min(parameters, ordinal) AS parameters FROM functions GROUP BY ALL),
+shown AS (SELECT * FROM files WHERE path NOT LIKE '%/brand2/%'),
+syms AS (SELECT *, row_number() OVER (PARTITION BY path, symbol_type ORDER BY k, symbol_name) AS n FROM symbols)
+SELECT path, 'file' AS kind, 0 AS position, NULL AS name, md5(content) AS text, NULL AS lines, 'path|file_summary|functions|structs|typedefs|globals' AS more
+FROM shown
+UNION ALL SELECT path, CASE WHEN prototype THEN 'prototype' ELSE 'function' END, row_number() OVER (PARTITION BY path ORDER BY ordinal), name,
+       return_type || '(' || parameters || ')', start_line || '-' || end_line, len(callers) || '<' || array_to_string(callees, '|')
+FROM unified JOIN params USING (path, name, start_line, end_line) JOIN shown USING (path)
+UNION ALL SELECT path, symbol_type, n, symbol_name, code_snippet, NULL, coalesce(fields, original, '') FROM syms JOIN shown USING (path)
+UNION ALL SELECT path, 'caller', unnest(range(1, len(callers) + 1)), name, unnest(callers), start_line || '-' || end_line, '' FROM unified""")
 def code_map_json(spark, d):
-    return codemap.as_json(_code_map(spark, d))
+    """Written as JSON lines, read back with the declared schema, and taken apart field by field."""
+    folder = f"{shared_folder(spark).rstrip('/')}/json/{uuid.uuid4().hex}"
+    codemap.write_json(*_code_map(spark, d), folder)
+    files, callers = codemap.read_json(spark, folder)
+    keys = spark.read.text(f"{folder}/files").select(
+        F.get_json_object("value", "$.path").alias("path"), F.array_join(F.json_object_keys("value"), "|").alias("keys"))
+    none = F.lit(None).cast("string")
+    span = F.concat_ws("-", "x.start_line", "x.end_line")
+
+    def part(items, kind, name, text, lines, more):
+        rows = files.select("path", F.posexplode(items).alias("n", "x"))
+        return rows.select("path", kind.alias("kind"), (F.col("n") + 1).cast("bigint").alias("position"), F.col(name).alias("name"), text.alias("text"),
+                           lines.alias("lines"), more.alias("more"))
+
+    shown = [
+        files.join(keys, "path").select("path", F.lit("file").alias("kind"), F.lit(0).cast("bigint").alias("position"), none.alias("name"),
+                                        F.md5(F.col("file_summary").cast("binary")).alias("text"), none.alias("lines"), F.col("keys").alias("more")),
+        part("functions", F.when(F.col("x.prototype"), "prototype").otherwise("function"), "x.name",
+             F.concat("x.return_type", F.lit("("), F.array_join("x.parameters", "|"), F.lit(")")), span,
+             F.concat("x.n_callers", F.lit("<"), F.array_join(F.coalesce("x.callees", F.array().cast("array<string>")), "|"))),
+        part("structs", F.lit("struct"), "x.name", F.col("x.code"), none, F.array_join("x.fields", "|")),
+        part("typedefs", F.lit("typedef"), "x.alias", F.col("x.code"), none, F.col("x.original")),
+        part("globals", F.lit("global"), "x.name", F.col("x.type"), none, F.lit("")),
+        callers.select("path", F.lit("caller").alias("kind"), "position", "name", F.col("caller").alias("text"),
+                       F.concat_ws("-", "start_line", "end_line").alias("lines"), F.lit("").alias("more"))]
+    return functools.reduce(DataFrame.unionByName, shown)
 
 
 @query("function_report", f"""WITH {fx.SQL_SOURCES}, {_SQL_UNIFIED}
 SELECT f.path, CASE WHEN u.path IS NOT NULL THEN row_number() OVER (PARTITION BY f.path ORDER BY ordinal) END AS number,
        u.name, u.return_type, u.start_line || '–' || u.end_line AS lines,
-       len(callers) > 0 OR len(callees) > 0 AS has_details
+       len(callers) > 0 OR len(callees) > 0 OR (NOT prototype AND start_line % 2 = 0) AS has_details
 FROM files f LEFT JOIN unified u ON u.path = f.path""")
 def function_report(spark, d):
-    files = fx.sources(spark, d)
-    fns, edges = _edges(spark, d)
-    return codemap.function_report(files, codemap.unified_functions(fns, edges))
+    """Summaries for every definition that starts on an even line, empty ones for the others."""
+    files = settled(fx.sources(spark, d))
+    u = settled(extract.units(files))
+    fns = settled(extract.functions(u))
+    edges = settled(graph.call_edges(graph.resolve(graph.call_sites(u), graph.directory(fns))))
+    text = F.when(~F.col("is_prototype") & (F.col("start_line") % 2 == 0), "text").otherwise("")
+    summaries = fns.select("function_key", text.alias("summary"), F.lit("").alias("summary_refined"))
+    return codemap.function_report(files, fns, edges, summaries)
 
 
 @query("path_tree", f"""WITH {fx.SQL_SOURCES},
@@ -485,7 +569,7 @@ def full_analysis(spark, d):
     t = analysis.structure(scan.scan_table(fx.sources(spark, d)))
     return codemap.unified_functions(t["functions"], t["function_calls"]).groupBy(
         "path", "name", "start_line", "end_line", "prototype", "return_type").agg(
-        F.sum(F.size("callers")).alias("n_callers"), F.sum(F.size("callees")).alias("n_callees"))
+        F.sum("n_callers").alias("n_callers"), F.sum(F.size("callees")).alias("n_callees"))
 
 
 @query("refresh_changed", f"""WITH {fx.SQL_SOURCES}
