@@ -242,23 +242,3 @@ def refresh(store: Store, new_files: DataFrame, commit_sha: str, now: Column,
     summarize_new(store, commit_sha, now, with_functions, carry=True, **how)
     record_metrics(store, commit_sha, now)
     return view(store, commit_sha)
-
-
-def stage_counts(files: DataFrame, functions: DataFrame, sites: DataFrame, edges: DataFrame,
-                   commits: DataFrame, commit_sha: str) -> DataFrame:
-    """Counts per stage (A8): stage, n."""
-    def count(stage: str, rows: DataFrame) -> DataFrame:
-        return rows.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), "n")
-
-    rows = [
-        count("files", files), count("definitions", functions.where("not is_prototype")),
-        count("prototypes", functions.where("is_prototype")), count("call_sites", sites),
-        count("edges", edges),
-        count("unprocessed_files", status.unprocessed(files, "file_key", commits, "file", commit_sha)),
-        count("unprocessed_functions",
-              status.unprocessed(functions, "function_key", commits, "function", commit_sha)),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out

@@ -23,11 +23,14 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(at > 0, plain.substr(at + F.lit(len(folder)), F.length(plain))).otherwise(plain)
 
 
-def scan_folder(spark: SparkSession, root: str) -> DataFrame:
-    """All ``.c`` and ``.h`` files below ``root`` (S1-S3): path, content, content_hash."""
+def scan_folder(spark: SparkSession, root: str, glob: str = "*.{c,h}", path_of: Column | None = None) -> DataFrame:
+    """All ``.c`` and ``.h`` files below ``root`` (S1-S3): path, content, content_hash.
+
+    ``path_of`` names a file (column ``path``) that is not known by its place below ``root``.
+    """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.{c,h}").load(root))
-    return decoded(raw, root)
+           .option("pathGlobFilter", glob).load(root))
+    return decoded(raw, root, path_of)
 
 
 def decoded(raw: DataFrame, root: str, path: Column | None = None) -> DataFrame:

@@ -9,10 +9,14 @@ tables grow; repeated calls of one callee are aggregated before the shuffle.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.arrays import quoted
+from lodestone.session import shared_folder
 
 ORDERS_PER_BLOCK = 50_000
 PARTS_PER_FILE = 1_000
@@ -47,7 +51,22 @@ def _part(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE 'unsigned long ' END AS ret")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+_kept: dict[tuple[str, str, str], str] = {}
+
+
+def _once(name: str, render: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Render an input once for a session and folder; later queries read the written table."""
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        place = (spark.sparkContext.applicationId, sf_dir, name)
+        if place not in _kept:
+            _kept[place] = f"{shared_folder(spark).rstrip('/')}/rendered/{uuid.uuid4().hex}"
+            render(spark, sf_dir).write.parquet(_kept[place])
+        return spark.read.schema("path string, content string").parquet(_kept[place])
+
+    return read
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``.c`` files: path, content."""
     part = _part(spark, sf_dir)
     n_parts = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
@@ -74,7 +93,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rendered(functions, PROLOGUE)
 
 
-def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``.h`` files: path, content; one item per part."""
     items = _part(spark, sf_dir).selectExpr(
         f"concat('include/', folder, '/h', p_partkey div {PARTS_PER_FILE}, '.h') AS path",
@@ -118,6 +137,9 @@ def _rendered(items: DataFrame, prologue: str) -> DataFrame:
         f"concat({quoted(prologue)}, array_join(array_sort(collect_list(item)).text, ''))").alias("content"))
 
 
+corpus, headers = _once("corpus", _corpus), _once("headers", _headers)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).unionByName(headers(spark, sf_dir))
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text
-from lodestone.operators import extract, packages, projects, prompts, quality, snapshots, status, summarize
+from lodestone.operators import extract, graph, packages, projects, prompts, quality, snapshots, status, summarize
 from lodestone.plans import analysis
 from lodestone.session import settled, shared_folder
 from lodestone.sources import corpus as scan
-from lodestone.sources.store import upsert
+from lodestone.schemas import DDL
+from lodestone.sources.store import Store, upsert
 from lodestone.streaming import ingest
 from workload import fixtures as fx
 from workload.registry import query
@@ -109,11 +112,38 @@ UNION ALL SELECT 'edges', count(*) FROM edges
 UNION ALL SELECT 'unprocessed_files', count(*) FROM files
 UNION ALL SELECT 'unprocessed_functions', count(*) FROM functions WHERE NOT md5(snippet) < 'a'""")
 def stage_counts(spark, d):
-    files = fx.sources(spark, d)
-    t = analysis.structure(files)
-    keyed = files.select(F.md5(F.col("path").cast("binary")).alias("file_key"))
-    return analysis.stage_counts(keyed, t["functions"], t["call_sites"], t["function_calls"],
-                                   _function_status(t["functions"]), "c1")
+    """Observed while the tables are written."""
+    store = _store(spark)
+    store.replace("files", scan.with_hash(fx.sources(spark, d)))
+    u = store.replace("units", extract.units(store.read("files")))
+    fns = store.replace("functions", extract.functions(u), definitions=F.count_if(F.expr("NOT is_prototype")),
+                        prototypes=F.count_if("is_prototype"))
+    sites = store.replace("call_sites", graph.call_sites(u))
+    store.replace("function_calls", analysis.edges_of(sites, graph.directory(fns)))
+    done = _function_status(fns)
+    store.replace("first_pass_files", status.unprocessed(store.read("files"), "file_key", done, "file", "c1"))
+    store.replace("first_pass_functions", status.unprocessed(fns, "function_key", done, "function", "c1"))
+    return spark.createDataFrame(list(analysis.stage_metrics(store).items()), "stage string, n bigint")
+
+
+def _store(spark):
+    store = Store(spark, f"{shared_folder(spark).rstrip('/')}/stores/{uuid.uuid4().hex}")
+    store.bootstrap()
+    return store
+
+
+@query("store_tables", f"""WITH {fx.SQL_DOCFILES}
+SELECT 'files' AS "table", (SELECT count(*) FROM docfiles) AS n UNION ALL SELECT 'projects', count(*) FROM pages
+{" ".join(f"UNION ALL SELECT '{t}', 0" for t in DDL if t not in ("files", "projects"))}""")
+def store_tables(spark, d):
+    """Every declared table of a new store, two of them filled by appends."""
+    store = _store(spark)
+    docs = scan.with_hash(fx.docfiles(spark, d).drop("file_key"))
+    for half in (0, 1):
+        store.append("files", docs.where(F.length("path") % 2 == half))
+    store.append("projects", projects.register(fx.repo_urls(spark, d), "/srv/projects"))
+    counts = [store.read(t).agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t in DDL]
+    return functools.reduce(DataFrame.unionByName, counts)
 
 
 # -- summaries ----------------------------------------------------------------
@@ -257,6 +287,37 @@ def summarize_functions(spark, d):
     return done.select("function_key", "commit_sha", "summary", "summary_refined", "error")
 
 
+_SQL_JOB = f"""WITH {fx.SQL_SOURCES}, {_SQL_SYMBOLS}, {_SQL_FILE_PROMPT},
+one AS (SELECT path, content, {_digest_sql("prompt")} AS s FROM prompts),
+fone AS (SELECT path, name, ordinal, {_digest_sql(_SQL_FN_PROMPT)} AS s FROM functions),
+fns AS (SELECT path, string_agg(name || '=' || {_digest_sql(_fn_refine_sql("s"))}, '|' ORDER BY ordinal) AS functions FROM fone GROUP BY path),
+syms AS (SELECT path, count(*) AS n_symbols FROM symbols GROUP BY path)
+SELECT path, {_digest_sql(_refine_sql("s"))} AS file_summary, coalesce(functions, '') AS functions, coalesce(n_symbols, 0) AS n_symbols
+FROM one LEFT JOIN fns USING (path) LEFT JOIN syms USING (path)"""
+
+
+def _job_rows(code_map):
+    return code_map.select(
+        "path", "file_summary", F.array_join(F.transform("functions", lambda f: F.concat(f["name"], F.lit("="), f["func_summary"])), "|").alias("functions"),
+        (F.size("structs") + F.size("typedefs") + F.size("globals")).alias("n_symbols"))
+
+
+@query("full_job", _SQL_JOB)
+def full_job(spark, d):
+    """The whole analysis over a store: parse, resolve, summarise, view."""
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return _job_rows(analysis.full_analysis(_store(spark), scan.scan_table(fx.sources(spark, d)), "c1", now))
+
+
+@query("refresh_job", _SQL_JOB)
+def refresh_job(spark, d):
+    """The analysis of an older snapshot, then a refresh to the present one (X2): as if analysed anew."""
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    store, new = _store(spark), fx.sources(spark, d)
+    analysis.full_analysis(store, scan.scan_table(fx.old_sources(new)), "c0", now)
+    return _job_rows(analysis.refresh(store, scan.scan_table(new), "c1", F.lit("2024-01-02 00:00:00").cast("timestamp")))
+
+
 def _picky(requests, options):
     """Fails on every batch that holds a French text."""
     if any(r.system_prompt == "fr" for r in requests):
@@ -410,24 +471,52 @@ def package_exports(spark, d):
 
 # -- constraints --------------------------------------------------------------
 
-@query("fk_orphans", f"""WITH {fx.SQL_SUMMARIES}
-SELECT 'file_summaries' AS "table", file_key AS key FROM summaries_new, range(2)  -- every update comes twice
-WHERE file_key NOT IN (SELECT file_key FROM docfiles)""")
-def fk_orphans(spark, d):
+def _broken_tables(spark, d):
+    """Tables of the sources with files of brand3 missing, summaries for unknown functions and an unknown commit."""
+    sources = scan.with_hash(fx.sources(spark, d))
+    u = settled(extract.units(sources))
+    fns = settled(extract.functions(u))
+    calls = settled(analysis.edges_of(graph.call_sites(u), graph.directory(fns)))
     _, updates = fx.summaries(spark, d)
-    return quality.orphans(updates, fx.docfiles(spark, d), "file_key", "file_summaries")
+    commits = spark.range(2).select(F.concat(F.lit("c"), "id").alias("commit_sha"))
+    texts = fns.where("is_prototype").select(F.md5(F.concat("function_key", F.lit("gone")).cast("binary")).alias("function_key"), F.lit("c7").alias("commit_sha"))
+    return {"files": sources.where(~F.col("path").contains("/brand3/")), "file_symbols": extract.file_symbols(u), "functions": fns,
+            "function_calls": calls, "function_summaries": texts, "commits": commits, "file_summaries": updates}
+
+
+@query("fk_orphans", f"""WITH {fx.SQL_SOURCES}, {_SQL_SYMBOLS}, {fx.SQL_SUMMARIES.strip()},
+known AS (SELECT md5(path) AS file_key FROM files WHERE path NOT LIKE '%/brand3/%'),
+one AS (
+  SELECT 'file_symbols' AS "table", 'file_key' AS "column", file_key AS key FROM symbols WHERE path LIKE '%/brand3/%'
+  UNION ALL SELECT 'functions', 'file_key', file_key FROM functions WHERE path LIKE '%/brand3/%'
+  UNION ALL SELECT 'function_summaries', 'function_key', md5(function_key || 'gone') FROM functions WHERE is_prototype
+  UNION ALL SELECT 'function_summaries', 'commit_sha', 'c7' FROM functions WHERE is_prototype
+  UNION ALL SELECT 'file_summaries', 'file_key', file_key FROM summaries_new, range(2))  -- every update comes twice
+SELECT "table", "column", key, count(*) AS n FROM one GROUP BY ALL""")
+def fk_orphans(spark, d):
+    """All references at once (Q1); summaries of documents refer to files that are no sources."""
+    return quality.all_orphans(_broken_tables(spark, d))
 
 
-@query("unique_violations", f"""WITH {fx.SQL_SUMMARIES},
-{fx.SQL_STATUS.strip()},
-urls AS (SELECT url FROM pages)
+@query("unique_violations", f"""WITH {fx.SQL_SOURCES}, {fx.SQL_SUMMARIES.strip()},
+{fx.SQL_STATUS.strip()}, {fx.SQL_URLS.strip()},
+names AS (SELECT safe_name AS name FROM safe),
+copies AS (SELECT path FROM files UNION ALL SELECT path FROM files WHERE path LIKE '%.h'),
+fns AS (SELECT function_key FROM functions UNION ALL SELECT function_key FROM functions WHERE path LIKE '%.h')
 SELECT 'file_summaries' AS "table", file_key || '|' || commit_sha AS key, count(*) AS n FROM summaries_new, range(2)
   GROUP BY file_key, commit_sha
-UNION ALL SELECT 'status', item_type || '|' || item_key || '|' || commit_sha, count(*) FROM status_log
-  GROUP BY item_type, item_key, commit_sha HAVING count(*) > 1
-UNION ALL SELECT 'projects', url, count(*) FROM urls GROUP BY url HAVING count(*) > 1""")
+UNION ALL SELECT 'status_commits', item_type || '|' || item_key || '|' || stage || '|' || commit_sha, count(*) FROM status_log
+  GROUP BY item_type, item_key, stage, commit_sha HAVING count(*) > 1
+UNION ALL SELECT 'projects', name, count(*) FROM names GROUP BY name HAVING count(*) > 1
+UNION ALL SELECT 'files', path, count(*) FROM copies GROUP BY path HAVING count(*) > 1
+UNION ALL SELECT 'functions', function_key, count(*) FROM fns GROUP BY function_key HAVING count(*) > 1""")
 def unique_violations(spark, d):
+    """Unique keys of all tables (Q3): headers come twice, updates come twice, names are not yet unique."""
     _, updates = fx.summaries(spark, d)
-    return (quality.duplicate_keys(updates, ["file_key", "commit_sha"], "file_summaries")
-            .unionByName(quality.duplicate_keys(fx.status_log(spark, d), ["item_type", "item_key", "commit_sha"], "status"))
-            .unionByName(quality.duplicate_keys(fx.table(spark, d, "pages"), ["url"], "projects")))
+    files = fx.sources(spark, d)
+    fns = settled(extract.functions(settled(extract.units(files))))
+    header = F.col("path").endswith(".h")
+    names = fx.repo_urls(spark, d).select(text.safe_name(text.repository_name("git_url")).alias("name"))
+    return quality.all_duplicates({
+        "file_summaries": updates, "status_commits": fx.status_log(spark, d), "projects": names,
+        "files": files.unionByName(files.where(header)), "functions": fns.unionByName(fns.where(header))})

@@ -43,6 +43,16 @@ def corpus_scan(spark, d):
         "file_key", "path", "content_hash", F.length("content").alias("n_chars"))
 
 
+@query("scan_folder", f"""WITH {fx.SQL_SOURCES}
+SELECT md5(path) AS file_key, path, md5(content) AS content_hash, length(content) AS n_chars FROM files""")
+def scan_folder(spark, d):
+    """The sources as files of a folder, read back from there."""
+    root = f"{shared_folder(spark).rstrip('/')}/folders/{uuid.uuid4().hex}"
+    fx.write_tree(fx.sources(spark, d), root)
+    return scan.scan_folder(spark, root, "*.txt", fx.path_in_tree()).select(
+        "file_key", "path", "content_hash", F.length("content").alias("n_chars"))
+
+
 @query("source_filter", f"""WITH {fx.SQL_DOCFILES}
 SELECT path, length(content) AS n_chars FROM docfiles WHERE path LIKE '%.c' OR path LIKE '%.h'""")
 def source_filter(spark, d):
