@@ -33,11 +33,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import subwords
-from lodestone.llm.common import column, held_out, packed, table, unpacked
+from lodestone.llm.common import bounded_sample, column, held_out, packed, table, unpacked
 
 ROWS_PER_LANGUAGE = 200
 BUCKETS = 1 << 17
@@ -48,6 +48,8 @@ PIECE, SWITCH = 20, 0.25
 #: A word enters the lexicon when it was seen so often, this purely.
 SEEN, PURE = 3, 0.8
 UND = "und"
+#: Words and n-grams that one step of the training holds with all their temporaries.
+WORDS, GRAMS = 1 << 15, 1 << 18
 
 
 @dataclass
@@ -191,40 +193,70 @@ def train(texts: list[str], labels: list[str], rounds: int = 30, seed: int = 7)
     languages = sorted(set(labels))
     if not languages:
         return None
-    k, rng = len(languages), np.random.default_rng(seed)
+    return _learned(languages, np.array([languages.index(x) for x in labels]), *_numbered(texts), rounds, seed)
+
+
+def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The words of the texts as numbers, the bounds of the texts, and the distinct words."""
     flat, ends = subwords.tokens(texts, subwords.LETTERS)
     codes, types = subwords.distinct(flat)
-    label = np.array([languages.index(x) for x in labels])
+    return codes.astype(np.int32), ends, types
+
+
+def _slabs(n: int, size: int):
+    return ((at, min(at + size, n)) for at in range(0, n, size))
+
+
+def _learned(languages: list[str], label: np.ndarray, codes: np.ndarray, ends: np.ndarray, types: list[str], rounds: int = 30,
+             seed: int = 7) -> Model:
+    """Gradients are added up over slabs of ``WORDS`` words and ``GRAMS`` n-grams; beside the slab that is at work
+    only the words' numbers and a row per distinct word are held."""
+    k, rng = len(languages), np.random.default_rng(seed)
     model = Model(languages, np.zeros((BUCKETS, k), dtype=np.float32), {}, np.zeros((k, k)), np.zeros((k, k)), np.zeros(k))
     if not len(codes):
         return model
     words, tags, bounds = _spliced(codes, ends, label, rng)
-    seen = subwords.add_at(words, np.eye(k)[tags], len(types))
+    words, tags = words.astype(np.int32), tags.astype(np.int8)
+    n, size = len(words), len(types)
+    seen = np.stack([np.bincount(words[tags == c], minlength=size) for c in range(k)], axis=1)
     top, total = seen.argmax(axis=1), seen.sum(axis=1)
     pure = (total >= SEEN) & (seen.max(axis=1) >= PURE * total)
     model.lexicon = {types[i]: int(top[i]) for i in np.flatnonzero(pure)}
     entry = np.where(pure, top, -1)
-
-    bucket, owner = subwords.grams(types, SIZES, BUCKETS)
-    gold = np.eye(k)[tags]
-    later = np.ones(len(words), dtype=bool)
-    later[bounds[:-1][bounds[:-1] < len(words)]] = False
-    at = np.flatnonzero(later)
+    bucket, owner = (x.astype(np.int32) for x in subwords.grams(types, SIZES, BUCKETS))
+    del types, codes, label
+    heads = bounds[:-1][bounds[:-1] < n]
     gold_steps = np.zeros((k, k))
-    np.add.at(gold_steps, (tags[at - 1], tags[at]), 1.0)
+    for a, b in _slabs(n - 1, WORDS):
+        inside = np.ones(b - a, dtype=bool)
+        inside[heads[(heads > a) & (heads <= b)] - 1 - a] = False
+        np.add.at(gold_steps, (tags[a:b][inside], tags[a + 1:b + 1][inside]), 1.0)
+    # whole sequences of about WORDS words
+    cuts = np.unique(np.append(np.searchsorted(bounds, np.arange(0, n, WORDS)), len(bounds) - 1))
     weights = [np.zeros((BUCKETS, k)), model.known, model.steps, model.start]
     squares = [np.full_like(w, 1e-6) for w in weights]
     for _ in range(rounds):
-        known = np.zeros((len(types), k))
-        known[entry >= 0] = weights[1][entry[entry >= 0]]
-        emit = subwords.add_at(owner, weights[0][bucket], len(types)) + known
-        gamma, steps = marginals(emit[words], bounds, weights[2], weights[3], want_steps=True)
-        by_type = subwords.add_at(words, gold - gamma, len(types)) / len(words)
-        heads = bounds[:-1]
-        slopes = [subwords.add_at(bucket, by_type[owner], BUCKETS) - 1e-6 * weights[0],
-                  subwords.add_at(np.maximum(entry, 0), by_type * (entry >= 0)[:, None], k) - 1e-6 * weights[1],
-                  (gold_steps - steps) / len(words) - 1e-6 * weights[2],
-                  (gold[heads] - gamma[heads]).sum(axis=0) / len(words) - 1e-6 * weights[3]]
+        emit = np.zeros((size, k))
+        emit[entry >= 0] = weights[1][entry[entry >= 0]]
+        for a, b in _slabs(len(bucket), GRAMS):
+            subwords.add_into(emit, owner[a:b], weights[0][bucket[a:b]])
+        by_type, steps, start = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)
+        for a, b in zip(cuts, cuts[1:]):
+            own, first = bounds[a:b + 1] - bounds[a], bounds[a]
+            mine, gold = words[first:bounds[b]], tags[first:bounds[b]]
+            gap, moved = marginals(emit[mine], own, weights[2], weights[3], want_steps=True)
+            steps += moved
+            np.negative(gap, out=gap)
+            gap[np.arange(len(gap)), gold] += 1.0
+            start += gap[own[:-1][own[:-1] < len(gap)]].sum(axis=0)
+            subwords.add_into(by_type, mine, gap)
+        by_type /= n
+        grams = np.zeros((BUCKETS, k))
+        for a, b in _slabs(len(bucket), GRAMS):
+            subwords.add_into(grams, bucket[a:b], by_type[owner[a:b]])
+        grams -= 1e-6 * weights[0]
+        slopes = [grams, subwords.add_at(np.maximum(entry, 0), by_type * (entry >= 0)[:, None], k) - 1e-6 * weights[1],
+                  (gold_steps - steps) / n - 1e-6 * weights[2], start / n - 1e-6 * weights[3]]
         for w, s, g in zip(weights, squares, slopes):
             s += g * g
             w += 0.3 * g / np.sqrt(s)
@@ -273,21 +305,19 @@ def _predictor(sent: bytes, words: int = 1 << 19):
 
 def sample(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text",
            lang_col: str = "lang") -> tuple[list[str], list[str]]:
-    """At most ``rows_per_language`` labelled texts of each language, by hash of the identifier."""
+    """At most ``rows_per_language`` labelled rows of each language, by hash of the identifier."""
     from_these = docs.where(column(lang_col).isNotNull() & column(text_col).isNotNull() & ~held_out(id_col)).select(
-        column(id_col).cast("string").alias("id"), column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"))
-    # the identifiers first, so that no text is shuffled; ranking stops at the limit in every task
-    ranked = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = (from_these.select("id", "lang").withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= rows_per_language)
-           .select("id").distinct())
-    picked = [r[0] for r in ids.collect()]
-    rows = from_these.where(F.col("id").isin(picked)).limit(2 * len(picked)).collect() if picked else []
-    rows.sort(key=lambda r: (r["id"] or "", r["lang"], r["text"]))
+        column(id_col).cast("string").alias("id"), column(lang_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text"))
+    rows = bounded_sample(from_these, "lang", rows_per_language)
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, **columns) -> Model | None:
-    return train(*sample(docs, rows_per_language, **columns))
+    texts, labels = sample(docs, rows_per_language, **columns)
+    languages = sorted(set(labels))
+    given = _numbered(texts)
+    del texts
+    return _learned(languages, np.array([languages.index(x) for x in labels]), *given) if languages else None
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,9 @@ def grams(types: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.nd
 def add_at(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     """Sums of ``rows`` (n x k) by ``index``: a (size x k) array."""
     return np.stack([np.bincount(index, weights=rows[:, k], minlength=size) for k in range(rows.shape[1])], axis=1)
+
+
+def add_into(sums: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """Add ``rows`` (n x k) to the rows ``index`` of ``sums``, column by column."""
+    for k in range(rows.shape[1]):
+        sums[:, k] += np.bincount(index, weights=rows[:, k], minlength=len(sums))

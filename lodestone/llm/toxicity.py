@@ -23,6 +23,7 @@ score is the share of toxic labels, or 0.
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import subwords
-from lodestone.llm.common import column, held_out, table
+from lodestone.llm.common import bounded_sample, column, held_out, table
 
 ROWS = 800
 BUCKETS = 1 << 17
@@ -204,14 +205,14 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "
         column(id_col).alias("id"), column(label_col).cast("int").alias("label"))
     counts = {r[0]: r[1] for r in usable.groupBy("label").count().collect()}
     ranked = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = [(r["id"], r["label"]) for r in usable.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= rows)
-              .select("id", "label").collect()]
-    by_id = dict(sorted(picked))
-    found = (docs.where(column(id_col).isin(list(by_id))).select(column(id_col).alias("id"), column(text_col).alias("text"))
-             .limit(2 * len(by_id)).collect() if by_id else [])
-    found = sorted((r["id"], r["text"] or "") for r in found)
+    chosen = usable.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= rows).select("id", "label")
+    by_id = dict(sorted((r["id"], r["label"]) for r in chosen.collect()))
+    label = functools.reduce(lambda c, k: c.when(F.col("id").isin([i for i, v in by_id.items() if v == k]), k), (0, 1), F.when(F.lit(False), 0))
+    texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
+    # an identifier can have several documents: they are ranked in their turn
+    found = bounded_sample(texts.where(F.col("id").isin(list(by_id))).withColumn("label", label), "label", rows) if by_id else []
     total = sum(counts.values())
-    return [t for _, t in found], [by_id[i] for i, _ in found], counts.get(1, 0) / total if total else 0.0
+    return [r["text"] or "" for r in found], [by_id[r["id"]] for r in found], counts.get(1, 0) / total if total else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
