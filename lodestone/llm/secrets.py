@@ -21,27 +21,30 @@ both labels every candidate gets the share of positive labels (0 if there are no
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import column, held_out, table
+from lodestone.session import settled
 
 LEAST, LONG = 6, 16
 #: One in so many short unassigned findings is kept for training (they are nearly all words).
 PLAIN = 64
-#: Values whose features a task remembers.
-SHAPES = 100_000
+#: Tokens and values whose judgement a task remembers.
+SHAPES = 400_000
 FINDINGS = 2000
 TREES, DEPTH, LEAF, SPLITS = 40, 8, 4, 24
 THRESHOLD = 0.5
@@ -53,19 +56,20 @@ _VALUES = (re.compile(r"[=:][ \t]*(?:\"([^\"\n]+)\"|'([^'\n]+)'|(?!//)([^\s\"'=:
            re.compile(r"(?<![\w.+\-])[\w.+\-]++:([^\s/\"']+)@(?=[\w.\-])"))
 NEAR = 40
 _WORDS = re.compile(r"[^\W\d_]+")
-_CLASS = {**{chr(c): "l" for c in range(97, 123)}, **{chr(c): "u" for c in range(65, 91)}, **{chr(c): "d" for c in range(48, 58)}}
 
 
-def found(text: str | None, plain: int = 1) -> list[tuple[int, str, str, str]]:
+def found(text: str | None, plain: int = 1, skip: Callable[[str], bool] | None = None) -> list[tuple[int, str, str, str]]:
     """(start, value, what stands before, what stands after) of every candidate.
 
     With ``plain`` above 1, of short values that are neither quoted nor assigned one in so many,
-    by hash; for training only.
+    by hash; for training only.  Runs of key characters and marks for which ``skip`` holds are passed over.
     """
     if not text:
         return []
     spans = set()
     for m in _MARKED.finditer(text):
+        if skip and skip(m.group()):
+            continue
         spans.update(r.span() for r in _RUN.finditer(text, *m.span()))
         if m.group().isalnum():
             continue
@@ -96,49 +100,132 @@ class Model:
     share: float
     pairs: dict = field(default_factory=dict)        # log probability of character transitions
     dictionary: frozenset = frozenset()
-    begins: frozenset = frozenset()                  # first three letters of the dictionary's words
     near: dict = field(default_factory=dict)         # log odds of neighbouring words
     path: dict = field(default_factory=dict)
     trees: list = field(default_factory=list)
 
-    def shape(self, value: str) -> list[float]:
-        n = len(value)
-        classes = "".join([_CLASS.get(c, "s") for c in value])
-        counts, kinds = Counter(value), Counter(classes)
-        low = value.lower()
-        usual = sum(self.pairs.get(low[i:i + 2], -9.0) for i in range(n - 1)) / max(1, n - 1)
-        covered = at = 0
-        while at < n:
-            if low[at:at + 3] not in self.begins:
-                at += 1
-                continue
-            for size in (8, 7, 6, 5, 4, 3):
-                if low[at:at + size] in self.dictionary and at + size <= n:
-                    covered, at = covered + size, at + size
-                    break
-            else:
-                at += 1
-        return [n, kinds["d"] / n, kinds["u"] / n, kinds["l"] / n, kinds["s"] / n,
-                sum(a != b for a, b in zip(classes, classes[1:])) / n,
-                -sum(c / n * math.log2(c / n) for c in counts.values()), usual, covered / n]
-
-    def features(self, path: str | None, before: str, value: str, after: str, shape: list[float] | None = None) -> list[float]:
+    def shape(self, values: list[str]) -> np.ndarray:
+        """Nine numbers of each value, all values at once: length, shares of digits, upper and lower case letters and signs,
+        changes of class, entropy, mean log probability of neighbouring characters, share that the dictionary covers."""
+        if not values:
+            return np.zeros((0, 9))
+        low = [v.lower() for v in values]
+        low = [w if len(w) == len(v) else "".join(c.lower()[:1] for c in v) for v, w in zip(values, low)]
+        n = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        owner = np.repeat(np.arange(len(n)), n)
+        starts = np.cumsum(n) - n
+        code, lower = (np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for x in (values, low))
+        kind = np.full(len(code), 3, dtype=np.int64)
+        for k, (first, last) in enumerate(((48, 57), (65, 90), (97, 122))):
+            kind[(code >= first) & (code <= last)] = k
+        shares = np.bincount(owner * 4 + kind, minlength=4 * len(n)).reshape(-1, 4) / n[:, None]
+        together = owner[1:] == owner[:-1]
+        changes = np.bincount(owner[1:][together & (kind[1:] != kind[:-1])], minlength=len(n)) / n
+        each = np.sort(owner * (1 << 21) + code)
+        heads = np.flatnonzero(np.diff(each, prepend=-1))
+        times, whose = np.diff(np.append(heads, len(each))), each[heads] >> 21
+        p = times / n[whose]
+        entropy = -np.bincount(whose, weights=p * np.log2(p), minlength=len(n))
+        pair = (lower[:-1] << 21 | lower[1:])[together]
+        at = np.minimum(np.searchsorted(self._pair_keys, pair), max(len(self._pair_keys) - 1, 0))
+        usual = np.full(len(pair), -9.0)
+        if len(self._pair_keys):
+            hit = self._pair_keys[at] == pair
+            usual[hit] = self._pair_logs[at[hit]]
+        usual = np.bincount(owner[1:][together], weights=usual, minlength=len(n)) / np.maximum(n - 1, 1)
+        # the longest dictionary word that begins at each place, taken greedily from the left
+        size = np.zeros(len(lower), dtype=np.int64)
+        room = np.repeat(starts + n, n) - np.arange(len(lower))
+        h = np.zeros(len(lower), dtype=np.uint64)
+        for k in range(1, 9):
+            if len(h) < k:
+                break
+            h = (h[:len(lower) - k + 1] ^ lower[k - 1:].astype(np.uint64)) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(29)
+            if k >= 3 and len(self._words[k]):
+                place = np.minimum(np.searchsorted(self._words[k], h), len(self._words[k]) - 1)
+                size[:len(h)][(self._words[k][place] == h) & (room[:len(h)] >= k)] = k
+        covered, spot, end, left = np.zeros(len(n)), starts.copy(), starts + n, np.flatnonzero(n > 0)
+        while len(left):
+            step = size[spot[left]]
+            covered[left] += step
+            spot[left] += np.maximum(step, 1)
+            left = left[spot[left] < end[left]]
+        return np.column_stack([n, shares[:, 0], shares[:, 1], shares[:, 2], shares[:, 3], changes, entropy, usual, covered / n])
+
+    def prepare(self) -> None:
+        """Lookup arrays of the dictionaries, and the trees as flat arrays."""
+        pairs = sorted((ord(p[0]) << 21 | ord(p[1]), v) for p, v in self.pairs.items())
+        self._pair_keys = np.array([k for k, _ in pairs], dtype=np.int64)
+        self._pair_logs = np.array([v for _, v in pairs])
+        self._words = {k: np.sort(np.array([_hash(w) for w in self.dictionary if len(w) == k], dtype=np.uint64)) for k in range(3, 9)}
+        flat: list[list] = []
+
+        def add(tree) -> int:
+            at = len(flat)
+            flat.append([-1, 0.0, at, at, tree if not isinstance(tree, tuple) else 0.0])
+            if isinstance(tree, tuple):
+                flat[at][:4] = tree[0], tree[1], add(tree[2]), add(tree[3])
+            return at
+
+        self._roots = np.array([add(t) for t in self.trees], dtype=np.int64)
+        columns = list(zip(*flat)) if flat else [()] * 5
+        self._feature, self._left, self._right = (np.array(columns[k], dtype=np.int64) for k in (0, 2, 3))
+        self._cut, self._value = np.array(columns[1], dtype=float), np.array(columns[4], dtype=float)
+
+    def context(self, path: str | None, before: str, after: str) -> list[float]:
         left, right = _neighbours(before, after)
-        return [*(shape or self.shape(value)),
-                self.near.get(("l", left), 0.0), self.near.get(("r", right), 0.0),
-                float(before[-1:] in "\"'="), self.path.get(path, 0.0)]
-
-    def score(self, rows: list[tuple], shapes: dict | None = None) -> np.ndarray:
-        """``shapes`` keeps what is known of values from one call to the next."""
+        return [self.near.get(("l", left), 0.0), self.near.get(("r", right), 0.0), float(before[-1:] in "\"'="), self.path.get(path, 0.0)]
+
+    def features(self, rows: list[tuple]) -> np.ndarray:
+        """``rows``: (path, before, value, after)."""
+        values = sorted({v for _, _, v, _ in rows})
+        shapes = dict(zip(values, self.shape(values)))
+        return np.array([[*shapes[v], *self.context(p, b, a)] for p, b, v, a in rows])
+
+    def ask(self, x: np.ndarray) -> np.ndarray:
+        """The forest's probability of every row: all trees go down side by side."""
+        at = np.tile(self._roots, (len(x), 1))
+        line = np.arange(len(x))[:, None]
+        for _ in range(DEPTH + 1):
+            f = self._feature[at]
+            at = np.where(f < 0, at, np.where(x[line, f] <= self._cut[at], self._left[at], self._right[at]))
+        return self._value[at].mean(axis=1)
+
+    def most(self, values: list[str]) -> np.ndarray:
+        """The highest probability that any surroundings could give to each value.
+
+        Where a tree asks for the surroundings, both of its branches are followed.
+        """
+        if not self.trees:
+            return np.full(len(values), self.share)
+        shapes = self.shape(values)
+
+        def below(tree, rows):
+            if not isinstance(tree, tuple):
+                return np.full(len(rows), tree)
+            f, cut, left, right = tree
+            if f >= shapes.shape[1]:
+                return np.maximum(below(left, rows), below(right, rows))
+            side, out = shapes[rows, f] <= cut, np.empty(len(rows))
+            out[side], out[~side] = below(left, rows[side]), below(right, rows[~side])
+            return out
+
+        every = np.arange(len(values))
+        return np.mean([below(t, every) for t in self.trees], axis=0)
+
+    def score(self, rows: list[tuple]) -> np.ndarray:
         if not self.trees or not rows:
             return np.full(len(rows), self.share)
-        shapes = {} if shapes is None else shapes
-        if len(shapes) > SHAPES:
-            shapes.clear()
-        for v in {r[2] for r in rows} - shapes.keys():
-            shapes[v] = self.shape(v)
-        x = np.array([self.features(*r, shapes[r[2]]) for r in rows])
-        return np.mean([_ask(t, x) for t in self.trees], axis=0)
+        return self.ask(self.features(rows))
+
+
+def _hash(word: str) -> int:
+    h = np.zeros(1, dtype=np.uint64)
+    for c in word:
+        h = (h ^ np.uint64(ord(c))) * np.uint64(0x100000001B3)
+        h ^= h >> np.uint64(29)
+    return int(h[0])
 
 
 def _neighbours(before: str, after: str) -> tuple[str, str]:
@@ -169,15 +256,6 @@ def _grow(x, y, rng, depth=0):
     return f, cut, _grow(x[side], y[side], rng, depth + 1), _grow(x[~side], y[~side], rng, depth + 1)
 
 
-def _ask(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    f, cut, left, right = tree
-    side, out = x[:, f] <= cut, np.empty(len(x))
-    out[side], out[~side] = _ask(left, x[side]), _ask(right, x[~side])
-    return out
-
-
 def _log_odds(keys: list, y: np.ndarray, share: float) -> dict:
     """Smoothed log odds of a positive label for keys that are seen at least three times."""
     seen, ones = Counter(keys), Counter(k for k, v in zip(keys, y) if v)
@@ -201,19 +279,20 @@ def train(findings: list[tuple], labels: list[int], seed: int = 5) -> Model:
             chunks[w] += n
     total = sum(pairs.values()) or 1
     model = Model(share, {p: math.log(n / total) for p, n in pairs.items()}, frozenset(w for w, n in chunks.items() if n >= 3))
-    model.begins = frozenset(w[:3] for w in model.dictionary)
+    model.prepare()
     sides = [_neighbours(b, a) for _, b, _, a in findings]
     model.near = {**_log_odds([("l", left) for left, _ in sides], y, share), **_log_odds([("r", right) for _, right in sides], y, share)}
     model.path = _log_odds([p for p, _, _, _ in findings], y, share)
-    x = np.array([model.features(*f) for f in findings])
+    x = model.features(findings)
     for _ in range(TREES):
         pick = rng.integers(0, len(y), len(y))
         model.trees.append(_grow(x[pick], y[pick], rng))
+    model.prepare()
     return model
 
 
-#: Rows of a batch whose candidates are held at once.
-HELD = 64
+#: Rows of a batch whose candidates are held at once in training, and characters of texts that are scanned at once.
+HELD, CHARS = 64, 1 << 20
 
 
 def _each(batches: Iterator[pa.RecordBatch], plain: int = 1):
@@ -224,6 +303,81 @@ def _each(batches: Iterator[pa.RecordBatch], plain: int = 1):
             yield [(i, p, *c, k) for k, (i, p, t) in enumerate(rows) for c in found(t, plain)]
 
 
+def _portions(batch: pa.RecordBatch):
+    """Rows (id, path, text) in portions of about ``CHARS`` characters."""
+    rows, size = [], 0
+    for k in range(batch.num_rows):
+        rows.append(tuple(batch.column(n)[k].as_py() for n in ("id", "path", "text")))
+        size += len(rows[-1][2] or "")
+        if size >= CHARS:
+            yield rows
+            rows, size = [], 0
+    yield rows
+
+
+def _in_token(token: str) -> list[str]:
+    """The candidates of :func:`found` that a run of key characters and marks holds."""
+    values = _RUN.findall(token)
+    if not token.isalnum():
+        end = len(token.rstrip(".!?,"))
+        start = len(token) - len(token.lstrip(_MARK))
+        if end - start >= LEAST:
+            values.append(token[start:end])
+    return values
+
+
+def _in_signs(text: str) -> set[str]:
+    """The other candidates of :func:`found`: quoted and assigned values, and passwords in addresses."""
+    values = set()
+    for kind, signs in zip(_VALUES, ("=:", "\"'", "@")):
+        if any(c in text for c in signs):
+            for m in kind.finditer(text):
+                values.add(m.group(m.lastindex))
+                if kind is _VALUES[0] and m.lastindex == 3:
+                    values.add(re.split("[\"'<>]", m.group(3), maxsplit=1)[0].rstrip(",;.)]}"))
+    return values - {""}
+
+
+class Scanner:
+    """Secrets of many texts.  A text is taken apart only if it holds a value that some surroundings could make a secret.
+
+    For each distinct value the forest's highest probability is worked out once (:meth:`Model.most`); below the
+    threshold the value is no secret wherever it stands, so nothing is lost.  Tokens of earlier texts are remembered.
+    """
+
+    def __init__(self, model: Model, threshold: float):
+        self.model, self.threshold, self.hopeful = model, threshold, {}
+
+    def _judge(self, tokens: set[str], values: set[str]) -> None:
+        """Fill ``hopeful`` for new tokens (any value in it) and values."""
+        if len(self.hopeful) > SHAPES:
+            self.hopeful.clear()
+        parts = {t: _in_token(t) for t in tokens if ("t", t) not in self.hopeful}
+        new = sorted({v for p in parts.values() for v in p} | {v for v in values if ("v", v) not in self.hopeful})
+        best = dict(zip(new, (self.model.most(new) >= self.threshold - 1e-9).tolist()))
+        self.hopeful.update((("t", t), any(best[v] for v in p)) for t, p in parts.items())
+        self.hopeful.update((("v", v), hope) for v, hope in best.items())
+
+    def secrets(self, rows: list[tuple]) -> list[tuple]:
+        """(id, start, length, probability) of ``rows`` (id, path, text)."""
+        tokens = [set(_MARKED.findall(t)) if t else set() for _, _, t in rows]
+        signs = [_in_signs(t) if t else set() for _, _, t in rows]
+        self._judge(set().union(*tokens), set().union(*signs))
+        hope = self.hopeful
+        spans = [(i, p, *c, k) for k, (i, p, text) in enumerate(rows)
+                 if any(hope["t", t] for t in tokens[k]) or any(hope["v", v] for v in signs[k])
+                 for c in found(text, skip=lambda t: not hope["t", t])]
+        self._judge(set(), {r[3] for r in spans})
+        asked = [r for r in spans if hope["v", r[3]]]
+        scores = self.model.score([(p, before, value, after) for _, p, _, value, before, after, _ in asked])
+        kept, last, till = [], None, 0
+        for r, s in sorted(((asked[i], float(scores[i])) for i in np.flatnonzero(scores >= self.threshold)), key=lambda x: (x[0][6], x[0][2], -len(x[0][3]))):
+            if r[6] != last or r[2] >= till:
+                kept.append((r[0], r[2], len(r[3]), s))
+                last, till = r[6], r[2] + len(r[3])
+        return kept
+
+
 _CANDIDATES = pa.schema([("id", pa.int64()), ("path", pa.string()), ("start", pa.int64()), ("value", pa.string()), ("before", pa.string()),
                          ("after", pa.string())])
 
@@ -249,9 +403,21 @@ def fit(findings: DataFrame, limit: int = FINDINGS) -> Model:
     """A forest from a table ``(path, before, value, after, label)``."""
     usable = findings.where("value IS NOT NULL AND label IN (0, 1)").select(
         "path", F.coalesce("before", F.lit("")).alias("before"), "value", F.coalesce("after", F.lit("")).alias("after"), "label")
-    kind = [F.length("value") >= LONG, F.col("before").rlike("[\"'=:][ \t]*$")]
-    ranked = Window.partitionBy("label", *kind).orderBy(F.xxhash64("value", "before", "after", "path"), "value", "before", "after", "path")
-    rows = usable.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= limit).drop("_r").collect()
+    # equal findings are one row with a number, so that none of them is common; the hash picks a little more than the bound of each kind
+    kind = [F.col("label").alias("a"), (F.length("value") >= LONG).alias("b"), F.col("before").rlike("[\"'=:][ \t]*$").alias("c")]
+    keyed = settled(usable.groupBy(*usable.columns).agg(F.count("*").alias("times")).select("*", F.struct(*kind).alias("kind"), F.xxhash64("value", "before", "after", "path").alias("hash")))
+    counts = {tuple(r["kind"]): r["n"] for r in keyed.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    wanted = limit + 10 * math.isqrt(limit) + 10
+    reach = {k: min(-(1 << 63) + (1 << 64) * wanted // n, (1 << 63) - 1) for k, n in counts.items()}
+    picked = functools.reduce(lambda a, b: a | b, [
+        (F.col("kind.a") == a) & (F.col("kind.b") == b) & (F.col("kind.c") == c) & (F.col("hash") <= top) for (a, b, c), top in reach.items()], F.lit(False))
+    ranked: dict[tuple, list] = {}
+    for r in keyed.where(picked).collect():
+        ranked.setdefault(tuple(r["kind"]), []).append(r)
+    rows = []
+    for group in ranked.values():
+        group.sort(key=lambda r: (r["hash"], r["value"], r["before"], r["after"], r["path"] or ""))
+        rows += itertools.islice((r for r in group for _ in range(r["times"])), limit)
     rows.sort(key=lambda r: (r["value"], r["before"], r["after"], r["path"] or "", r["label"]))
     return train([(r["path"], r["before"], r["value"], r["after"]) for r in rows], [r["label"] for r in rows])
 
@@ -262,17 +428,13 @@ def scan(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: st
     sent = cloudpickle.dumps(model)
 
     def run(batches):
-        model, shapes = pickle.loads(sent), {}
-        for rows in _each(batches):
-            p = model.score([(path, before, value, after) for _, path, _, value, before, after, _ in rows], shapes)
-            kept, last, till = [], None, 0
-            for r, s in sorted(((rows[i], float(p[i])) for i in np.flatnonzero(p >= threshold)), key=lambda x: (x[0][6], x[0][2], -len(x[0][3]))):
-                if r[6] != last or r[2] >= till:
-                    kept.append((r[0], r[2], len(r[3]), s))
-                    last, till = r[6], r[2] + len(r[3])
-            columns = list(zip(*kept)) if kept else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
-                                             ["id", "start", "length", "probability"])
+        scanner = Scanner(pickle.loads(sent), threshold)
+        for batch in batches:
+            for part in _portions(batch):
+                kept = scanner.secrets(part)
+                columns = list(zip(*kept)) if kept else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+                                                 ["id", "start", "length", "probability"])
 
     return _read(docs, id_col, text_col, path_col).mapInArrow(run, "id long, start long, length long, probability double").withColumnRenamed("id", id_col)
 

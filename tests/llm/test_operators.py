@@ -315,6 +315,72 @@ def test_secrets_from_labelled_findings(spark):
     assert secrets.scan(odd_rows(spark), secrets.fit(findings.limit(0))).count() == 0
 
 
+def slow_shape(model, value):
+    """The nine numbers of a value, one character after another."""
+    n, low = len(value), value.lower()
+    kinds = ["d" if "0" <= c <= "9" else "u" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "s" for c in value]
+    counts = collections.Counter(value)
+    covered = at = 0
+    while at < n:
+        size = next((k for k in range(8, 2, -1) if at + k <= n and low[at:at + k] in model.dictionary), 0)
+        covered, at = covered + size, at + max(size, 1)
+    return [n, *(kinds.count(k) / n for k in "duls"), sum(a != b for a, b in zip(kinds, kinds[1:])) / n,
+            -sum(c / n * np.log2(c / n) for c in counts.values()),
+            sum(model.pairs.get(low[i:i + 2], -9.0) for i in range(n - 1)) / max(1, n - 1), covered / n]
+
+
+def slow_forest(model, path, before, value, after):
+    def leaf(tree, x):
+        while isinstance(tree, tuple):
+            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    if not model.trees:
+        return model.share
+    x = [*slow_shape(model, value), *model.context(path, before, after)]
+    return sum(leaf(t, x) for t in model.trees) / len(model.trees)
+
+
+def brute_secrets(model, rows):
+    """Every candidate of every text through the trees, one by one."""
+    out = []
+    for doc, path, text in rows:
+        till = 0
+        scored = [(s, -len(v), slow_forest(model, path, b, v, a)) for s, v, b, a in secrets.found(text)]
+        for start, length, p in sorted(x for x in scored if x[2] >= secrets.THRESHOLD):
+            if start >= till:
+                out.append((doc, start, -length, round(p, 9)))
+                till = start - length
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_secret_query_against_brute_force(spark, sf):
+    """At sf0.001 no text holds a secret, and none is reported."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = secrets.fit(secrets.labelled(docs))
+    want = brute_secrets(model, [(r.doc_id, r.source, r.text) for r in docs.collect()])
+    got = [(r.doc_id, r.start, r.length, round(r.probability, 9)) for r in secrets.op3_secret_scan(spark, f"/root/testdata/{sf}").collect()]
+    assert sorted(got, key=repr) == want and bool(want) == (sf == "sf0.01")
+
+
+def test_secret_scan_odd_rows_against_brute_force(spark):
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choices("abcdefABCDEF0123456789+/_-.!@$", k=n))
+    findings = [(None, "password = \"", key(rng.randint(4, 40)), "\" x", 1) for _ in range(80)] + [
+        ("p", "the words of", "".join(rng.choices("abcdefgh", k=rng.randint(6, 14))), " river", 0) for _ in range(200)]
+    model = secrets.fit(spark.createDataFrame(findings * 2, "path string, before string, value string, after string, label int"))
+    values = [key(rng.randint(1, 30)) for _ in range(200)] + ["İstanbul", "ΣΑΣΑΣΑ", "é" * 9, "漢字漢字漢字", "x" * 5000]
+    assert np.allclose(model.shape(values), [slow_shape(model, v) for v in values])
+    long = " ".join(f"w{i % 977}river password={key(12)}" for i in range(3000))
+    rows = [(1, None, "password = \"a.B!9\" of " + key(20)), (1, None, "password = \"a.B!9\" of " + key(20)), (None, "p", "token: 'x1$Y' and user:pa55w0rd!@host"),
+            (3, "p", long), (4, "p", None), (5, None, ""), (6, "p", "KEY=\"" + key(30) + "\" KEY=\"" + key(30) + "\"")]
+    docs = spark.createDataFrame([(*r, "a", 1, 0.5, "v") for r in rows], "doc_id long, source string, text string, id string, start long, probability double, path string")
+    got = sorted(((r.doc_id, r.start, r.length, round(r.probability, 9)) for r in secrets.scan(docs, model).collect()), key=repr)
+    assert got == brute_secrets(model, rows) and len(got) > 100
+    assert secrets.scan(docs.limit(0), model).count() == 0
+
+
 def test_secret_scan_finds_what_the_rule_marks(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = {(r.doc_id, r.start) for r in secrets.scan(docs, secrets.fit(secrets.labelled(docs))).collect()}
