@@ -18,8 +18,10 @@ A document leaks an item when a window of the item's number of words is similar
 At similarity 0.8 two windows differ in about 10 of 64 bits, with a deviation of 3; the
 default radius lies two deviations above.
 
-Defined results: null and empty texts leak nothing; items of fewer words than a shingle
-are too short to tell and are not searched; items are at most 65,535 words; a document
+Items of fewer words than a shingle have no shingle to be similar by: a text leaks them when it
+holds their words in a row, exactly.
+
+Defined results: null and empty texts leak nothing, and no text leaks an item without words; items are at most 65,535 words; a document
 shorter than an item is compared as a whole; documents of one text get the same answer,
 whatever their identifiers; of several best windows the first counts.  Empty tables give
 empty results.
@@ -27,6 +29,8 @@ empty results.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +135,25 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, similarity:
                .withColumn("similarity", F.col("_both") / (F.size("own") + F.size("hashes") - F.col("_both")))
                .where(F.col("similarity") >= similarity))
     best = Window.partitionBy("key", "item").orderBy(F.desc("similarity"), "start")
-    return (checked.withColumn("_r", F.row_number().over(best)).where("_r = 1")
-            .select("key", "item", "start", (F.size("hashes") + shingle - 1).alias("words"), "similarity"))
+    similar = (checked.withColumn("_r", F.row_number().over(best)).where("_r = 1")
+               .select("key", "item", "start", (F.size("hashes") + shingle - 1).alias("words"), "similarity"))
+    return functools.reduce(DataFrame.unionByName, _verbatim(read, items, shingle, item_col, item_text), similar)
+
+
+def _verbatim(read: DataFrame, items: DataFrame, shingle: int, item_col: str, item_text: str) -> list[DataFrame]:
+    """The leaks of items below ``shingle`` words, a table for each number of words that occurs."""
+    few = items.select(column(item_col).alias("item"), _words(text_of(item_text)).alias("w")).withColumn("n", F.size("w"))
+    few = settled(few.where((F.col("n") > 0) & (F.col("n") < shingle)).distinct())
+    found = []
+    for n in sorted(r["n"] for r in few.select("n").distinct().collect()):
+        wanted = few.where(F.col("n") == n).select("item", _hashes("w", n)[0].alias("h"), F.col("w").alias("own"))
+        runs = (read.select(key_of(F.col("t")).alias("key"), _words(F.col("t")).alias("w"))
+                .select("key", F.posexplode(F.arrays_zip(_hashes("w", n).alias("h"), F.expr(
+                    f"IF(size(w) < {n}, CAST(array() AS array<array<string>>), transform(sequence(0, size(w) - {n}), i -> slice(w, i + 1, {n})))").alias("own")))
+                .alias("p", "r")).select("key", "p", "r.h", "r.own"))
+        found.append(runs.join(wanted, ["h", "own"]).groupBy("key", "item").agg(F.min("p").alias("start"))
+                     .select("key", "item", "start", F.lit(n).alias("words"), F.lit(1.0).alias("similarity")))
+    return found
 
 
 def leak_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

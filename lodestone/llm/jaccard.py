@@ -29,7 +29,13 @@ _SLACK = 1e-9
 
 
 def forest(members: Iterable[tuple[int, bytes]], similarity: float) -> list[tuple[int, int]]:
-    """Links that join the classes of ``(h, sorted 32-bit numbers)``; equal ``h`` count once."""
+    """Links that join the classes of ``(h, sorted 32-bit numbers)``; equal ``h`` count once.
+
+    A null or empty set is similar to nothing.  At a similarity of 0.5 and below a set can be similar to a
+    follower without sharing a number with its leader, which the leaders' index would miss: ValueError.
+    """
+    if similarity <= 0.5:
+        raise ValueError("links are exact for similarities above 0.5")
     far, out, root = 2 * similarity - 1, [], {}
     names, sizes, followers, holders = [], [], [], {}
 
@@ -48,7 +54,7 @@ def forest(members: Iterable[tuple[int, bytes]], similarity: float) -> list[tupl
         if h in root:
             continue
         root[h] = h
-        own = np.frombuffer(sent, dtype=np.uint32).tolist()
+        own = np.frombuffer(sent or b"", dtype=np.uint32).tolist()
         n, shared = len(own), {}
         for s in own:
             for k in holders.get(s, ()):

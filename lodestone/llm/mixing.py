@@ -100,7 +100,13 @@ def mix_report(docs: DataFrame, weigh=by_rank(1, 2, 3), most: int = MOST, seed:
 
 def mixed(docs: DataFrame, weigh=by_rank(1, 2, 3), most: int = MOST, seed: str = SEED, id_col: str = "doc_id",
           text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: ``docs`` with every row repeated as its rate says, and ``copy`` from 1."""
+    """The mixture itself: ``docs`` with every row repeated as its rate says, and ``copy`` from 1.
+
+    Where ``docs`` has a column of that name, in whatever case, underscores before it make the counter's name free.
+    """
+    counter, taken_names = "copy", {c.lower() for c in docs.columns}
+    while counter in taken_names:
+        counter = f"_{counter}"
     measured = _measured(docs, id_col, text_col, source_col)
     plan = rates(measured, weigh, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -108,7 +114,7 @@ def mixed(docs: DataFrame, weigh=by_rank(1, 2, 3), most: int = MOST, seed: str =
     rows = packed(docs, key.alias("_key"), column(source_col).cast("string").alias("_source"))
     taken = (rows.join(plan, F.col("_source").eqNullSafe(F.col("source")))
              .select("_row", copies(rate, F.col("_key"), seed).alias("_n")).where("_n > 0"))
-    return unpacked(taken, F.explode(F.expr("sequence(1, cast(_n as int))")).alias("copy"))
+    return unpacked(taken, F.explode(F.expr("sequence(1, cast(_n as int))")).alias(counter))
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -536,3 +536,26 @@ def test_short_secrets_are_scored(spark):
     got = {(r.doc_id, r.start, r.length) for r in secrets.scan(docs, secrets.fit(secrets.labelled(docs))).collect()}
     want = {(i, t.index('"') + 1, 8 + i % 8) for i, t, _ in rows}
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_mixture_beside_a_column_copy(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 5, "x"), (2, "c", "s", 6, "y")], "doc_id long, text string, source string, Copy int, _copy string")
+    got = mixing.mixed(docs)
+    assert got.columns == [*docs.columns, "__copy"] and got.count() > 0
+
+
+def test_links_need_a_similarity_above_one_half():
+    sets = [(1, np.arange(7, dtype=np.uint32).tobytes()), (2, b""), (3, None), (4, np.arange(7, dtype=np.uint32).tobytes())]
+    assert [tuple(sorted(x)) for x in jaccard.forest(sets, 0.8)] == [(1, 4)]
+    with pytest.raises(ValueError):
+        jaccard.forest(sets, 0.5)
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = spark.createDataFrame([(1, "Answer is  forty two"), (2, "pi"), (3, ""), (4, None), (5, "a b c d e f"), (1, "answer IS forty two")], "item_id long, text string")
+    long = " ".join(f"w{i}" for i in range(30_000)) + " answer is forty two"
+    docs = spark.createDataFrame([(1, "the ANSWER is\nforty two , really"), (2, "answer is forty"), (3, "pi"), (4, "answer is forty two"), (5, None), (6, ""),
+                                  (7, "x a b c d e f y pi pi"), (None, "forty pi"), (8, long)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.start, r.words) for r in decontaminate.leak_report(docs, items).collect()}
+    assert got == {(1, 1, 1, 4), (3, 2, 0, 1), (4, 1, 0, 4), (7, 5, 1, 6), (7, 2, 8, 1), (None, 2, 1, 1), (8, 1, 30_000, 4)}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, items).collect()) == [2, 5, 6]
