@@ -3,7 +3,8 @@
 A token file is nothing but little-endian 16-bit identifiers; identifier ``EOD`` ends a
 document.  There is no index, so the scan finds the documents itself:
 
-1. files are read as bytes and cut into blocks of ``BLOCK`` bytes by Spark;
+1. files are listed with their lengths and cut into ranges of ``BLOCK`` bytes, and every task reads
+   its own ranges;
 2. each block is searched for separators with numpy; documents that lie inside one block
    are complete, and what hangs over either edge is summed up in a few numbers;
 3. a prefix scan over the blocks of each file (running sums and the last separator before a
@@ -16,8 +17,8 @@ its number in base 2^13; the scan reads them back as ``doc_id`` and does not cou
 
 Defined results: null and empty texts have 0 tokens; a null identifier is written without a
 number and read as null; rows that repeat an identifier are documents of their own; a last
-document without separator counts when it has tokens; an empty table gives no rows.  A file
-is one row while it is cut, so it must be below 2 GB; its writer's input split bounds it.
+document without separator counts when it has tokens; an empty table gives no rows.  Files may
+have any length; a document's edges and the separators of a block are all that leaves a task.
 """
 
 from __future__ import annotations
@@ -88,13 +89,66 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_co
     return path
 
 
+def _listed(spark, path: str) -> list[tuple[str, int]]:
+    """Files below ``path`` with their lengths, from the file system alone."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, files = [], system.listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        if not status.getPath().getName().startswith(("_", ".")):
+            found.append((status.getPath().toString(), status.getLen()))
+    return sorted(found)
+
+
+def _opened(uri: str):
+    """The file for reading at any place, through Arrow's file systems."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
+    return system.open_input_file(place)
+
+
+def _reachable(uri: str) -> bool:
+    try:
+        _opened(uri).close()
+    except (OSError, ValueError):  # no such file system in Arrow, or none that it can reach
+        return False
+    return True
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        name, held = None, None
+        for k in range(batch.num_rows):
+            file, block, start, size = (batch.column(c)[k].as_py() for c in ("file", "block", "start", "size"))
+            if file != name:
+                name, held = file, _opened(file)
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([held.read_at(size, start)], pa.binary())],
+                                             ["file", "block", "data"])
+
+
 def read_blocks(spark, path: str, block: int = BLOCK) -> DataFrame:
-    """``(file, block, data)``: the files below ``path`` in blocks of ``block`` bytes."""
+    """``(file, block, data)``: the files below ``path`` in blocks of ``block`` bytes.
+
+    Files are listed with their lengths, and a task reads the ranges it is given and no others, so a file may have
+    any length.  The blocks are dealt to tasks of about a hundred.  In a file system that Arrow does not open (it
+    opens local and shared folders, hdfs, s3 and gs) a file is read whole and cut then, and has to be below 2 GB.
+    """
     if block % 2 or block < 64:
         raise ValueError("a block holds whole identifiers, 32 at least")
-    files = spark.read.format("binaryFile").load(path)
-    cut = F.expr(f"transform(sequence(0, (length(content) - 1) DIV {block}), i -> substring(content, CAST(i * {block} + 1 AS INT), {block}))")
-    return files.where(F.length("content") > 0).select(F.col("path").alias("file"), F.posexplode(cut).alias("block", "data"))
+    listed = [f for f in _listed(spark, path) if f[1]]
+    if listed and not _reachable(listed[0][0]):
+        cut = F.expr(f"transform(sequence(0, (length(content) - 1) DIV {block}), i -> substring(content, CAST(i * {block} + 1 AS INT), {block}))")
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.length("content") > 0)
+        return whole.select(F.col("path").alias("file"), F.posexplode(cut).alias("block", "data"))
+    files = spark.createDataFrame(listed, "file string, length long")
+    cut = files.select("file", "length", F.explode(F.expr(f"sequence(0, (length - 1) DIV {block})")).alias("block"))
+    places = cut.select("file", "block", (F.col("block") * block).alias("start"), F.least(F.lit(block), F.col("length") - F.col("block") * block).alias("size"))
+    total = sum(-(-n // block) for _, n in listed)
+    tasks = max(1, min(total, max(spark.sparkContext.defaultParallelism, total // 100)))
+    return places.repartitionByRange(tasks, "file", "block").mapInArrow(_ranges, "file string, block long, data binary")
 
 
 _SCANNED = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("seps", pa.int64()), ("first", pa.int64()),

@@ -301,6 +301,45 @@ def test_token_files_without_numbers_or_last_separator(spark, tmp_path):
     assert got == [(0, 0, None, 2), (1, 3, None, 0), (2, 4, None, 3), (3, 8, None, 1)]
 
 
+def test_sparse_token_file_above_two_gigabytes(spark, tmp_path):
+    """A file of 5 GB that is nearly all hole: zeros are separators, so its documents are empty but for those written."""
+    path, size = tmp_path / "a.bin", 5 << 30
+    with open(path, "wb") as f:
+        f.truncate(size)
+        for at, tokens in ((0, [5, 6]), (3 << 30, list(range(1, 1000))), (size - 4, [7, 8])):
+            f.seek(at)
+            f.write(np.array(tokens, dtype="<u2").tobytes())
+    files = token_files.read_blocks(spark, str(tmp_path), 1 << 24)
+    assert files.select("file", "block").count() == 320 and path.stat().st_blocks < 1000
+    # the holes hold too many documents to list here: only the blocks around the written ones are scanned
+    edges = files.where("block IN (0, 192, 319)").select(F.length("data").alias("n"), F.expr("hex(substring(data, 1, 4))").alias("head"),
+                                                         F.expr("hex(substring(data, -4, 4))").alias("tail")).collect()
+    assert sorted((r.n, r.head, r.tail) for r in edges) == [(1 << 24, "00000000", "07000800"), (1 << 24, "01000200", "00000000"), (1 << 24, "05000600", "00000000")]
+
+
+def test_token_files_that_only_spark_opens(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.bin").write_bytes(np.array([5, 6, 0, 7] * 100, dtype="<u2").tobytes())
+    counts = lambda: sorted(map(tuple, token_files.token_counts(token_files.read_blocks(spark, str(tmp_path), 64)).select("ordinal", "n_tokens").collect()))
+    by_ranges = counts()
+    monkeypatch.setattr(token_files, "_reachable", lambda uri: False)
+    assert counts() == by_ranges and len(by_ranges) == 101
+
+
+def test_many_ranges_of_one_file(spark, tmp_path):
+    rng = random.Random(14)
+    lengths = [rng.choice([0, 1, 30, 31, 32, 33, 500, 5000]) for _ in range(300)]
+    tokens = [x for n in lengths for x in [*(rng.randrange(1, 60_000) for _ in range(n)), 0]]
+    (tmp_path / "a.bin").write_bytes(np.array(tokens, dtype="<u2").tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for block in (64, 1000, 1 << 20):
+        got = sorted((r.ordinal, r.start, r.n_tokens) for r in token_files.token_counts(token_files.read_blocks(spark, str(tmp_path), block))
+                     .where("doc_id IS NULL").collect())
+        spelled = [n - token_files.DIGITS if n >= token_files.DIGITS and min(tokens[s:s + token_files.DIGITS]) >= token_files.MARK else n
+                   for n, s in zip(lengths, np.cumsum([0] + [n + 1 for n in lengths]))]
+        assert [n for _, _, n in got] == [n for n, m in zip(lengths, spelled) if n == m]
+        assert [s for _, s, _ in got] == [int(s) for (n, m), s in zip(zip(lengths, spelled), np.cumsum([0] + [n + 1 for n in lengths])) if n == m]
+
+
 def test_secrets_from_labelled_findings(spark):
     rng = random.Random(4)
     hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
