@@ -16,7 +16,7 @@ how many of them carry the owner's identifier.
 
 Defined results: null text equals empty text; a null identifier is never preferred to
 another; a group of null identifiers only has a null owner.  Rows that repeat identifier
-and text are one document: the report marks each, the filter writes one of them (the one
+and text are one document (identifiers are whole numbers; other types fail the cast to bigint): the report marks each, the filter writes one of them (the one
 whose columns come first as JSON).  Other columns, whatever their names, pass through.
 """
 

@@ -21,7 +21,8 @@ less what the population counts skip (see README for figures).
 
 Defined results: null text equals a text without words; empty texts link with each other
 (fingerprint zero); an identifier that repeats gives a row per document row; a component
-takes its smallest non-null identifier.
+takes its smallest non-null identifier.  Identifiers are whole numbers; other types fail the cast
+to bigint.
 """
 
 from __future__ import annotations
