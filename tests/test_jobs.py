@@ -297,17 +297,19 @@ def test_mode_without_text_fails(spark):
 def test_catch_up_reads_edited_files_again(spark, tmp_path):
     root, out, mark = (str(tmp_path / n) for n in ("src", "out", "mark"))
 
+    counts = {}
+
     def names():
-        rows = ingest.catch_up(spark, root, out, mark)
+        rows = ingest.catch_up(spark, root, out, mark, counts=counts)
         return sorted((r.path, r.name) for r in extract.functions(rows).collect())
 
     write(root, a_DOT_c="int f(void) { }\n", b_DOT_c="int g(void) { }\n")
-    assert names() == [("a.c", "f"), ("b.c", "g")]
+    assert names() == [("a.c", "f"), ("b.c", "g")] and counts == {"added": 2, "edited": 0, "deleted": 0}
     write(root, a_DOT_c="int edited(void) { }\n", c_DOT_c="int h(void) { }\n")
     assert names() == [("a.c", "edited"), ("b.c", "g"), ("c.c", "h")] == names()
     os.remove(os.path.join(root, "b.c"))
     write(root, c_DOT_c="int twice(void) { return 2; }\n")
-    assert names() == [("a.c", "edited"), ("c.c", "twice")]
+    assert names() == [("a.c", "edited"), ("c.c", "twice")] and counts == {"added": 0, "edited": 1, "deleted": 1}
     write(root, b_DOT_c="int back(void) { }\n")
     assert names() == [("a.c", "edited"), ("b.c", "back"), ("c.c", "twice")]
     # touched, or written again as it was: known by its hash
