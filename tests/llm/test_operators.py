@@ -524,6 +524,19 @@ def test_verbatim_passages_anywhere(spark):
         assert len(passage.split()) - len(lost.split()) >= 30
 
 
+def test_sifting_keeps_every_repeated_window(spark, monkeypatch):
+    rng = random.Random(15)
+    rows = [(i, rng.randrange(-(1 << 63), 1 << 63)) for i in range(5000)]
+    wanted = [h for _, h in rows[::7]] + [-1, 0, (1 << 63) - 1, -(1 << 63)]
+    kept = spark.createDataFrame(rows + [(9000 + k, h) for k, h in enumerate(wanted[-4:])], "doc long, h long")
+    repeats = spark.createDataFrame([(h,) for h in wanted], "h long")
+    for bits in (64, 1 << 12, 1 << 26):
+        monkeypatch.setattr(paragraphs, "SIFT", bits)
+        left = {r.h for r in paragraphs._sifted(kept, repeats).collect()}
+        assert set(wanted) <= left and (bits < 1 << 26 or len(left) < len(wanted) + 20)
+    assert paragraphs._sifted(kept, repeats.limit(0)).count() == 0
+
+
 def test_any_shared_passage_of_41_words_has_a_common_window():
     rng = random.Random(13)
     for _ in range(300):
