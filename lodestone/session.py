@@ -60,15 +60,6 @@ def shared_folder(spark: SparkSession) -> str:
     return current
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` through the shared folder (reliable files)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
-
-
 def settled(df):
     """Write ``df`` as a table to the shared folder and read it back.
 
