@@ -26,6 +26,8 @@ from lodestone.session import settled
 #: Sets and members of sets per tile at most (in expectation).
 TILE, CELLS = 4096, 1 << 20
 _SLACK = 1e-9
+#: Bits of the table that sifts rows before a join (8 MB).
+SIFT = 1 << 26
 
 
 def forest(members: Iterable[tuple[int, bytes]], similarity: float) -> list[tuple[int, int]]:
@@ -122,6 +124,28 @@ def _tiles(similarity: float):
     return run
 
 
+def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``h`` is not among ``wanted``; the join that has to follow is exact.
+
+    A table of ``SIFT`` bits, one set for each wanted hash, goes to all tasks and keeps the other rows from being
+    shuffled.  Its size does not grow with the data; with very many wanted hashes it only sifts less.
+    """
+    bit = F.expr(f"h & {SIFT - 1}L")
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63L AS INT))")).alias("bits")).toArrow()
+    table_ = np.zeros(SIFT >> 6, dtype=np.int64)
+    table_[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(table_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            at = h & (SIFT - 1)
+            yield batch.filter(pa.array((bits[at >> 6] >> (h & 63)) & 1 == 1))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def links(entries: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE, cells: int = CELLS) -> DataFrame:
     """``(u, v)``: a forest over ``h`` per bucket (or pair of tiles) of ``entries``; ``sets`` has ``(h, shingles)``."""
     sizes = settled(entries.groupBy("bucket").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n"),
@@ -130,7 +154,7 @@ def links(entries: DataFrame, sets: DataFrame, similarity: float, tile: int = TI
     # what is alone in all of its buckets goes no further
     left = settled(entries.select("bucket", "h").join(sizes, "bucket"))
     needed = settled(left.select("h").distinct())
-    sets = sets.select("h", "shingles").join(needed, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
+    sets = sifted(sets.select("h", "shingles"), needed).join(needed, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
     schema = "u long, v long"
     small = (left.where("blocks <= 1").join(sets, "h").select("bucket", "h", "shingles").repartition("bucket")
              .sortWithinPartitions("bucket", "h").mapInArrow(_small(similarity), schema))

@@ -48,8 +48,6 @@ from lodestone.session import settled
 LEAST, SHINGLE, SIMILARITY = 8, 5, 0.8
 ROWS, RECALL = 2, 0.99
 PASSAGE, GAP = 30, 12
-#: Bits of the table that sifts windows (8 MB).
-SIFT = 1 << 26
 #: Paragraphs whose shingles a task has already written, and hashes that it gathers before it writes.
 SEEN, GATHERED = 1 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -297,34 +295,12 @@ def _spans(size: int):
     return run
 
 
-def _sifted(kept: DataFrame, repeats: DataFrame) -> DataFrame:
-    """``kept`` without most of the windows whose hash is not among ``repeats``; the join behind it is exact.
-
-    Nearly all windows occur once.  A table of ``SIFT`` bits, one set for each repeated hash, goes to all tasks and keeps those
-    from being shuffled; its size does not grow, so with very many repeats it only sifts less.
-    """
-    bit = F.expr(f"h & {SIFT - 1}L")
-    words = repeats.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63L AS INT))")).alias("bits")).toArrow()
-    table_ = np.zeros(SIFT >> 6, dtype=np.int64)
-    table_[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = kept.sparkSession.sparkContext.broadcast(table_)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in batches:
-            h = batch.column("h").to_numpy()
-            at = h & (SIFT - 1)
-            yield batch.filter(pa.array((bits[at >> 6] >> (h & 63)) & 1 == 1))
-
-    return kept.mapInArrow(run, kept.schema)
-
-
 def verbatim(kept: DataFrame, passage: int = PASSAGE) -> DataFrame:
     """Spans that other documents hold word for word, from the windows of :func:`read`; ``cluster_no`` is the span's first word in ``cluster_doc``."""
     kept = kept.select("doc", "t", F.col("no").alias("at"), "start", (F.col("start") + F.col("chars")).alias("end"), "h")
-    repeats = settled(kept.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "at", "t")).alias("first"))
-                      .where("low <> high").select("h", "first"))
-    held = skewed_join(_sifted(kept, repeats), repeats, "h").select("doc", "t", "at", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"),
+    repeats = settled(kept.groupBy("h").agg(F.max("doc").alias("high"), F.min(F.struct("doc", "at", "t")).alias("first"))
+                      .where("first.doc <> high").select("h", "first"))
+    held = skewed_join(jaccard.sifted(kept, repeats), repeats, "h").select("doc", "t", "at", "start", "end", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"),
                                                   (F.struct("doc", "at", "t") != F.col("first")).alias("removed"))
     return held.repartition("doc").sortWithinPartitions("doc", "t", "at").mapInArrow(
         _spans(passage), "doc long, start long, chars long, words long, cluster_doc long, cluster_no long, removed boolean")
@@ -341,9 +317,9 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, passage:
     texts = read(docs, similarity, passage=passage, id_col=id_col, text_col=text_col, **how)
     paragraphs = texts.where("t IS NULL").drop("t")
     roots = settled(components(links(paragraphs, similarity)).select(F.col("node").alias("h"), "root"))
-    sizes = paragraphs.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("doc", "no")).alias("first"))
+    sizes = paragraphs.groupBy("h").agg(F.max("doc").alias("high"), F.min(F.struct("doc", "no")).alias("first"))
     grouped = sizes.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    clusters = grouped.groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low <> high")
+    clusters = grouped.groupBy("root").agg(F.max("high").alias("high"), F.min("first").alias("first")).where("first.doc <> high")
     repeats = settled(skewed_join(grouped.select("h", "root"), clusters.select("root", "first"), "root").select("h", "first"))
     held = skewed_join(paragraphs.select("doc", "no", "start", "chars", "words", "h"), repeats, "h")
     # neighbours in a document: a run is where the number less the rank stays the same

@@ -531,10 +531,10 @@ def test_sifting_keeps_every_repeated_window(spark, monkeypatch):
     kept = spark.createDataFrame(rows + [(9000 + k, h) for k, h in enumerate(wanted[-4:])], "doc long, h long")
     repeats = spark.createDataFrame([(h,) for h in wanted], "h long")
     for bits in (64, 1 << 12, 1 << 26):
-        monkeypatch.setattr(paragraphs, "SIFT", bits)
-        left = {r.h for r in paragraphs._sifted(kept, repeats).collect()}
+        monkeypatch.setattr(jaccard, "SIFT", bits)
+        left = {r.h for r in jaccard.sifted(kept, repeats).collect()}
         assert set(wanted) <= left and (bits < 1 << 26 or len(left) < len(wanted) + 20)
-    assert paragraphs._sifted(kept, repeats.limit(0)).count() == 0
+    assert jaccard.sifted(kept, repeats.limit(0)).count() == 0
 
 
 def test_any_shared_passage_of_41_words_has_a_common_window():
