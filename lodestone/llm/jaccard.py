@@ -59,8 +59,10 @@ def forest(members: Iterable[tuple[int, bytes]], similarity: float) -> list[tupl
         own = np.frombuffer(sent or b"", dtype=np.uint32).tolist()
         n, shared = len(own), {}
         for s in own:
-            for k in holders.get(s, ()):
-                shared[k] = shared.get(k, 0) + 1
+            held = holders.get(s)
+            if held is not None:
+                for k in (held,) if type(held) is int else held:
+                    shared[k] = shared.get(k, 0) + 1
         home, near = None, []
         for k, both in shared.items():
             union = n + sizes[k] - both
@@ -84,7 +86,13 @@ def forest(members: Iterable[tuple[int, bytes]], similarity: float) -> list[tupl
             followers[home[0]].append((home[1], h, sent))
         else:
             for s in own:
-                holders.setdefault(s, []).append(len(names))
+                # nearly every number has one holder, and a list for each would be most of the index
+                held = holders.setdefault(s, len(names))
+                if held != len(names):
+                    if type(held) is int:
+                        holders[s] = [held, len(names)]
+                    else:
+                        held.append(len(names))
             names.append(h)
             sizes.append(n)
             followers.append([])
@@ -103,11 +111,12 @@ def _small(similarity: float):
         bucket, members = None, []
         for batch in batches:
             out = []
-            for b, h, sent in zip(*(batch.column(n).to_pylist() for n in ("bucket", "h", "shingles"))):
+            sets = batch.column("shingles")
+            for at, (b, h) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("h").to_pylist())):
                 if b != bucket:
                     out += forest(members, similarity) if len(members) > 1 else []
                     bucket, members = b, []
-                members.append((h, sent))
+                members.append((h, sets[at].as_py()))  # not the whole batch at once
             yield _batch(out)
         yield _batch(forest(members, similarity))
 
