@@ -44,6 +44,19 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert seen == [["one.c"], ["one.c", "two.c"], ["one.c", "two.c"]]
 
 
+def test_stream_ingest_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
+    from workload import state
+    docs = spark.createDataFrame([(i, "text %d" % i, "en", "web", 6) for i in range(8)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+    os.makedirs(tmp_path / "one")
+    part, = (tmp_path / "made").glob("part-*.parquet")
+    os.rename(part, tmp_path / "one" / "documents.parquet")
+    found = [sorted(r.path for r in state.stream_ingest(spark, str(tmp_path / n)).collect()) for n in ("parts", "one")]
+    assert found[0] == found[1] == sorted(f"web/en/{i}.{'ch'[i % 4]}" for i in (0, 1, 4, 5))
+
+
 def test_bootstrap_and_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert sorted(store.bootstrap()) == sorted(DDL) and store.bootstrap() == []

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import os
 import uuid
 
 from pyspark.sql import DataFrame
@@ -371,10 +370,9 @@ def stream_ingest(spark, d):
     source = f"{d}/documents.parquet"
     schema = spark.read.parquet(source).schema
     folder = f"{shared_folder(spark)}/lodestone/{uuid.uuid4().hex}"
-    # the file source lists folders: a pattern selects this one table
+    # the file source takes a folder or a pattern: the pattern selects this table, be it one file or a folder of parts
     for _ in range(2):
-        docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                .parquet(os.path.dirname(source)))
+        docs = spark.readStream.schema(schema).parquet(f"{d}/document[s].parquet")
         ingest.run(scan.scan_table(fx.as_docfiles(docs)).select("file_key", "path", "content_hash"),
                    f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return ingest.ingested(spark, f"{folder}/out")
