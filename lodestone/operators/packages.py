@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import settled
+
 # Ship these functions with the job, so that workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -40,8 +42,11 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def py_symbols(files: DataFrame) -> DataFrame:
-    """Top-level classes and functions; an unparsable file gives one "reject" row."""
-    py = files.where(F.col("path").endswith(".py")).select("path", "content")
+    """Top-level classes and functions; an unparsable file gives one "reject" row.
+
+    Files are dealt out first: parsing costs far more than reading, and a table of few bytes is read by few tasks.
+    """
+    py = files.where(F.col("path").endswith(".py")).select("path", "content").repartition("path")
     return py.mapInPandas(_scan, "path string, ordinal int, kind string, name string, error string")
 
 
@@ -53,7 +58,8 @@ def package_exports(symbols: DataFrame) -> DataFrame:
     folder of any size stays spread over the tasks.
     """
     parts = F.split("path", "/")
-    own = (symbols.where(F.col("kind").isin("class", "function") & (F.lower("name") != "main"))
+    # stored, as it is read twice below and the files would be parsed for each
+    own = settled(symbols.where(F.col("kind").isin("class", "function") & (F.lower("name") != "main"))
            .select(parts.alias("parts"), "kind", "name")
            .where(~F.element_at("parts", -1).isin(EXCLUDED_FILES))
            .where(~F.arrays_overlap(F.slice("parts", F.lit(1), F.size("parts") - 1),

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import extract, projects, summarize
+from lodestone.operators import extract, packages, projects, summarize
 from lodestone.plans import analysis
 from lodestone.schemas import DDL
 from lodestone.sources import corpus
@@ -57,6 +57,21 @@ def test_stream_ingest_reads_a_table_of_one_file_or_of_many(spark, tmp_path):
     assert found[0] == found[1] == sorted(f"web/en/{i}.{'ch'[i % 4]}" for i in (0, 1, 4, 5))
 
 
+def test_python_files_are_parsed_once_and_by_many_tasks(spark):
+    rows = [(f"lib/d{i % 7}/m{i}.py", f"def f{i}(): pass\n") for i in range(200)]
+    files = spark.createDataFrame(rows, "path string, content string").coalesce(1)
+    named = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(named)
+    spark.conf.set(named, "false")
+    try:
+        assert packages.py_symbols(files).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set(named, before)
+    exports = packages.package_exports(packages.py_symbols(files))
+    assert "MapInPandas" not in exports._jdf.queryExecution().executedPlan().toString()
+    assert {r.name for r in exports.where("kind = 'function'").collect()} == {f"f{i}" for i in range(200)}
+
+
 def test_bootstrap_and_versions(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     assert sorted(store.bootstrap()) == sorted(DDL) and store.bootstrap() == []
