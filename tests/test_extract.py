@@ -5,9 +5,11 @@ import random
 import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lodestone.functions.segments import BRACE, FLAGS, START, STOP, marks_of
-from lodestone.operators import extract
+from lodestone.functions.arrays import each, struct
+from lodestone.functions.segments import BRACE, FLAGS, START, STOP, bracket_depth, function_head, marks_of
+from lodestone.operators import extract, graph
 
 SAMPLE = '''\
 /* struct no { int a; }; */
@@ -227,3 +229,30 @@ void none() { }
         ("main", "int", ["int argc", "char *argv[]"], 11, 15), ("f", "int", ["int a"], 17, 17), ("none", "void", [], 18, 18)]
     assert rows(extract.globals_(u), "name", "type") == [("plain", "int")]
     assert sorted((r.caller_line, r.callee_name) for r in extract.calls(u).collect()) == [(2, "g"), (9, "h"), (14, "p"), (17, "k")]
+
+
+def test_heads_declare_what_the_declarator_says(spark):
+    """All heads of a batch at once against the SQL macro, on random tokens."""
+    rng = random.Random(5)
+    words = ["int", "f", "g", "struct", "enum", "*", "*", "(", "(", ")", ")", "[", "]", "=", ":", ",", "{", "}", "__attribute__", "9", "\u00e9", "_x"]
+    rows = [(i, [rng.choice(words) for _ in range(rng.randrange(14))]) for i in range(4000)] + [(4000, None)]
+    df = spark.createDataFrame(rows, "id int, tok array<string>").withColumns({
+        "depth": bracket_depth(F.expr("coalesce(tok, array())")), "head": function_head(F.expr("coalesce(tok, array())"))})
+    df = df.withColumn("z", F.expr(each("coalesce(tok, array())", lambda t, i: struct(i=i, t=t, d=f"get(depth, {i})"))))
+    found = df.withColumn("d", F.expr(extract._declarator("z", "0"))).selectExpr(
+        "id", "head.depth = depth AS depths", "struct(head.name, head.at, head.type) AS got", "struct(d.name, d.at, d.type) AS want").collect()
+    assert len(found) == 4001 and all(r.depths and tuple(r.got) == tuple(r.want) for r in found)
+    assert sum(r.want.name is not None for r in found) > 500
+
+
+def test_the_parse_for_the_graph_has_the_same_functions_and_calls(spark, files):
+    u = extract.units(files(a_DOT_c="struct s { int a; };\nint f(void) { g(1); } int g(int a) { f(); }\n", b_DOT_h="int g(int a);\nint v;\n"))
+    small = extract.for_graph(u)
+    columns = ["function_key", "path", "name", "return_type", "start_line", "end_line", "is_prototype", "ordinal"]
+
+    def rows(df):
+        return sorted(map(tuple, df.collect()))
+
+    assert rows(extract.functions(small).select(columns)) == rows(extract.functions(u).select(columns)) != []
+    assert rows(graph.call_sites(small)) == rows(graph.call_sites(u)) != []
+    assert small.where("body IS NOT NULL OR snippet IS NOT NULL").count() == 0 and small.count() == u.count() - 1
