@@ -359,10 +359,13 @@ def test_catch_up_after_a_listing_that_was_not_processed(spark, tmp_path):
     assert [r.name for r in extract.functions(ingest.catch_up(spark, root, out, mark)).collect()] == ["f"]
 
 
-def test_paths_are_known_without_the_texts(spark):
+def test_paths_are_known_without_the_texts(spark, tmp_path):
     from workload import fixtures as fx
-    d = "/root/testdata/sf0.001"
-    paths = fx.source_paths(spark, d)
-    assert sorted(paths.collect()) == sorted(fx.sources(spark, d).select("path").collect()) != []
+    part = [(i, i % 7, f"Brand#{i % 3}", f"TYPE{i % 2}", f"name {i}") for i in range(60)]
+    lines = [(i * 997 % 200_000, i * 7 % 58, i % 11) for i in range(300)]
+    spark.createDataFrame(part, "p_partkey long, p_size int, p_brand string, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    paths = fx.source_paths(spark, str(tmp_path))
+    assert sorted(paths.collect()) == sorted(fx.sources(spark, str(tmp_path)).select("path").collect()) != []
     plan = paths._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "repeat(" not in plan
