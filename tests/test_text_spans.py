@@ -17,7 +17,8 @@ def pieces(texts):
     offsets = np.cumsum([0, *map(len, data)])
     whole = b"".join(data)
     ends = sg.piece_ends(np.frombuffer(whole, dtype=np.uint8), offsets)
-    return [[whole[x:y] for x, y in zip(ends, ends[1:]) if a <= x < b] for a, b in zip(offsets, offsets[1:])]
+    at = np.searchsorted(ends, offsets)
+    return [[whole[x:y] for x, y in zip(ends[i:j], ends[i + 1:j + 1])] for i, j in zip(at, at[1:])]
 
 
 def by_pattern(text):
