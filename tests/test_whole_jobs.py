@@ -1,8 +1,10 @@
-"""Registered queries keep all files and all callers."""
+"""Registered queries keep all files, all callers and all copies."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lodestone.operators import quality
 
 
 @pytest.fixture(scope="module")
@@ -27,3 +29,17 @@ def test_unified_functions_name_all_callers(spark, tables):
     names = [c.split("::")[1] for c in rows["p2_2"].callers.split("|")]
     assert sorted(names) == ["p0_0", "p1_1", "p3_3", "p4_4", "p5_5"] and rows["p2_2"].n_callers == 5
     assert rows["p5_5"].callers == "" and rows["p5_5"].n_callers == 0
+
+
+def test_duplicate_functions_name_all_copies(spark):
+    rows = [("h1", "b"), ("h1", "a"), ("h2", "c"), ("h1", "b"), (None, "x"), (None, None)]
+    df = spark.createDataFrame(rows, "code_hash string, name string")
+    got = {r.code_hash: r for r in quality.duplicate_code(df, "code_hash", F.col("name")).collect()}
+    assert set(got) == {"h1", None}
+    assert got["h1"].names == ["a", "b", "b"] and got["h1"].n_copies == 3 and got["h1"].first_name == "a"
+    assert got[None].names == ["x"] and got[None].n_copies == 2
+
+
+def test_duplicate_functions_query_names_all_copies(spark, tables):
+    rows = entry.queries()["duplicate_functions"](spark, tables).collect()
+    assert rows and all(len(r.names.split("|")) == r.n_copies and r.names.split("|")[0] == r.first_name for r in rows)
